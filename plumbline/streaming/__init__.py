@@ -1,0 +1 @@
+"""Intentionally empty: every source here is a batch pull and every table a full rebuild."""
