@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,13 +12,6 @@ from pyspark.sql import functions as F
 from plumbline.sources.readers import HIVE_NULL
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def _magnitude_bin(value: Column) -> Column:
     """A bin number that never decreases as the value grows: 64 bins per doubling."""
     size = F.floor(F.log2(F.abs(value) + 1.0) * 64)
@@ -49,11 +44,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         .withColumn("_lo", F.floor((F.col("_total") + 1) / 2))
         .withColumn("_hi", F.floor(F.col("_total") / 2) + 1)
         .where((F.col("_hi") > F.col("_before")) & (F.col("_lo") <= F.col("_before") + F.col("_bin_n")))
-        .select(*keys, "_bin", "_before", "_lo", "_hi")
+        .select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_bin"]], "_before", "_lo", "_hi")
     )
     # The middle bins are few; the optimizer may broadcast them by their measured size.
-    inside = counts.join(ranked, _null_safe(counts, ranked, [*keys, "_bin"])).select(
-        *[counts[k] for k in keys], counts["_bin"], "_v", "_n", "_before", "_lo", "_hi")
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_bin"]])
+    inside = counts.join(ranked, same)
     by_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
     placed = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(by_bin)).withColumn(
         "_start", F.col("_end") - F.col("_n"))

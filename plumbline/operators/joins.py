@@ -83,12 +83,13 @@ def attach_clamped(facts: DataFrame, vintages: DataFrame, year: str, key: str, v
     placed = cross_one_row(facts, bounds).withColumn(
         "_vintage", clamp_to_bounds(F.col(year), F.col("_low"), F.col("_high")))
     right = vintages.select(
-        F.col(key).alias("_key"), F.col(vintage).alias("_vintage"), *columns)
-    joined = placed.join(
-        right, (placed[fact_key or key] == right["_key"]) & (placed["_vintage"] == right["_vintage"]), "left")
+        F.col(key).alias("_vintage_key"), F.col(vintage).alias("_vintage"),
+        *[F.col(c).alias(f"_of_{c}") for c in columns])
+    joined = placed.withColumn("_vintage_key", F.col(fact_key or key)).join(
+        right, ["_vintage_key", "_vintage"], "left")
     return joined.select(
-        *[placed[c] for c in facts.columns], *[right[c] for c in columns],
-        (~placed[year].between(placed["_low"], placed["_high"])).alias(flag))
+        *facts.columns, *[F.col(f"_of_{c}").alias(c) for c in columns],
+        (~F.col(year).between(F.col("_low"), F.col("_high"))).alias(flag))
 
 
 def price_index(observations: DataFrame) -> DataFrame:
