@@ -69,7 +69,8 @@ def flag_nonstandard_keys(counts: DataFrame, reference: DataFrame | None = None,
     return counts.withColumn("is_nonstandard", ~F.coalesce(year.between(first, last), F.lit(False)))
 
 
-def save_table(df: DataFrame, name: str, comments: Mapping[str, str] | None = None) -> DataFrame:
+def save_table(df: DataFrame, name: str, comments: Mapping[str, str] | None = None,
+               path: str | None = None) -> DataFrame:
     """Materialise a mart or dimension under its own schema, with column descriptions."""
     spark = df.sparkSession
     schema, _, _ = name.rpartition(".")
@@ -80,7 +81,8 @@ def save_table(df: DataFrame, name: str, comments: Mapping[str, str] | None = No
         if comments and f.name in comments else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ]
-    df.select(*columns).write.mode("overwrite").format("parquet").saveAsTable(name)
+    writer = df.select(*columns).write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
 
 
