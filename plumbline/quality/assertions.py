@@ -128,7 +128,8 @@ def unmapped_labels(complaints: DataFrame) -> DataFrame:
     pairs = F.array(
         F.struct(F.lit("product").alias("field"), F.col("product").alias("value"),
                  F.col("product_family").alias("family")),
-        F.struct(F.lit("company_response"), F.col("company_response"), F.col("response_family")))
+        F.struct(F.lit("company_response").alias("field"), F.col("company_response").alias("value"),
+                 F.col("response_family").alias("family")))
     return complaints.select(F.inline(pairs)).where(
         F.col("value").isNotNull() & F.col("family").isNull()
     ).groupBy("field", "value").agg(F.count(F.lit(1)).alias("row_count"))

@@ -93,7 +93,7 @@ def read_population_vintages(spark: SparkSession, folder: str, dataset: str,
                              variables: Sequence[str]) -> DataFrame:
     """Nation, state and county responses as one table; absent geography keys are NULL."""
     parts = [
-        read_json_arrays(spark, f"{folder}/acs5-{dataset}-*-{level}.json", variables, level)
+        read_json_arrays(spark, f"{folder}/*acs5-{dataset}-*-{level}.json", variables, level)
         for level in ("us", "state", "county")
     ]
     return union_by_name(parts)

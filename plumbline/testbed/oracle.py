@@ -569,4 +569,7 @@ def query(body: str) -> str:
     if not used:
         return body
     ctes = ",\n".join(f"{name} AS ({RELATIONS[name]})" for name in used)
+    own = body.lstrip()
+    if own.startswith("WITH "):
+        return f"WITH {ctes},\n{own.removeprefix('WITH ')}"
     return f"WITH {ctes}\n{body}"
