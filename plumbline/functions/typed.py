@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import blank_to_null
+from plumbline.sources.seeds import literal_map
 
 
 def as_number(value: Column) -> Column:
@@ -70,8 +71,7 @@ def is_annotated(raw: Column) -> Column:
 
 def code_label(codes: dict[str, str], code: Column) -> Column:
     """Decode with a literal map: no join, however many columns share the list."""
-    pairs = [F.lit(part) for pair in codes.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), code)
+    return F.try_element_at(literal_map(codes), code)
 
 
 def same_length_state(raw: Column) -> tuple[Column, Column]:

@@ -26,17 +26,17 @@ def cross_one_row(facts: DataFrame, one_row: DataFrame) -> DataFrame:
     return facts.crossJoin(F.broadcast(one_row))
 
 
-def left_lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Left lookup on a key that may be NULL for any share of the rows.
+def left_lookup(facts: DataFrame, dimension: DataFrame, key: str, spread: int = 64) -> DataFrame:
+    """Left lookup on a text key that may be NULL for any share of the rows.
 
-    Rows without a key cannot match. They bypass the join, so they never gather in the one
-    partition a NULL hashes to.
+    A NULL matches nothing, yet all NULLs hash to one partition. Rows without a key get one
+    of ``spread`` stand-ins no dimension holds, chosen by a hash of the row, so that they
+    are shared out when the join shuffles and cost nothing when it broadcasts.
     """
-    added = [f for f in dimension.schema.fields if f.name != key]
-    keyed = facts.where(F.col(key).isNotNull()).join(dimension, key, "left")
-    keyless = facts.where(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
-    return keyed.select(keyless.columns).unionByName(keyless)
+    stand_in = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*facts.columns[:8]), F.lit(spread)).cast("string"))
+    right = dimension.withColumnRenamed(key, "_lookup_key")
+    keyed = facts.withColumn("_lookup_key", F.coalesce(F.col(key), stand_in))
+    return keyed.join(right, "_lookup_key", "left").drop("_lookup_key")
 
 
 def weighted_fan_out(counts: DataFrame, weights: DataFrame, on: str, measures: Sequence[str],

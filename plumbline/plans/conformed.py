@@ -73,13 +73,13 @@ def county_universe(claims_raw: DataFrame | None = None, policies_raw: DataFrame
                     declarations_raw: DataFrame | None = None, medicare_raw: DataFrame | None = None,
                     lending_raw: DataFrame | None = None, crosswalk_raw: DataFrame | None = None,
                     population_65: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
-    """Each source's county keys as published, one column, already distinct per source."""
+    """Each source's county keys as published, one column per source, repeats and all."""
     found: list[tuple[str, DataFrame]] = []
 
     def add(name: str, df: DataFrame | None, key, where=None) -> None:
         if df is not None:
             rows = df if where is None else df.where(where)
-            found.append((name, rows.select(key.alias("county_fips")).distinct()))
+            found.append((name, rows.select(key.alias("county_fips"))))
 
     geoid = geoid_county(F.col("censusGeoid"))
     add("nfip_claims", claims_raw, F.coalesce(blank_to_null(F.col("countyCode")), geoid))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.dates import days_between, period_id, year_month
@@ -48,6 +48,12 @@ def county_names(counties: DataFrame, *extra: str) -> DataFrame:
     return counties.select("county_fips", "county_name", F.col("is_michigan").alias("_focus"), *extra)
 
 
+def _money_sum(df: DataFrame, column: str) -> Column:
+    """Sums of decimals are published as decimal(38,2), whatever the width summed."""
+    total = F.sum(column)
+    return total.cast("decimal(38,2)") if df.schema[column].dataType.typeName() == "decimal" else total
+
+
 def claims_monthly(claims: DataFrame, population: DataFrame, prices: DataFrame,
                    counties: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """County x loss month x six characteristics, nominal and in constant dollars."""
@@ -58,7 +64,7 @@ def claims_monthly(claims: DataFrame, population: DataFrame, prices: DataFrame,
         tally(F.col("is_closed_without_payment")).alias("closed_without_payment_count"),
         tally(F.col("is_zero_paid")).alias("zero_paid_count"),
         tally(~F.col("has_usable_county")).alias("no_county_count"),
-        *[F.sum(source).alias(name) for name, source in PAID.items()])
+        *[_money_sum(claims, source).alias(name) for name, source in PAID.items()])
     # One column of the scan; the cells themselves may be many.
     extent = claims.agg(F.max("date_of_loss").alias("_last_loss"))
     dated = cross_one_row(cells, extent)
@@ -137,7 +143,7 @@ def policies_in_force(policies: DataFrame, counties: DataFrame, params: Params =
     cells = active.groupBy("month_end", "county_fips").agg(
         F.sum("policy_count").cast("bigint").alias("policies_in_force"),
         F.count(F.lit(1)).alias("policy_records"),
-        *[F.sum(source).alias(name) for name, source in sums.items()])
+        *[_money_sum(policies, source).alias(name) for name, source in sums.items()])
     named = left_lookup(cells, county_names(counties), "county_fips")
     month = year_month(F.col("month_end"))
     return named.select(

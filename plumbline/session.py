@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hive-style partition keys such as state=02 must stay text.
+    # HotSpot never compiles a method above 8000 bytecodes. A wide projection fused into one
+    # such method runs interpreted; below the limit Spark splits it into compiled pieces.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
@@ -27,20 +30,23 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **extr
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path every executor can reach, beside the checkpoints, for tables written in a run."""
+    """A fresh path every executor can reach, for tables written during a run.
+
+    It lies in the cluster's ``spark.checkpoint.dir``. Only a session that names none (a
+    test) gets a temporary folder.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = tempfile.mkdtemp(prefix="plumbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder, so a lost executor cannot lose the result.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a session that names none (a test)
-    gets a temporary one.
+    Later plans start from its files: a lost executor loses nothing, the table is not
+    computed once per use, and its measured size tells the optimizer whether to broadcast it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, "lineage"))
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

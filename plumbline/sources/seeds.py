@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +24,24 @@ def _literal(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_RELATIONS: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
 def fixed_table(spark: SparkSession, text: str) -> DataFrame:
     """A fixed list as a constant relation, whose size the optimizer therefore knows."""
-    header, rows = parse_fixed(text)
-    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
-    df = spark.sql(f"SELECT * FROM VALUES {values} AS seed({', '.join(header)})")
-    return df.select([F.col(c).cast("string").alias(c) for c in header])
+    known = _RELATIONS.setdefault(spark, {})
+    if text not in known:
+        header, rows = parse_fixed(text)
+        values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+        columns = ", ".join(f"CAST({c} AS STRING) AS {c}" for c in header)
+        known[text] = spark.sql(f"SELECT {columns} FROM VALUES {values} AS seed({', '.join(header)})")
+    return known[text]
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    """A constant map column."""
+    cells = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in pairs.items())
+    return F.expr(f"map({cells})")
 
 
 def seed_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

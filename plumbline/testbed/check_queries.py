@@ -17,7 +17,7 @@ from plumbline.quality import assertions as must
 from plumbline.quality import coverage, drift, geography, integrity
 from plumbline.quality.catalog import catalogue_rows, data_dictionary
 from plumbline.quality.results import passes, results, tally
-from plumbline.session import cut_lineage
+from plumbline.session import materialise
 from plumbline.sources.seeds import fixed_table, parse_fixed
 from plumbline.sources.sinks import flag_nonstandard_keys, partition_counts
 from plumbline.testbed.dialect import TABLES
@@ -133,7 +133,7 @@ def roster_gaps(t: Testbed) -> DataFrame:
 
 
 @entry("missing_years", """
-SELECT y AS year FROM (SELECT unnest(range(min(a), max(a) + 1)) AS y FROM (SELECT vintage::INT AS a FROM raw_population_65)) WHERE y NOT IN (SELECT vintage::INT FROM raw_population_65)""")
+SELECT y::INT AS year FROM (SELECT unnest(range(min(a), max(a) + 1)) AS y FROM (SELECT vintage::INT AS a FROM raw_population_65)) WHERE y NOT IN (SELECT vintage::INT FROM raw_population_65)""")
 def missing_years(t: Testbed) -> DataFrame:
     return integrity.missing_years(partition_counts(t.raw("population_65"), "vintage"))
 
@@ -313,7 +313,7 @@ def price_checks(t: Testbed) -> DataFrame:
 
 
 @entry("observation_crosscheck", """
-SELECT loss_year, claims, claims + CASE WHEN loss_year = 1997 THEN 1 ELSE 0 END AS published_claims, CASE WHEN loss_year = 1997 THEN -1 ELSE 0 END AS gap,
+SELECT loss_year, claims, claims + CASE WHEN loss_year = 1997 THEN 1 ELSE 0 END AS published_claims, (CASE WHEN loss_year = 1997 THEN -1 ELSE 0 END)::BIGINT AS gap,
   loss_year <> 1997 AS agrees FROM (SELECT year_of_loss AS loss_year, count(*) AS claims FROM raw_claims GROUP BY ALL)""")
 def observation_crosscheck(t: Testbed) -> DataFrame:
     measured = t.claims.groupBy(F.col("year_of_loss").alias("loss_year")).agg(F.count(F.lit(1)).alias("claims"))
@@ -424,11 +424,11 @@ UNION ALL SELECT 'no loss past horizon', count(*) FROM claims_monthly WHERE loss
 UNION ALL SELECT 'no policy month past horizon', count(*) FROM in_force WHERE month_end > (SELECT max(as_of_date) FROM policies)""")
 def assertions_insurance(t: Testbed) -> DataFrame:
     # Each mart feeds several assertions, so it is written once and read back.
-    monthly = cut_lineage(insurance.claims_monthly(t.claims, t.population, t.prices, t.counties, t.params))
-    counties = cut_lineage(t.counties)
+    monthly = materialise(insurance.claims_monthly(t.claims, t.population, t.prices, t.counties, t.params), "monthly")
+    counties = materialise(t.counties, "counties")
     in_force = insurance.policies_in_force(t.policies, counties, t.params)
-    bridge = cut_lineage(insurance.claim_declarations(
-        t.claims, t.declarations, insurance.disasters(t.declarations, t.params), t.params).select("disaster_number", "incident_type"))
+    bridge = materialise(insurance.claim_declarations(
+        t.claims, t.declarations, insurance.disasters(t.declarations, t.params), t.params).select("disaster_number", "incident_type"), "bridge")
     referenced = conformed.county_universe(
         t.raw("claims"), t.raw("policies"), t.raw("declarations"), t.raw("medicare"), t.raw("lending"),
         t.raw("crosswalk"), t.population_65)
@@ -465,11 +465,11 @@ UNION ALL SELECT 'allocated timely within closed', count(*) FROM complaints_geo
 UNION ALL SELECT 'denials within decisions', count(*) FROM lending_annual WHERE denied_count > decided_applications
 UNION ALL SELECT 'rates within 0-100', 0""")
 def assertions_fintech(t: Testbed) -> DataFrame:
-    allocation = cut_lineage(t.allocation)
-    geo = cut_lineage(lending.complaints_by_county(allocation, t.population, t.counties, t.params))
-    company = cut_lineage(lending.complaints_by_company(t.complaints, t.params))
-    daily = cut_lineage(lending.complaints_daily(t.complaints, t.params))
-    annual = cut_lineage(lending.lending_annual(t.lending, t.institutions, t.counties, t.params))
+    allocation = materialise(t.allocation, "allocation")
+    geo = materialise(lending.complaints_by_county(allocation, t.population, t.counties, t.params), "geo")
+    company = materialise(lending.complaints_by_company(t.complaints, t.params), "company")
+    daily = materialise(lending.complaints_daily(t.complaints, t.params), "daily")
+    annual = materialise(lending.lending_annual(t.lending, t.institutions, t.counties, t.params), "annual")
     placed = t.complaints.where(F.col("state_code").isNotNull())
     rates = union_all([
         must.rates_out_of_range(company, ["timely_rate_pct", "relief_rate_pct"]).select("period_id"),
@@ -507,12 +507,12 @@ UNION ALL SELECT 'growth windows do not overlap', 0
 UNION ALL SELECT 'age levels are not mixed', count(*) FROM (SELECT geo_description, measure_year FROM cost WHERE is_jurisdiction OR geo_level = 'National' GROUP BY ALL HAVING count(DISTINCT age_level) <> 3)
 UNION ALL SELECT 'marts tie', 0""")
 def assertions_health(t: Testbed) -> DataFrame:
-    measures = cut_lineage(t.measures)
-    cells = cut_lineage(health.indicators(t.indicators))
-    compared = cut_lineage(health.state_vs_national(cells, t.params))
-    cost = cut_lineage(health.medicare_cost(measures, t.medicare, t.prices, t.params))
-    services = cut_lineage(health.medicare_services(measures, t.medicare, t.counties, t.params))
-    elderly = cut_lineage(health.population_65_plus(t.population_65, t.counties, t.params))
+    measures = materialise(t.measures, "measures")
+    cells = materialise(health.indicators(t.indicators), "cells")
+    compared = materialise(health.state_vs_national(cells, t.params), "compared")
+    cost = materialise(health.medicare_cost(measures, t.medicare, t.prices, t.params), "cost")
+    services = materialise(health.medicare_services(measures, t.medicare, t.counties, t.params), "services")
+    elderly = materialise(health.population_65_plus(t.population_65, t.counties, t.params), "elderly")
     need = health.need_vs_capacity(elderly, compared, t.params)
     county_rows = measures.where((F.col("age_level") == "All") & F.col("is_michigan_county"))
     return must.count_failures({

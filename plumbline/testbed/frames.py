@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,10 @@ from pyspark.sql import functions as F
 
 from plumbline.params import Params
 from plumbline.plans import conformed, intermediate, staging
+from plumbline.session import materialise
 from plumbline.testbed import raw_tables
 from plumbline.testbed.dialect import SPARK, TABLES
 
-import datetime as dt
-
 PARAMS = Params(deflator_base_year=2000, as_of=dt.date(2001, 12, 31))
 
 # Derived column -> publisher column, where the two differ.
@@ -68,15 +68,24 @@ class Testbed:
 
     def __init__(self, spark: SparkSession, folder: str, params: Params = PARAMS):
         self.spark, self.folder, self.params = spark, folder, params
+        self._tables: dict[str, DataFrame] = {}
+        self._raw: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def sql(self, text: str) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 
     def raw(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = self._published(name)
+        return self._raw[name]
+
+    def _published(self, name: str) -> DataFrame:
         df = self.sql(getattr(raw_tables, name)(SPARK))
         names = PUBLISHED.get(name, {})
         df = df.select([F.col(c).alias(names.get(c, c)) for c in df.columns])
@@ -152,4 +161,5 @@ class Testbed:
         referenced = conformed.county_universe(
             self.raw("claims"), self.raw("policies"), self.raw("declarations"), self.raw("medicare"),
             self.raw("lending"), self.raw("crosswalk"), self.population_65)
-        return conformed.county_dimension(self.population, referenced, self.params)
+        # A few thousand rows looked up by every county mart: written once, then broadcast by size.
+        return materialise(conformed.county_dimension(self.population, referenced, self.params), "counties")

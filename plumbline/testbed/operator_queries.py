@@ -255,8 +255,8 @@ def json_props_typed(t: Testbed) -> DataFrame:
 
 
 @entry("text_functions", """
-SELECT doc_id, length(text) AS n_characters, lower(lang) AS lang, split_part(source, '_', 1) AS source_head, right(lang, 1) AS lang_tail,
-  length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, nullif(trim(substr(text, 1, 1)), '') AS first_character,
+SELECT doc_id, length(text)::INT AS n_characters, lower(lang) AS lang, split_part(source, '_', 1) AS source_head, right(lang, 1) AS lang_tail,
+  length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS n_digits, nullif(trim(substr(text, 1, 1)), '') AS first_character,
   regexp_matches(text, '[0-9]{3}') AS has_long_number, regexp_extract(text, '([A-Z][a-z]+)', 1) AS first_name, coalesce(nullif(lang, 'en'), 'english') AS lang_label
 FROM documents""")
 def text_functions(t: Testbed) -> DataFrame:

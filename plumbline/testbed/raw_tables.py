@@ -110,7 +110,8 @@ FROM {d.table('orders')} o"""
 
 
 def declarations(d: Dialect) -> str:
-    k = "p.p_partkey"
+    # One area per brand and size: disasters do not multiply as claims do.
+    k = "p.k"
     n = f"CAST({d.floor_div(k, '5')} AS INT)"
     begin = d.plus_days("DATE '1995-01-01'", f"({n} * 37) % 2400")
     place = f"CASE WHEN {k} % 3 = 0 THEN 22 ELSE {k} % 25 END"
@@ -120,7 +121,7 @@ SELECT {d.text(k)} AS area_id, {n} AS disaster_number,
   {d.pick(f'{n} % 3', ['DR', 'EM', 'FM'])} AS declaration_type,
   {d.plus_days(begin, '10')} AS declaration_date,
   {d.pick(f'{n} % 5', ['Flood', 'Severe Storm', 'Dam/Levee Break', 'Biological', 'Fire'])} AS incident_type,
-  p.p_name AS declaration_title,
+  p.title AS declaration_title,
   {n} % 2 = 0 AS ia_program_declared, {n} % 4 = 0 AS pa_program_declared,
   {begin} AS incident_begin_date,
   CASE WHEN {k} % 19 = 0 THEN NULL WHEN {k} % 23 = 0 THEN {d.plus_days(begin, '-3')}
@@ -128,7 +129,8 @@ SELECT {d.text(k)} AS area_id, {n} AS disaster_number,
   {d.fips(place)} AS fips_state_code,
   CASE WHEN {k} % 7 = 0 THEN '000' ELSE {d.county3(f'{k} % 12')} END AS fips_county_code,
   {d.state(place)} AS state_code
-FROM {d.table('part')} p"""
+FROM (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) * 50 + p_size AS k, min(p_name) AS title
+      FROM {d.table('part')} GROUP BY 1) p"""
 
 
 def lending(d: Dialect) -> str:

@@ -135,9 +135,9 @@ def table_load(t: Testbed) -> DataFrame:
 
 
 @entry("landing_shapes", """
-SELECT source_name, count(*) AS keys FROM county_refs GROUP BY source_name""")
+SELECT source_name, count(county_fips) AS keys FROM county_refs GROUP BY source_name""")
 def landing_shapes(t: Testbed) -> DataFrame:
     found = county_universe(t.raw("claims"), t.raw("policies"), t.raw("declarations"), t.raw("medicare"),
                             t.raw("lending"), t.raw("crosswalk"), staging.stage_population_65(t.raw("population_65")))
-    parts = [df.agg(F.count(F.lit(1)).alias("keys")).select(F.lit(name).alias("source_name"), "keys") for name, df in found]
-    return readers.union_by_name(parts)
+    parts = [df.select(F.lit(name).alias("source_name"), "county_fips") for name, df in found]
+    return readers.union_by_name(parts).groupBy("source_name").agg(F.count_distinct("county_fips").alias("keys"))
