@@ -130,7 +130,8 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, SETTINGS[key])
     try:
-        return spark.read.parquet(path)
+        # The tree also holds its manifest, which is not data.
+        return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
     finally:
         spark.conf.set(key, before)
 

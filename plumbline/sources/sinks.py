@@ -46,7 +46,7 @@ def write_partitioned(df: DataFrame, path: str, key: str, keep: tuple[str, ...]
     fs.rename(at(building), at(path))
     if fs.exists(at(retired)):
         fs.delete(at(retired), True)
-    return spark.read.schema(df.schema).parquet(path).count()
+    return spark.read.schema(df.schema).option("pathGlobFilter", "*.parquet").parquet(path).count()
 
 
 def partition_counts(df: DataFrame, key: str | Column) -> DataFrame:
