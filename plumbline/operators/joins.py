@@ -1,7 +1,7 @@
 """Joins: lookups, fan-outs, intervals, events, clamped vintages and restated amounts.
 
-Sizes decide the strategy. A fixed list or a one-row aggregate is broadcast because its
-size is proven. Any other side is left to the optimizer, which broadcasts below its
+Sizes decide the strategy. A fixed list is broadcast because its size is proven; a one-row
+aggregate is a scalar subquery. Any other side is left to the optimizer, which broadcasts below its
 threshold and sort-merges (splitting skewed partitions) above it. Keys that may be NULL or
 hot are aggregated before they are joined.
 """
@@ -21,9 +21,14 @@ def lookup_fixed(facts: DataFrame, fixed: DataFrame, on: Column | str | list[str
     return facts.join(F.broadcast(fixed), on, "left")
 
 
-def cross_one_row(facts: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach an ungrouped aggregate, which is one row by construction, to every row."""
-    return facts.crossJoin(F.broadcast(one_row))
+def with_totals(facts: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of an ungrouped aggregate on every row, as a scalar subquery.
+
+    The aggregate is computed once and arrives as a constant, so nothing is joined.
+    """
+    packed = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return facts.withColumn("_row", packed).select(
+        *facts.columns, *[F.col("_row")[c].alias(c) for c in one_row.columns])
 
 
 def left_lookup(facts: DataFrame, dimension: DataFrame, key: str, spread: int = 64) -> DataFrame:
@@ -80,7 +85,7 @@ def attach_clamped(facts: DataFrame, vintages: DataFrame, year: str, key: str, v
     ``facts`` must be aggregated, so no key holds more rows than it has groups.
     """
     bounds = vintages.agg(F.min(vintage).alias("_low"), F.max(vintage).alias("_high"))
-    placed = cross_one_row(facts, bounds).withColumn(
+    placed = with_totals(facts, bounds).withColumn(
         "_vintage", clamp_to_bounds(F.col(year), F.col("_low"), F.col("_high")))
     right = vintages.select(
         F.col(key).alias("_vintage_key"), F.col(vintage).alias("_vintage"),
@@ -111,7 +116,7 @@ def constant_dollars(facts: DataFrame, index: DataFrame, year: str, amounts: dic
     base = index.where(F.col("_index_year") == base_year).agg(F.max("_index").alias("_base"))
     yearly = F.broadcast(index.groupBy("_index_year").agg(F.max("_index").alias("_index")))
     with_year = facts.join(yearly, F.col(year).cast("int") == F.col("_index_year"), "left")
-    restated = cross_one_row(with_year, base).select(
+    restated = with_totals(with_year, base).select(
         *facts.columns,
         *[F.try_divide(amount.cast("double") * F.col("_base"), F.col("_index")).alias(name)
           for name, amount in amounts.items()])

@@ -11,7 +11,7 @@ from plumbline.functions.flags import value_at_max
 from plumbline.functions.text import blank_to_null
 from plumbline.functions.typed import geoid_county
 from plumbline.operators import generators as gen
-from plumbline.operators.joins import cross_one_row, lookup_fixed
+from plumbline.operators.joins import with_totals, lookup_fixed
 from plumbline.operators.reshape import union_all, union_distinct
 from plumbline.params import DEFAULT, Params
 from plumbline.sources.seeds import fixed_table
@@ -128,7 +128,7 @@ def county_dimension(population: DataFrame, referenced: list[tuple[str, DataFram
     })
     states = state_dimension(spark, params).where(F.col("state_fips").isNotNull()).select(
         "state_fips", "state_code", "state_name")
-    placed = cross_one_row(lookup_fixed(classified, states, "state_fips"), latest)
+    placed = with_totals(lookup_fixed(classified, states, "state_fips"), latest)
     short_name = F.nullif(F.split_part(F.col("county_name_full"), F.lit(","), F.lit(1)), F.lit(""))
     unknown_name = F.when(F.col("geography_kind") == "unknown_county",
                           F.concat("state_code", F.lit("-UNKNOWN")))

@@ -18,7 +18,7 @@ from plumbline.functions.flags import (
 from plumbline.operators.aggregates import group_total
 from plumbline.operators.joins import (
     constant_dollars,
-    cross_one_row,
+    with_totals,
     left_lookup,
     lookup_fixed,
     pair_rows,
@@ -300,7 +300,9 @@ def need_vs_capacity(elderly: DataFrame, compared: DataFrame, params: Params = D
         .when(overlap(now_low, now_high, was_low, was_high), "no significant change")
         .when(F.col("_no_polarity"), None)
         .otherwise(_better(now, was, F.col("higher_is_better"), "improving", "deteriorating")))
-    assessed = cross_one_row(change_rows.withColumn("indicator_direction", direction), growth)
+    # Without both vintages there is no growth to compare with, and no row.
+    assessed = with_totals(change_rows.withColumn("indicator_direction", direction), growth).where(
+        F.col("from_vintage").isNotNull())
     verdict, pct = F.col("indicator_direction"), F.col("population_change_pct")
     return assessed.select(
         "question_id", "question", "class_id", "indicator_family", "short_label", "higher_is_better",

@@ -10,7 +10,7 @@ from plumbline.functions.flags import is_small, tally
 from plumbline.operators.joins import (
     attach_clamped,
     constant_dollars,
-    cross_one_row,
+    with_totals,
     explode_month_ends,
     left_lookup,
     match_events,
@@ -67,7 +67,7 @@ def claims_monthly(claims: DataFrame, population: DataFrame, prices: DataFrame,
         *[_money_sum(claims, source).alias(name) for name, source in PAID.items()])
     # One column of the scan; the cells themselves may be many.
     extent = claims.agg(F.max("date_of_loss").alias("_last_loss"))
-    dated = cross_one_row(cells, extent)
+    dated = with_totals(cells, extent)
     placed = attach_clamped(
         dated, county_population(population), "loss_year", "_county", "vintage_year",
         ["county_population", "population_vintage_window"], "population_is_extrapolated",
@@ -132,7 +132,7 @@ def claims_detail(claims: DataFrame, prices: DataFrame, counties: DataFrame,
 def policies_in_force(policies: DataFrame, counties: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Policies covering each month end, per county; a record may stand for several policies."""
     horizon = policies.agg(F.max("as_of_date").alias("_horizon"))
-    valid = cross_one_row(policies.where(~F.col("has_invalid_term")), horizon)
+    valid = with_totals(policies.where(~F.col("has_invalid_term")), horizon)
     sums = {
         "premium_in_force": "total_insurance_premium_of_the_policy",
         "building_coverage_in_force": "total_building_insurance_coverage",
@@ -227,12 +227,12 @@ def reconciliation(manifests: dict[str, DataFrame], claims: DataFrame, claims_ma
               for c in ("retrieved_at", "source_last_refresh", "source_metadata_refresh")],
             note.alias("interpretation"))
 
-    claim_counts = cross_one_row(cross_one_row(
+    claim_counts = with_totals(with_totals(
         manifests["nfip_claims"], rows(claims, "_staged")),
         claims_mart.agg(F.sum("claim_count").alias("_mart")))
-    area_counts = cross_one_row(cross_one_row(
+    area_counts = with_totals(with_totals(
         manifests["fema_declarations"], rows(declarations, "_staged")), rows(disaster_rows, "_mart"))
-    policy_counts = cross_one_row(manifests["nfip_policies"], rows(policies, "_staged"))
+    policy_counts = with_totals(manifests["nfip_policies"], rows(policies, "_staged"))
     return union_all([
         line("nfip_claims", "claim records",
              F.lit("A publisher gap is timing; a warehouse-to-mart gap is a defect here."),

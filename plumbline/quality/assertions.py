@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import fixed_values as fixed
 from plumbline.functions.flags import tally
 from plumbline.operators.reshape import union_all, union_distinct
-from plumbline.operators.joins import cross_one_row
+from plumbline.operators.joins import with_totals
 from plumbline.params import DEFAULT, Params
 from plumbline.sources.seeds import fixed_table
 
@@ -179,7 +179,7 @@ def ties(measures: Sequence[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """(measure, mart_value, base_value, gap): each side a one-row frame with ``v``."""
     parts = []
     for name, mart, base in measures:
-        sides = cross_one_row(mart.select(F.col("v").cast("double").alias("mart_value")),
+        sides = with_totals(mart.select(F.col("v").cast("double").alias("mart_value")),
                               base.select(F.col("v").cast("double").alias("base_value")))
         parts.append(sides.select(F.lit(name).alias("measure"), "mart_value", "base_value",
                                   (F.col("mart_value") - F.col("base_value")).alias("gap")))
@@ -259,7 +259,7 @@ def denials_above_decisions(lending_mart: DataFrame) -> DataFrame:
 def past_horizon(mart: DataFrame, column: str, base: DataFrame, horizon: Column) -> DataFrame:
     """Rows dated after the newest date of the file they came from."""
     newest = base.agg(F.max(horizon).alias("_newest"))
-    return cross_one_row(mart, newest).where(F.col(column) > F.col("_newest")).drop("_newest")
+    return with_totals(mart, newest).where(F.col(column) > F.col("_newest")).drop("_newest")
 
 
 def mislabelled_spans(periods: DataFrame) -> DataFrame:

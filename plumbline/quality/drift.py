@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.joins import cross_one_row
+from plumbline.operators.joins import with_totals
 from plumbline.quality.results import FAIL, PASS, SKIP, WARN, counted, passes, results
 from plumbline.sources.seeds import fixed_table
 
@@ -56,7 +56,7 @@ def schema_drift(observed: DataFrame, baseline: DataFrame, comparison: DataFrame
 
 def conserves_rows(raw: DataFrame, staged: DataFrame, track: str, source: str) -> DataFrame:
     """Staging types and renames; it never filters and never fans out."""
-    both = cross_one_row(raw.agg(F.count(F.lit(1)).alias("raw")), staged.agg(F.count(F.lit(1)).alias("staged")))
+    both = with_totals(raw.agg(F.count(F.lit(1)).alias("raw")), staged.agg(F.count(F.lit(1)).alias("staged")))
     return results(both, track, source, ("staging conserves rows", passes(F.col("raw") == F.col("staged")),
                                          counted(raw=F.col("raw"), staged=F.col("staged"))))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fixed
-from plumbline.operators.joins import cross_one_row
+from plumbline.operators.joins import with_totals
 from plumbline.quality.results import (
     FAIL,
     PASS,
@@ -84,7 +84,7 @@ def lossless(landing: DataFrame, raw: DataFrame, sums: Sequence[str], track: str
 
 def partitions_sum(counts: DataFrame, table_rows: DataFrame, track: str, source: str) -> DataFrame:
     """No row fell between the partitions; ``table_rows`` is one row with ``n``."""
-    both = cross_one_row(counts.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total")), table_rows)
+    both = with_totals(counts.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total")), table_rows)
     return results(both, track, source, ("partitions sum to table", passes(F.col("total") == F.col("n")),
                                          counted(partitions=F.col("total"), table=F.col("n"))))
 
@@ -202,7 +202,7 @@ def paging(ids: DataFrame, page: str, key: str, page_size: int, track: str, sour
         F.min(key).alias("low"), F.max(key).alias("high"))
     before = pages.select((F.col("page") + 1).alias("page"), F.col("high").alias("prior_high"))
     last = pages.agg(F.max("page").alias("last"))
-    chained = cross_one_row(pages.join(before, "page", "left"), last)
+    chained = with_totals(pages.join(before, "page", "left"), last)
     is_last = F.col("page") == F.col("last")
     measured = chained.agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.col("n") - F.col("ids")).alias("repeated"),

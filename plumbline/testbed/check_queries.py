@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline import fixed_values as fixed
 from plumbline.operators.aggregates import profile
+from plumbline.operators.joins import with_totals
 from plumbline.operators.reshape import union_all
 from plumbline.plans import conformed, staging
 from plumbline.plans import marts_health as health
@@ -53,7 +54,7 @@ def count_chain(t: Testbed) -> DataFrame:
     landing = t.raw("complaints").agg(F.count(F.lit(1)).alias("rows_landing"))
     raw = t.complaints.agg(F.count(F.lit(1)).alias("rows_raw"))
     table = t.complaints.agg(F.count(F.col("zip_mask_kind")).alias("rows_table"))
-    counts = landing.crossJoin(F.broadcast(raw)).crossJoin(F.broadcast(table)).select(
+    counts = with_totals(with_totals(landing, raw), table).select(
         "*", (F.col("rows_landing") + 2).alias("source_reported_count"),
         F.lit("2001-08-01").alias("source_last_refresh"), F.lit("2001-07-30").alias("source_metadata_refresh"))
     return integrity.count_chain(counts, "fintech", "cfpb_complaints")

@@ -11,7 +11,7 @@ from plumbline.functions.flags import is_small, percent, tally
 from plumbline.functions.text import normalize_company_name, row_text
 from plumbline.operators import generators
 from plumbline.operators.aggregates import coverage_lists, distinct_keys, exact_median, profile
-from plumbline.operators.joins import constant_dollars, cross_one_row, price_index
+from plumbline.operators.joins import constant_dollars, with_totals, price_index
 from plumbline.operators.reshape import union_all, union_distinct
 from plumbline.operators.sampling import (
     Stratum,
@@ -161,7 +161,7 @@ def membership_filters(t: Testbed) -> DataFrame:
         ~F.col("o_totalprice").between(1000, 20000) & ~F.col("o_orderstatus").eqNullSafe("O")
         & F.col("o_orderpriority").rlike("^[1-3]-"))
     return (
-        cross_one_row(kept, newest).where(F.col("o_orderdate") < F.col("_newest"))
+        with_totals(kept, newest).where(F.col("o_orderdate") < F.col("_newest"))
         .join(buyers, "o_custkey", "left_semi")
         .join(least, ["o_orderpriority", "o_orderstatus"], "left_anti")
         .join(returned, "o_orderkey", "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import with_totals
 from plumbline.plans import staging
 from plumbline.plans.conformed import county_universe
 from plumbline.quality.integrity import header_mismatches
@@ -72,7 +73,7 @@ def array_headers(t: Testbed) -> DataFrame:
     _write_responses(t, folder)
     headers = readers.json_array_headers(t.spark, f"{folder}/*acs5-detailed-*-county.json")
     wrong = header_mismatches(headers, ["NAME", *_ACS, "state", "county"]).agg(F.count(F.lit(1)).alias("wrong"))
-    both = headers.agg(F.count(F.lit(1)).alias("files")).crossJoin(F.broadcast(wrong))
+    both = with_totals(headers.agg(F.count(F.lit(1)).alias("files")), wrong)
     return results(both, "shared", "acs5_detailed", ("header order", passes(F.col("wrong") == 0),
                                                      counted(files=F.col("files"), mismatched=F.col("wrong"))))
 
@@ -129,7 +130,7 @@ def table_load(t: Testbed) -> DataFrame:
     name = "load_" + folder.rsplit("-", 1)[-1]
     saved = sinks.save_table(t.table("customer"), name, {"c_custkey": "Customer number"}, path=folder)
     manifest = t.table("customer").agg(F.count(F.lit(1)).alias("manifest"))
-    both = saved.agg(F.count(F.lit(1)).alias("loaded")).crossJoin(F.broadcast(manifest))
+    both = with_totals(saved.agg(F.count(F.lit(1)).alias("loaded")), manifest)
     return results(both, "shared", "customer", ("table matches manifest", passes(F.col("loaded") == F.col("manifest")),
                                                 counted(table=F.col("loaded"), manifest=F.col("manifest"))))
 
