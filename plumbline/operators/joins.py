@@ -44,19 +44,6 @@ def left_lookup(facts: DataFrame, dimension: DataFrame, key: str, spread: int =
     return keyed.join(right, "_lookup_key", "left").drop("_lookup_key")
 
 
-def weighted_fan_out(counts: DataFrame, weights: DataFrame, on: str, measures: Sequence[str],
-                     weight: str = "allocation_weight") -> DataFrame:
-    """Spread pre-aggregated counts over weighted targets; ``counts`` must be aggregated first."""
-    return counts.join(weights, on).select(
-        *[c for c in counts.columns if c not in measures],
-        *[c for c in weights.columns if c not in (on, weight)],
-        *measures, weight)
-
-
-def not_in(facts: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    return facts.join(keys, on, "left_anti")
-
-
 def explode_month_ends(rows: DataFrame, begin: str, end: str, horizon: Column | str,
                        name: str = "month_end") -> DataFrame:
     """One row per month end inside ``[begin, end)`` and not past ``horizon``.
@@ -145,16 +132,6 @@ def match_events(facts: DataFrame, areas: DataFrame, day: str, begin: str, until
     return union_all([part.where(inside).select(columns) for part in (statewide, local)])
 
 
-def broadcast_if_bounded(dimension: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting that the dimension stays within ``max_rows``.
-
-    Meant for materialised dimensions, where the count reads a footer. Beyond the bound the
-    frame comes back unhinted and joins by shuffle.
-    """
-    within = dimension.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(dimension) if within else dimension
-
-
 def pair_rows(df: DataFrame, left: Column, right: Column, columns: dict[str, str]) -> DataFrame:
     """Put two single rows of one table side by side, each picked by a condition.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fixed
-from plumbline.functions.dates import period_id, year_month
+from plumbline.functions.dates import year_month
 from plumbline.functions.flags import value_at_max
 from plumbline.functions.text import blank_to_null
 from plumbline.functions.typed import geoid_county
@@ -142,7 +142,3 @@ def county_dimension(population: DataFrame, referenced: list[tuple[str, DataFram
         (F.col("last_vintage") == F.col("_latest")).alias("is_current_vintage"),
         "geography_note",
     )
-
-
-def with_period(df: DataFrame, grain: str, key: str) -> DataFrame:
-    return df.withColumn("period_id", period_id(grain, F.col(key)))

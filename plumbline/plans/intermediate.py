@@ -13,7 +13,7 @@ from plumbline.functions.text import normalize_company_name
 from plumbline.functions.typed import suppressed_number
 from plumbline.operators.aggregates import group_total
 from plumbline.operators.joins import lookup_fixed
-from plumbline.operators.reshape import union_all, unpivot_named
+from plumbline.operators.reshape import columns_where, union_all, unpivot_named
 from plumbline.params import DEFAULT, Params
 from plumbline.plans.conformed import state_dimension
 from plumbline.plans.staging import GEOGRAPHY_KEYS
@@ -156,7 +156,7 @@ def decode_measure(column: str) -> tuple[str, str | None, bool]:
 def service_columns(df: DataFrame) -> list[str]:
     """Every column that is neither a key nor an enrolment or quality figure."""
     apart = {*GEOGRAPHY_KEYS, *fixed.NON_SERVICE_MEASURES}
-    return [c for c in df.columns if c not in apart and not c.startswith("PQI")]
+    return columns_where(df, lambda c: c not in apart and not c.startswith("PQI"))
 
 
 def decoded_names(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from plumbline.functions.text import (
 )
 from plumbline.operators.aggregates import group_total
 from plumbline.operators.joins import lookup_fixed
-from plumbline.operators.reshape import drop_then_add, rename
+from plumbline.operators.reshape import columns_where, drop_then_add, rename
 from plumbline.params import DEFAULT, Params
 from plumbline.plans.conformed import state_dimension
 from plumbline.sources.seeds import code_list, fixed_map
@@ -313,7 +313,7 @@ def enrolment_name(column: str) -> str:
 
 def stage_medicare(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Enrolment and quality figures per geography, year and age level."""
-    measures = [c for c in raw.columns if c in fixed.NON_SERVICE_MEASURES or c.startswith("PQI")]
+    measures = columns_where(raw, lambda c: c in fixed.NON_SERVICE_MEASURES or c.startswith("PQI"))
     df = rename(raw.select(*GEOGRAPHY_KEYS, *measures), {}, enrolment_name)
     names = [enrolment_name(c) for c in measures]
     county = F.col("geo_level") == "County"

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.reshape import union_all
-
 PASS, WARN, SKIP, FAIL = "PASS", "WARN", "SKIP", "FAIL"
 
 
@@ -46,10 +42,6 @@ def exit_code(results: DataFrame) -> int:
     return 0 if results.where(F.col("status") == FAIL).limit(1).count() == 0 else 1
 
 
-def combine(parts: Sequence[DataFrame]) -> DataFrame:
-    return union_all(parts)
-
-
 def coverage_status(condition: Column, is_sample: bool, otherwise: str = FAIL) -> Column:
     """A coverage claim cannot be put to a stratified sample, so there it is skipped."""
     return F.lit(SKIP) if is_sample else passes(condition, otherwise)
