@@ -340,14 +340,27 @@ _MODES = "source|mode|expected_count\n" + "\n".join(
     f"{s}|{m}|{6 if m == 'count' else ''}" for s, (m, _) in _DRIFT_BASE.items())
 
 
-@entry("schema_drift", """
-SELECT source, 'schema drift' AS check_name, status, detail FROM (VALUES ('orders', 'PASS', 'present=6, dropped=0, added=0'),
+
+def _row_counts(t: Testbed, names) -> DataFrame:
+    return union_all([
+        t.table(name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("source"), "row_count")
+        for name in names])
+
+
+def _row_counts_sql(names) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) AS row_count FROM {n}" for n in names)
+
+
+@entry("schema_drift", f"""
+SELECT source, 'schema drift' AS check_name, status, detail, row_count FROM (VALUES ('orders', 'PASS', 'present=6, dropped=0, added=0'),
   ('customer', 'FAIL', 'present=5, dropped=1, added=1'), ('supplier', 'WARN', 'present=4, dropped=0, added=1'), ('part', 'PASS', 'present=6, dropped=0, added=4'),
-  ('events', 'PASS', 'present=6, dropped=0, added=6'), ('documents', 'SKIP', 'present=5, dropped=0, added=5')) AS v(source, status, detail)""")
+  ('events', 'PASS', 'present=6, dropped=0, added=6'), ('documents', 'SKIP', 'present=5, dropped=0, added=5')) AS v(source, status, detail)
+JOIN ({_row_counts_sql(_DRIFT_BASE)}) USING (source)""")
 def schema_drift(t: Testbed) -> DataFrame:
     observed = drift.column_roster({s: t.table(s) for s in _DRIFT_BASE}, t.spark)
     lines = ["source|column_name"] + [f"{s}|{c}" for s, (_, columns) in _DRIFT_BASE.items() for c in columns]
-    return drift.schema_drift(observed, fixed_table(t.spark, "\n".join(lines)), fixed_table(t.spark, _MODES))
+    checked = drift.schema_drift(observed, fixed_table(t.spark, "\n".join(lines)), fixed_table(t.spark, _MODES))
+    return checked.join(_row_counts(t, _DRIFT_BASE), "source")
 
 
 _TRACK = {"claims": "insurance", "policies": "insurance", "declarations": "insurance", "complaints": "fintech",
@@ -594,12 +607,12 @@ def insurance_reconciliation(t: Testbed) -> DataFrame:
 
 
 @entry("data_dictionary", f"""
-SELECT table_name AS relation_name, 'view' AS relation_kind, 'other' AS layer, 'shared' AS track, column_index AS ordinal_position, column_name, false AS is_documented
-FROM duckdb_columns() WHERE table_name IN ({', '.join(f"'{n}'" for n in TABLES)})""")
+SELECT table_name AS relation_name, 'view' AS relation_kind, 'other' AS layer, 'shared' AS track, column_index AS ordinal_position, column_name, false AS is_documented, row_count
+FROM duckdb_columns() JOIN ({_row_counts_sql(TABLES)}) ON source = table_name""")
 def dictionary(t: Testbed) -> DataFrame:
     for name in TABLES:
         t.table(name).createOrReplaceTempView(name)
     rows = catalogue_rows(t.spark).where(F.col("relation_name").isin(*TABLES) & (F.col("relation_kind") == "view"))
-    return data_dictionary(rows).select(
+    described = data_dictionary(rows).select(
         "relation_name", "relation_kind", "layer", "track", "ordinal_position", "column_name", "is_documented").distinct()
-
+    return described.join(_row_counts(t, TABLES).withColumnRenamed("source", "relation_name"), "relation_name")
