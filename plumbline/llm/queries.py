@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import weak_supervision
+from plumbline.llm import merkle, minimax_shards, source_mix, weak_supervision
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +16,58 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return minimax_shards.assign(_table(spark, folder, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     return weak_supervision.judge(_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("quality", 6).alias("quality"))
 
 
+def op7_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, folder, "documents"))
+
+
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.taken_words(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_minimax_shards": op2_minimax_shards,
     "op3_quality_votes": op3_quality_votes,
+    "op7_merkle": op7_merkle,
+    "op8_source_mix": op8_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _leaves(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '{merkle.PARAGRAPH}'), lambda p: sha256(p))"
+
+
+_ROOT = """sha256(array_to_string(list_transform(list_filter(string_split(array_to_string(list_transform({0},
+  lambda h: h || CASE WHEN h < '4' THEN '|' ELSE ',' END), ''), '|'), lambda s: s <> ''), lambda s: sha256(s)), ','))"""
+_LIKENESS = """round(CASE WHEN len(list_distinct({0})) + len(list_distinct({1})) = 0 THEN 1.0 ELSE
+  2.0 * len(list_intersect(list_distinct({0}), list_distinct({1}))) / (len(list_distinct({0})) + len(list_distinct({1}))) END, 9)"""
+
+#: DuckDB SQL. Operators left out keep models, indexes or hashes that SQL has no words for.
+ORACLE_SQL: dict[str, str] = {
+    "op7_merkle": f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC),
+             first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS nxt
+  FROM documents),
+edited AS (
+  SELECT *, substring(t, 1, length(t) - length(t) // 2) || substring(nxt, 1, length(t) // 2) AS e FROM ordered),
+leaved AS (
+  SELECT *, {_leaves('t')} AS lt, {_leaves('e')} AS le, {_leaves('nxt')} AS ln FROM edited)
+SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, {_ROOT.format('lt')} AS fingerprint,
+  {_ROOT.format('le')} AS edited_fingerprint, {_LIKENESS.format('lt', 'le')} AS near_edited,
+  {_LIKENESS.format('lt', 'ln')} AS near_next
+FROM leaved""",
+}
