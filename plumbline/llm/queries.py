@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import merkle, minimax_shards, source_mix, weak_supervision
+from plumbline.llm import merkle, minimax_shards, run_length_index, source_mix, weak_supervision
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,11 +36,18 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.taken_words(_table(spark, folder, "documents"))
 
 
+def op9_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = run_length_index.cut_repeats(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_quality_votes": op3_quality_votes,
     "op7_merkle": op7_merkle,
     "op8_source_mix": op8_source_mix,
+    "op9_run_length_dedup": op9_run_length_dedup,
 }
 
 
