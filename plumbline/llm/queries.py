@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import merkle, minimax_shards, run_length_index, source_mix, weak_supervision
+from plumbline.llm import merkle, minhash, minimax_shards, run_length_index, source_mix, weak_supervision
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
         F.round("quality", 6).alias("quality"))
 
 
+def op5_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), words=2, percent=80)
+
+
 def op7_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, folder, "documents"))
 
@@ -45,6 +49,7 @@ def op9_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_quality_votes": op3_quality_votes,
+    "op5_bbit_minhash": op5_bbit_minhash,
     "op7_merkle": op7_merkle,
     "op8_source_mix": op8_source_mix,
     "op9_run_length_dedup": op9_run_length_dedup,
