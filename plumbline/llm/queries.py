@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import merkle, minhash, minimax_shards, run_length_index, source_mix, weak_supervision
+from plumbline.llm import merkle, minhash, minimax_shards, run_length_index, source_mix, wavelet, weak_supervision
+from plumbline.llm.common import let_workers_import
+from plumbline.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    at = shared_folder(spark, "wavelet")
+    wavelet.write_shards(_table(spark, folder, "documents"), at, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return wavelet.read_documents(spark, at).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     return minimax_shards.assign(_table(spark, folder, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -47,6 +57,7 @@ def op9_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_wavelet": op1_wavelet,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_quality_votes": op3_quality_votes,
     "op5_bbit_minhash": op5_bbit_minhash,
