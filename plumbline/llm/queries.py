@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import merkle, minhash, minimax_shards, run_length_index, source_mix, wavelet, weak_supervision
+from plumbline.llm import lattice_sampling, merkle, minhash, minimax_shards, run_length_index, source_mix, wavelet, weak_supervision
 from plumbline.llm.common import let_workers_import
 from plumbline.session import shared_folder
 
@@ -56,6 +56,14 @@ def op9_run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_gumbel_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    samples = lattice_sampling.sample_segmentations(
+        _table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return samples.select(
+        "doc_id", "sample", F.expr("cast(octet_length(ids) div 2 as long)").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"), *[F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")])
+
+
 QUERIES: dict[str, Query] = {
     "op1_wavelet": op1_wavelet,
     "op2_minimax_shards": op2_minimax_shards,
@@ -64,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op7_merkle": op7_merkle,
     "op8_source_mix": op8_source_mix,
     "op9_run_length_dedup": op9_run_length_dedup,
+    "op10_gumbel_segmentations": op10_gumbel_segmentations,
 }
 
 
