@@ -3,7 +3,8 @@
 A lattice holds every way to cut a text into pieces. A piece's log probability falls with the
 logarithm of its rank in the vocabulary (``alpha`` is the power); characters without a piece
 become their bytes. No piece reaches over a space, so the lattice is a chain of small ones,
-one per unit (spaces and the run after them), and units that recur are solved once.
+one per unit (spaces and the run after them). A unit that recurs is solved once, and units are
+solved side by side.
 
 Backward sums give each node the mass behind it, so an edge has an exact conditional
 probability, and a region of the search (a prefix, less the edges already used after it) an exact mass.
@@ -29,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Units whose lattices a worker remembers, and rows that are walked together.
-MEMO, ROWS = 60_000, 48
+#: Characters of texts that are walked together; a longer text is walked alone.
+TOGETHER = 1_000_000
 
 SCHEMA = "doc_id long, sample int, ids binary, log_prob double, perturbed double, inclusion double"
 
@@ -47,8 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Vocabulary and solved unit lattices. A lattice is bytes of edge arrays in node order:
-    edges per node, then per edge the running probability at its node, code, length and log probability."""
+    """The vocabulary, as one table of prefixes per length, and the spelling of other characters."""
 
     def __init__(self, model: str, alpha: float) -> None:
         import sentencepiece
@@ -61,14 +62,34 @@ class Lattices:
         self.pieces = {self.model.id_to_piece(i): (i, -alpha * math.log(r + 1) - total) for r, i in enumerate(plain)}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece of this model reaches over a space")
-        self.longest = max(map(len, self.pieces))
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = -alpha * math.log(len(plain) + 1) - total
         self.size, self.spelled, self.codes = n, {}, []  # characters of several bytes get codes from n on
-        self.memo: dict[str, tuple[bytes, bytes, bytes, bytes, bytes]] = {}
-
-    def _spell(self, char: str) -> tuple[int, float]:
-        data = char.encode()
+        self.tables = self._tables()
+
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: hashes of the prefixes of pieces in order, the piece that ends there (or -1), its score."""
+        ending: list[dict[str, tuple[int, float]]] = [{} for _ in range(max(map(len, self.pieces)))]
+        for piece, own in self.pieces.items():
+            for size in range(1, len(piece)):
+                ending[size - 1].setdefault(piece[:size], (-1, 0.0))
+            ending[len(piece) - 1][piece] = own
+        tables = []
+        for size, own in enumerate(ending, 1):
+            letters = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            hashes = np.zeros(len(own), np.uint64)
+            for column in letters.T:
+                hashes = _extended(hashes, column)
+            order = np.argsort(hashes)
+            if len(np.unique(hashes)) != len(hashes):
+                raise ValueError("two pieces of this model share a hash")
+            codes, scores = (np.array([v[i] for v in own.values()])[order] for i in range(2))
+            tables.append((hashes[order], codes, scores))
+        return tables
+
+    def spell(self, char: int) -> tuple[int, float]:
+        """Code and score of a character that is no piece."""
+        data = chr(char).encode()
         if len(data) == 1:
             return self.bytes[data[0]], self.byte_score
         if char not in self.spelled:
@@ -76,71 +97,89 @@ class Lattices:
             self.codes.append([self.bytes[b] for b in data])
         return self.spelled[char], self.byte_score * len(data)
 
-    def solve(self, unit: str) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        known = self.memo.get(unit)
-        if known is not None:
-            return known
-        n, get = len(unit), self.pieces.get
-        beta = [0.0] * (n + 1)
-        nodes: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-        for at in range(n - 1, -1, -1):
-            edges = []
-            for end in range(at + 1, min(n, at + self.longest) + 1):
-                piece = get(unit[at:end])
-                if piece is None:
-                    if end > at + 1:
-                        continue
-                    piece = self._spell(unit[at])
-                edges.append((piece[0], end - at, piece[1] + beta[end]))
-            top = max(e[2] for e in edges)
-            beta[at] = top + math.log(sum(math.exp(e[2] - top) for e in edges))
-            nodes[at] = edges
-        counts, upto, code, size, score = [], [], [], [], []
-        for at, edges in enumerate(nodes):
-            counts.append(len(edges))
-            running = 0.0
-            for c, s, weight in edges:
-                log_p = weight - beta[at] if len(edges) > 1 else 0.0
-                running += math.exp(log_p)
-                upto.append(running)
-                code.append(c)
-                size.append(s)
-                score.append(log_p)
-            upto[-1] = 1.0
-        solved = (np.array(counts, np.int32).tobytes(), np.array(upto).tobytes(), np.array(code, np.int32).tobytes(),
-                  np.array(size, np.int32).tobytes(), np.array(score).tobytes())
-        if len(unit) <= 64:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[unit] = solved
-        return solved
-
     def emit(self, codes: np.ndarray) -> np.ndarray:
+        """Token ids of codes: spelled characters become their bytes."""
         if not len(codes) or codes.max() < self.size:
             return codes
         return np.array([i for c in codes.tolist() for i in (self.codes[c - self.size] if c >= self.size else (c,))])
 
 
+def _extended(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    return _mix(hashes + letters.astype(np.uint64) + np.uint64(1))
+
+
 class Batch:
-    """The lattices of some texts side by side: nodes and edges in flat arrays."""
+    """The lattices of some texts side by side, each distinct unit once: nodes and edges in flat arrays.
+
+    A unit of n characters has n + 1 nodes. Edges are in node order; ``score`` is the log of an
+    edge's probability at its node, ``upto`` the node's number plus the running probability.
+    """
 
     def __init__(self, lattices: Lattices, texts: list[str]) -> None:
         self.units = [UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         distinct = {u: i for i, u in enumerate(dict.fromkeys(u for own in self.units for u in own))}
-        solved = [lattices.solve(u) for u in distinct]
-        counts, upto, self.code, self.size, self.score = (
-            np.frombuffer(b"".join(s[i] for s in solved), t)
-            for i, t in enumerate((np.int32, np.float64, np.int32, np.int32, np.float64)))
-        self.first_edge = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.upto = np.repeat(np.arange(len(counts)), counts) + upto  # node + running probability: ascending
         lengths = np.array([len(u) for u in distinct], np.int64)
-        self.first_node = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
+        letters = np.frombuffer("".join(distinct).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(len(letters))  # characters to the unit's end
+        node = np.arange(len(letters)) + np.repeat(np.arange(len(lengths)), lengths)
+        self.first_node = ends - lengths + np.arange(len(lengths))
         self.last_node = self.first_node + lengths
+        self._solve(lattices, letters, left, node, len(letters) + len(lengths))
         self.unit_of = np.array([distinct[u] for own in self.units for u in own], np.int64)
         self.doc_of = np.repeat(np.arange(len(texts)), [len(own) for own in self.units])
         begins = np.concatenate([[0], np.cumsum([len(own) for own in self.units])]).astype(np.int64)
         self.place_of = np.arange(len(self.unit_of)) - begins[self.doc_of]
 
+    def _edges(self, lattices: Lattices, letters: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place, size, code and score of every edge: prefixes grow a letter at a time while a piece may follow."""
+        at, hashes = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size, (table, codes, scores) in enumerate(lattices.tables, 1):
+            hashes = _extended(hashes, letters[at + size - 1])
+            slot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+            known = table[slot] == hashes
+            code = np.where(known, codes[slot], -1)
+            if size == 1:
+                for char in np.unique(letters[code < 0]).tolist():
+                    same = at[(letters == char)]
+                    own, score = lattices.spell(char)
+                    found.append((same, np.ones(len(same), np.int64), np.full(len(same), own), np.full(len(same), score)))
+            hit = code >= 0
+            found.append((at[hit], np.full(int(hit.sum()), size), code[hit], scores[slot[hit]]))
+            known &= left[at] > size
+            at, hashes = at[known], hashes[known]
+            if not len(at):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+    def _solve(self, lattices: Lattices, letters: np.ndarray, left: np.ndarray, node: np.ndarray, n_nodes: int) -> None:
+        """Backward sums, from the ends of all units towards their beginnings at once."""
+        place, size, code, weight = self._edges(lattices, letters, left)
+        order = np.argsort(place * 64 - size, kind="stable")
+        place, size, code, weight = (x[order] for x in (place, size, code, weight))
+        own = node[place]
+        beta = np.zeros(n_nodes)
+        score = np.zeros(len(own))
+        by_left = np.argsort(left[place], kind="stable")
+        cuts = np.searchsorted(left[place][by_left], np.arange(1, int(left.max(initial=0)) + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            edge = by_left[lo:hi]
+            total = weight[edge] + beta[own[edge] + size[edge]]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(own[edge])) + 1])
+            fan = np.diff(np.append(first, hi - lo))
+            top = np.repeat(np.maximum.reduceat(total, first), fan)
+            mass = np.log(np.add.reduceat(np.exp(total - top), first)) + top[first]
+            beta[own[edge[first]]] = mass
+            score[edge] = np.where(np.repeat(fan, fan) > 1, total - np.repeat(mass, fan), 0.0)
+        counts = np.bincount(own, minlength=n_nodes)
+        self.first_edge = np.concatenate([[0], np.cumsum(counts)])
+        self.code, self.size, self.score = code, size, score
+        running = np.concatenate([[0.0], np.cumsum(np.exp(score))])
+        self.upto = own + np.minimum(1.0, running[1:] - running[self.first_edge[own]])
+        last = self.first_edge[1:][counts > 0] - 1
+        self.upto[last] = own[last] + 1.0
+
     def walk(self, seeds: np.ndarray, sample: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """One full segmentation per text: edges, their nodes, and the unit each piece is in."""
         live = np.arange(len(self.unit_of))
@@ -150,8 +189,11 @@ class Batch:
         while len(live):
             u = (_mix(base[live] + np.uint64(step * 0x51_7C_C1B7)) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
             at = node[live]
-            edge = np.searchsorted(self.upto, at + u, "right")
-            edge = np.clip(edge, self.first_edge[at], self.first_edge[at + 1] - 1)
+            edge, target = self.first_edge[at], at + u
+            behind = np.flatnonzero(self.upto[edge] <= target)
+            while len(behind):  # long pieces come first and are likely, so few steps are needed
+                edge[behind] += 1
+                behind = behind[self.upto[edge[behind]] <= target[behind]]
             walkers.append(live)
             nodes.append(at)
             edges.append(edge)
@@ -267,11 +309,23 @@ def sample_texts(lattices: Lattices, keys: list[int | None], texts: list[str], k
     return out
 
 
+def _together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the groups that are walked together."""
+    first = size = 0
+    for row, chars in enumerate(pc.utf8_length(texts).to_pylist()):
+        if row > first and size + chars > TOGETHER:
+            yield first, row - first
+            first, size = row, 0
+        size += chars
+    if first < len(texts):
+        yield first, len(texts) - first
+
+
 def sample_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float = 1.0, seed: int = 10,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row k samples: doc_id, sample, ids (16-bit little-endian), log_prob, perturbed, inclusion.
 
-    One pass without a shuffle. Texts are walked ``ROWS`` at a time, each as a whole.
+    One pass without a shuffle. Texts are walked some at a time, each as a whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -279,8 +333,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model, alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at, n in _together(batch.column(1)):
+                part = batch.slice(at, n)
                 keys = part.column(0).to_pylist()
                 found = sample_texts(lattices, keys, part.column(1).to_pylist(), k, seed)
                 flat = [(key, i, ids.astype("<u2").tobytes(), p, g, q)
