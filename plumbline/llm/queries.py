@@ -8,9 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import lattice_sampling, merkle, minhash, minimax_shards, run_length_index, source_mix, wavelet, weak_supervision
-from plumbline.llm.common import let_workers_import
-from plumbline.session import shared_folder
+from plumbline.llm import (
+    lattice_sampling,
+    merkle,
+    minhash,
+    minimax_shards,
+    ordinal_toxicity,
+    run_length_index,
+    source_mix,
+    token_rollups,
+    wavelet,
+    weak_supervision,
+)
+from plumbline.llm.common import WORD, let_workers_import
+from plumbline.session import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +49,46 @@ def op3_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
         F.round("quality", 6).alias("quality"))
 
 
+def op4_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = ordinal_toxicity.fit(docs, _table(spark, folder, "labels"))
+    return ordinal_toxicity.score(docs, model).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "toxic")
+
+
 def op5_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), words=2, percent=80)
 
 
+#: Tokenizer versions of the rollup query: words, and runs of letters, digits or other signs.
+TOKENIZERS = {"words-1": WORD, "runs-1": r"\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+"}
+SIGNS = r"[#*$%&|<>]+"
+
+
+def op6_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents go in, counts are revised to those without runs of symbols, copies of a smaller id go out."""
+    text = F.coalesce("text", F.lit(""))
+    cleaned = F.regexp_replace(text, SIGNS, "")
+    counts = {f"{name}{suffix}": F.regexp_count(of, F.lit(pattern)).cast("long")
+              for name, pattern in TOKENIZERS.items() for suffix, of in (("", text), (" revised", cleaned))}
+    rows = materialise(_table(spark, folder, "documents").select(
+        "doc_id", "source", "lang", F.sha2(text, 256).alias("text_hash"), *[c.alias(n) for n, c in counts.items()]), "token-counts")
+    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
+    copies = rows.join(first, "text_hash").where("doc_id > first_id")
+    rollups = token_rollups.Rollups(spark, shared_folder(spark, "rollups"))
+
+    def batch(of: DataFrame, op: str, suffix: str) -> DataFrame:
+        parts = [token_rollups.changes(of, op, name, F.col(f"`{name}{suffix}`"), F.col(f"`{name}`") if op == "revise" else None)
+                 for name in TOKENIZERS]
+        return parts[0].unionByName(parts[1])
+
+    load = batch(rows, "insert", "")
+    rollups.apply("1-load", load)
+    rollups.apply("2-revise", batch(rows, "revise", " revised"))
+    rollups.apply("1-load", load)  # sent again, as after a lost answer: changes nothing
+    rollups.apply("3-copies", batch(copies, "delete", " revised"))
+    return rollups.totals()
+
+
 def op7_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, folder, "documents"))
 
@@ -68,7 +115,9 @@ QUERIES: dict[str, Query] = {
     "op1_wavelet": op1_wavelet,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_quality_votes": op3_quality_votes,
+    "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_bbit_minhash": op5_bbit_minhash,
+    "op6_token_rollups": op6_token_rollups,
     "op7_merkle": op7_merkle,
     "op8_source_mix": op8_source_mix,
     "op9_run_length_dedup": op9_run_length_dedup,
@@ -88,6 +137,12 @@ _LIKENESS = """round(CASE WHEN len(list_distinct({0})) + len(list_distinct({1}))
 
 #: DuckDB SQL. Operators left out keep models, indexes or hashes that SQL has no words for.
 ORACLE_SQL: dict[str, str] = {
+    "op6_token_rollups": " UNION ALL ".join(f"""
+SELECT * FROM (SELECT source, lang, '{name}' AS tokenizer, count(*) AS n_docs,
+  sum(len(regexp_extract_all(regexp_replace(coalesce(text, ''), '{SIGNS}', '', 'g'), '{pattern}')))::BIGINT AS n_tokens
+FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE coalesce(e.text, '') = coalesce(d.text, '') AND e.doc_id < d.doc_id)
+GROUP BY source, lang)""" for name, pattern in TOKENIZERS.items()),
     "op7_merkle": f"""
 WITH ordered AS (
   SELECT doc_id, coalesce(text, '') AS t,
