@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import (
     lattice_sampling,
     merkle,
@@ -122,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_run_length_dedup": op9_run_length_dedup,
     "op10_gumbel_segmentations": op10_gumbel_segmentations,
+    "pipeline": corpus_pipeline.run,
 }
 
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import WORD
 from plumbline.session import materialise
 
 KMER = 96
@@ -237,10 +238,12 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 _KEY = ("doc_id", "text_key")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Key and bytes of each row, and with ``carry`` the whole row as ``_row``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))).alias("doc_id"),
-                       F.xxhash64(text).alias("text_key"), F.encode(text, "UTF-8").alias("data"))
+                       F.xxhash64(text).alias("text_key"), F.encode(text, "UTF-8").alias("data"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row")] if carry else []))
 
 
 def _places(keyed: DataFrame, length: int) -> DataFrame:
@@ -361,30 +364,55 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(mixed).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, starts and ends (maximal removed runs) and ``kept``, the bytes left."""
-    if length <= KMER:
-        raise ValueError(f"matches shorter than {KMER + 1} bytes are not looked for")
-    keyed = _keyed(docs, id_col, text_col)
+def _cut(keyed: DataFrame, length: int, carried: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, starts, ends, kept of each row of ``keyed``, and ``_row`` where ``carried`` has it."""
     spans = repeated_spans(keyed, length)
-    schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+    rows = (keyed if carried is None else carried).join(spans, list(_KEY), "left").select(
+        "doc_id", "data", F.col("spans.start").alias("a"), F.col("spans.end").alias("b"), *([] if carried is None else ["_row"]))
+    extra = "" if carried is None else f", _row {carried.schema['_row'].dataType.simpleString()}"
+    schema = f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary{extra}"
+    whole_characters = carried is not None  # the bytes become a text again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out: list[tuple] = []
-                for doc_id, data, firsts, ends in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                for doc_id, data, firsts, ends in zip(*[c.to_pylist() for c in part.columns[:4]], strict=True):
                     a, b = merged(firsts or [], ends or [])
                     kept = b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)], strict=True))
+                    if whole_characters and a:
+                        kept = kept.decode("utf-8", "ignore").encode()
                     out.append((doc_id if doc_id != -(2 ** 63) else None, len(data), a, b, kept))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), longs, longs, pa.binary()), strict=True)],
-                    names=["doc_id", "n_bytes", "starts", "ends", "kept"])
+                columns = [pa.array(c, t) for c, t in zip(
+                    zip(*out, strict=True), (pa.int64(), pa.int64(), longs, longs, pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[4:]],
+                                                 names=["doc_id", "n_bytes", "starts", "ends", "kept", "_row"][:5 + len(part.columns) - 4])
+
+    return rows.mapInArrow(run, schema)
 
-    return (keyed.join(spans, list(_KEY), "left")
-            .select("doc_id", "data", F.col("spans.start").alias("a"), F.col("spans.end").alias("b")).mapInArrow(run, schema))
+
+def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_bytes, starts and ends (maximal removed runs) and ``kept``, the bytes left."""
+    if length <= KMER:
+        raise ValueError(f"matches shorter than {KMER + 1} bytes are not looked for")
+    return _cut(_keyed(docs, id_col, text_col), length)
+
+
+def cut_documents(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with repeated stretches cut out of ``text``; characters cut in half go whole.
+
+    A row of whose text no word is left is dropped, unless nothing was cut from it. ``n_chars``
+    follows the text where there is such a column.
+    """
+    cut = _cut(_keyed(docs, "doc_id", "text"), length, _keyed(docs, "doc_id", "text", carry=True))
+    text = F.col("kept").cast("string")
+    rows = cut.where((F.size("starts") == 0) | text.rlike(WORD)).withColumn("_text", text)
+    columns = [F.col("_text").alias(c) if c == "text" else
+               F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c)
+               for c in docs.columns]
+    return rows.select(*columns)
 
 
 def merged(firsts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:

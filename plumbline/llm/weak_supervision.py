@@ -186,3 +186,9 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] | Non
     return (score(stats, rules, fit(stats, rules))
             .withColumn("base_failed", base)
             .withColumn("kept", ~base & (F.col("quality") >= threshold)))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id has a kept text; columns as they are."""
+    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_id"]), "left_semi")
