@@ -13,9 +13,15 @@ from plumbline.sources.readers import HIVE_NULL
 
 
 def _magnitude_bin(value: Column) -> Column:
-    """A bin number that never decreases as the value grows: 64 bins per doubling."""
-    size = F.floor(F.log2(F.abs(value) + 1.0) * 64)
-    return F.when(value < 0, -size - 1).otherwise(size).cast("int")
+    """A bin number that never decreases as the value grows: 64 bins per doubling of its size.
+
+    Bins are relative, so shares near 0 are told apart as well as amounts. Infinities have end
+    bins, and NaN, the largest value in Spark's order, has the last one.
+    """
+    size = (F.floor(F.log2(F.abs(value)) * 64) + 70_000).cast("int")  # 1 at least, for the smallest double
+    return (F.when(F.isnan(value), 1_000_000)
+            .when(value == float("inf"), 999_999).when(value == float("-inf"), -999_999)
+            .when(value == 0, 0).when(value < 0, -size).otherwise(size))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -27,7 +33,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
        size, so finding the bins that hold the two middle ranks is small.
     3. Order only the values inside those bins.
 
-    Groups without a value are absent from the result; join it back from the left.
+    NaN counts as the largest value. Groups without a value are absent from the result; join it back from the left.
     """
     keys = list(keys)
     counts = (

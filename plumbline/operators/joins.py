@@ -31,16 +31,22 @@ def with_totals(facts: DataFrame, one_row: DataFrame) -> DataFrame:
         *facts.columns, *[F.col("_row")[c].alias(c) for c in one_row.columns])
 
 
-def left_lookup(facts: DataFrame, dimension: DataFrame, key: str, spread: int = 64) -> DataFrame:
-    """Left lookup on a text key that may be NULL for any share of the rows.
+def spread_missing(facts: DataFrame, key: str) -> Column:
+    """A text key in which rows without one are shared out.
 
-    A NULL matches nothing, yet all NULLs hash to one partition. Rows without a key get one
-    of ``spread`` stand-ins no dimension holds, chosen by a hash of the row, so that they
-    are shared out when the join shuffles and cost nothing when it broadcasts.
+    A NULL matches nothing, yet all NULLs hash to one partition. Such rows get one of several
+    stand-ins no dimension holds, chosen by a hash of the row: four for each partition of a
+    shuffle, whatever their number.
     """
+    spread = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stand_in = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*facts.columns[:8]), F.lit(spread)).cast("string"))
+    return F.coalesce(F.col(key), stand_in)
+
+
+def left_lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Left lookup on a text key that may be NULL for any share of the rows."""
     right = dimension.withColumnRenamed(key, "_lookup_key")
-    keyed = facts.withColumn("_lookup_key", F.coalesce(F.col(key), stand_in))
+    keyed = facts.withColumn("_lookup_key", spread_missing(facts, key))
     return keyed.join(right, "_lookup_key", "left").drop("_lookup_key")
 
 
@@ -77,7 +83,7 @@ def attach_clamped(facts: DataFrame, vintages: DataFrame, year: str, key: str, v
     right = vintages.select(
         F.col(key).alias("_vintage_key"), F.col(vintage).alias("_vintage"),
         *[F.col(c).alias(f"_of_{c}") for c in columns])
-    joined = placed.withColumn("_vintage_key", F.col(fact_key or key)).join(
+    joined = placed.withColumn("_vintage_key", spread_missing(placed, fact_key or key)).join(
         right, ["_vintage_key", "_vintage"], "left")
     return joined.select(
         *facts.columns, *[F.col(f"_of_{c}").alias(c) for c in columns],

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fixed
 from plumbline.functions.flags import tally, value_at_max
 from plumbline.functions.text import normalize_company_name
 from plumbline.functions.typed import suppressed_number
-from plumbline.operators.aggregates import group_total
 from plumbline.operators.joins import lookup_fixed
 from plumbline.operators.reshape import columns_where, union_all, unpivot_named
 from plumbline.params import DEFAULT, Params
@@ -24,20 +23,20 @@ def prefix_weights(crosswalk: DataFrame) -> DataFrame:
     """Three-digit ZIP prefixes to counties, weights scaled to add up to one per prefix."""
     pairs = crosswalk.groupBy("zip3", "county_fips").agg(
         F.sum("allocation_weight").alias("weight_sum")).where(F.col("weight_sum") > 0)
-    total = group_total(pairs, ["zip3"], F.struct(
-        F.sum("weight_sum").alias("w"), F.count(F.lit(1)).alias("n")), "_prefix")
-    return total.select(
+    prefix = Window.partitionBy("zip3")  # a few hundred counties at most
+    return pairs.select(
         "zip3", "county_fips", "weight_sum",
-        (F.col("weight_sum") / F.col("_prefix.w")).alias("allocation_weight"),
-        F.col("_prefix.n").alias("counties_in_prefix"))
+        (F.col("weight_sum") / F.sum("weight_sum").over(prefix)).alias("allocation_weight"),
+        F.count(F.lit(1)).over(prefix).alias("counties_in_prefix"))
 
 
 def allocate_complaints(complaints: DataFrame, crosswalk: DataFrame, weights: DataFrame) -> DataFrame:
-    """Place every complaint of a known state in counties, fractionally and without loss.
+    """Place every complaint that names a state in counties, fractionally and without loss.
 
     Complaints are counted before they fan out. Full ZIPs and masked prefixes meet one
-    weight table on one key, so the counts are joined once; what finds no ZIP, or has none,
-    goes to its state's unassigned county.
+    weight table on one key, so the counts are joined once; what finds no ZIP or prefix, or
+    has none, goes to its state's unassigned county. A state code without a FIPS code has a
+    bucket of its own, named after it.
     """
     kind = F.col("zip_mask_kind")
     route = F.when(kind.isin("full", "prefix_masked"), kind).otherwise("unplaceable")
@@ -65,16 +64,18 @@ def allocate_complaints(complaints: DataFrame, crosswalk: DataFrame, weights: Da
     method = (
         F.when(found & (F.col("route") == "full"), "full_zip")
         .when(found, "zip3_prefix")
+        .when(F.col("state_fips").isNull(), "state_without_fips")
         .when(F.col("route") == "full", "zip_not_in_crosswalk")
-        .when(F.col("route") == "unplaceable", "state_unassigned")
+        .when(F.col("route") == "prefix_masked", "prefix_not_in_crosswalk")
+        .otherwise("state_unassigned")
     )
     weight = F.when(found, F.col("allocation_weight")).otherwise(F.lit(1.0))
-    unassigned = F.concat("state_fips", F.lit("000"))
+    unassigned = F.concat(F.coalesce("state_fips", "state_code"), F.lit("000"))
     placed = spread.withColumns({
         "allocation_method": method,
         "county_fips": F.when(found, F.col("county_fips")).otherwise(unassigned),
         "w": weight,
-    }).where(F.col("allocation_method").isNotNull() & (found | F.col("state_fips").isNotNull()))
+    })
     shares = {"allocated_complaints": "n", "allocated_timely": "n_timely",
               "allocated_relief": "n_relief", "allocated_pending": "n_pending",
               "allocated_older_american": "n_older"}

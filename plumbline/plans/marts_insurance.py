@@ -139,11 +139,20 @@ def policies_in_force(policies: DataFrame, counties: DataFrame, params: Params =
         "contents_coverage_in_force": "total_contents_insurance_coverage",
         "policy_cost_in_force": "policy_cost",
     }
-    active = explode_month_ends(valid, "policy_effective_date", "policy_termination_date", "_horizon")
+    # Policies of one county with the same first and last month end go on as one row, so a dozen
+    # months per term multiply a few thousand cells and not the policies.
+    begin, end = F.col("policy_effective_date"), F.col("policy_termination_date")
+    before_end = F.least(F.date_sub(end, 1), F.col("_horizon"))
+    last = F.when(F.last_day(before_end) == before_end, before_end).otherwise(F.last_day(F.add_months(before_end, -1)))
+    spans = valid.select("*", F.last_day(begin).alias("_first"), last.alias("_last")).where("_first <= _last AND _horizon IS NOT NULL").groupBy(
+        "county_fips", "_first", "_last").agg(
+        F.sum("policy_count").alias("policies_in_force"), F.count(F.lit(1)).alias("policy_records"),
+        *[F.sum(source).alias(name) for name, source in sums.items()])
+    active = explode_month_ends(spans.withColumn("_until", F.date_add("_last", 1)), "_first", "_until", "_last")
     cells = active.groupBy("month_end", "county_fips").agg(
-        F.sum("policy_count").cast("bigint").alias("policies_in_force"),
-        F.count(F.lit(1)).alias("policy_records"),
-        *[_money_sum(policies, source).alias(name) for name, source in sums.items()])
+        F.sum("policies_in_force").cast("bigint").alias("policies_in_force"),
+        F.sum("policy_records").cast("bigint").alias("policy_records"),
+        *[_money_sum(spans, name).alias(name) for name in sums])
     named = left_lookup(cells, county_names(counties), "county_fips")
     month = year_month(F.col("month_end"))
     return named.select(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fixed
@@ -21,7 +21,6 @@ from plumbline.functions.text import (
     normalize_company_name,
     snake_case,
 )
-from plumbline.operators.aggregates import group_total
 from plumbline.operators.joins import lookup_fixed
 from plumbline.operators.reshape import columns_where, drop_then_add, rename
 from plumbline.params import DEFAULT, Params
@@ -426,8 +425,8 @@ def stage_crosswalk(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.col("state").alias("state_code"),
         *[typed.as_number(F.col(c)).alias(c) for c in ratios],
     )
-    total = F.col("_residential")
-    return group_total(df, ["zip5"], F.sum("res_ratio"), "_residential").select(
+    total = F.sum("res_ratio").over(Window.partitionBy("zip5"))  # a handful of counties share a ZIP
+    return df.select(
         *df.columns,
         F.when(total > 0, F.col("res_ratio")).otherwise(F.col("tot_ratio")).alias("allocation_weight"),
         F.when(total > 0, "res_ratio").otherwise("tot_ratio").alias("allocation_weight_source"),

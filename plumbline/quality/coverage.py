@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,8 +185,8 @@ def measure_ingredients(raw: Mapping[str, DataFrame], spark: SparkSession, param
                 try:
                     raw[table].agg(ingredient.measure(params)).schema  # resolves, runs nothing
                     aggregates.append(ingredient.measure(params).cast("bigint").alias(f"m{n}"))
-                except Exception:
-                    if not present:
+                except AnalysisException as error:
+                    if not present or not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
                         raise
                     aggregates.append(F.max(F.lit(-1)).cast("bigint").alias(f"m{n}"))
             row = raw[table].agg(*aggregates)

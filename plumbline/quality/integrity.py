@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fixed
@@ -150,7 +150,7 @@ def year_coverage(counts: DataFrame, track: str, source: str, first_expected: in
 def missing_years(counts: DataFrame) -> DataFrame:
     """The years a coverage gap consists of."""
     key = F.col("partition_key")
-    years = counts.where(key.rlike("^[0-9]+$")).select(key.cast("int").alias("year")).distinct()
+    years = counts.where(key.rlike("^[0-9]+$")).select(F.expr("try_cast(partition_key AS int)").alias("year")).where("year IS NOT NULL").distinct()
     span = years.agg(F.min("year").alias("a"), F.max("year").alias("b")).where(F.col("a").isNotNull())
     return span.select(F.explode(F.sequence("a", "b")).alias("year")).join(years, "year", "left_anti")
 
@@ -190,31 +190,40 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
 
 
-def paging(ids: DataFrame, page: str, key: str, page_size: int, track: str, source: str) -> DataFrame:
-    """A keyset pull is whole: ids unique, pages ascending, all full but the last.
+def paging(rows: DataFrame, page: str, position: str, key: str, page_size: int, track: str, source: str) -> DataFrame:
+    """A keyset pull is whole: ids unique and ascending as they arrived, no page missing, all full but the last.
 
-    Each page is summarised on its own and compared with the page numbered before it, so no
-    order over all rows is needed. A page whose ids are distinct and below those of the next
-    page ascends as the pull did.
+    ``position`` is the place of a row inside its page. Each row is compared with the one that
+    arrived before it: inside a page (its size bounds the window), and across the edge to the
+    page before it in rank, so a missing page cannot hide a descent. Edges are ordered a
+    thousand pages at a time.
     """
-    pages = ids.groupBy(F.col(page).cast("bigint").alias("page")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids"),
-        F.min(key).alias("low"), F.max(key).alias("high"))
-    before = pages.select((F.col("page") + 1).alias("page"), F.col("high").alias("prior_high"))
-    last = pages.agg(F.max("page").alias("last"))
-    chained = with_totals(pages.join(before, "page", "left"), last)
-    is_last = F.col("page") == F.col("last")
-    measured = chained.agg(
-        F.count(F.lit(1)).alias("pages"), F.sum(F.col("n") - F.col("ids")).alias("repeated"),
-        F.count_if(F.col("low") <= F.col("prior_high")).alias("descending"),
+    rows = rows.select(F.col(page).cast("bigint").alias("page"), F.col(position).alias("position"), F.col(key).alias("key"))
+    prior = F.lag("key").over(Window.partitionBy("page").orderBy("position"))
+    pages = rows.withColumn("prior", prior).groupBy("page").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("key") <= F.col("prior")).alias("down"),
+        F.min_by("key", "position").alias("first"), F.max_by("key", "position").alias("last"),
+    ).withColumn("thousand", F.floor(F.col("page") / 1000))
+    ends = pages.groupBy("thousand").agg(F.max_by("last", "page").alias("end"))
+    ends = ends.select("thousand", F.lag("end").over(Window.orderBy("thousand")).alias("edge"))
+    within = F.lag("last").over(Window.partitionBy("thousand").orderBy("page"))
+    chained = pages.withColumn("within", within).join(ends, "thousand").withColumn("before", F.coalesce("within", "edge"))
+    last = pages.agg(F.max("page").alias("last_page"))
+    repeats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    is_last = F.col("page") == F.col("last_page")
+    measured = with_totals(with_totals(chained, last).agg(
+        F.count(F.lit(1)).alias("pages"),
+        (F.coalesce(F.sum("down"), F.lit(0)) + F.count_if(F.col("first") <= F.col("before"))).alias("descending"),
         F.count_if(~is_last & (F.col("n") != page_size)).alias("short"),
-        F.count_if(is_last & (F.col("n") >= page_size)).alias("full_last"))
-    columns = {c: F.col(c) for c in ("pages", "repeated", "descending", "short", "full_last")}
+        F.coalesce(F.max("page") - F.min("page") + 1 - F.count(F.lit(1)), F.lit(0)).alias("missing"),
+        F.count_if(is_last & (F.col("n") >= page_size)).alias("full_last")), repeats)
+    columns = {c: F.col(c) for c in ("pages", "repeated", "descending", "short", "missing", "full_last")}
     return results(
         measured, track, source,
         ("ids unique and ascending", passes((columns["repeated"] == 0) & (columns["descending"] == 0)),
          counted(pages=columns["pages"], repeated=columns["repeated"], descending=columns["descending"])),
-        ("pages full but the last", passes(columns["short"] == 0), counted(short=columns["short"])),
+        ("pages full but the last", passes((columns["short"] == 0) & (columns["missing"] == 0)),
+         counted(short=columns["short"], missing=columns["missing"])),
         ("last page not full", passes(columns["full_last"] == 0, WARN), counted(full_last=columns["full_last"])))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,14 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **extr
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path every executor can reach, for tables written during a run.
 
-    It lies in the cluster's ``spark.checkpoint.dir``. Only a session that names none (a
-    test) gets a temporary folder.
+    It lies in the cluster's ``spark.checkpoint.dir``. A session in one local process (a test)
+    may name none and gets a temporary folder; anywhere else that would be a folder of one
+    machine, so it is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -279,11 +279,13 @@ UNION ALL BY NAME
 SELECT c.*, x.county_fips, x.allocation_weight AS w, 'zip3_prefix' AS allocation_method
 FROM complaints c JOIN weights x ON x.zip3 = c.zip3 WHERE c.zip_mask_kind = 'prefix_masked' AND c.state_code IS NOT NULL
 UNION ALL BY NAME
-SELECT c.*, s.state_fips || '000' AS county_fips, 1.0::DOUBLE AS w,
-  CASE zip_mask_kind WHEN 'full' THEN 'zip_not_in_crosswalk' ELSE 'state_unassigned' END AS allocation_method
-FROM complaints c JOIN states s ON s.state_code = c.state_code AND s.state_fips IS NOT NULL
-WHERE c.zip_mask_kind IN ('fully_masked', 'null', 'malformed')
-   OR (c.zip_mask_kind = 'full' AND c.zip5 NOT IN (SELECT zip5 FROM crosswalk))"""
+SELECT c.*, coalesce(s.state_fips, c.state_code) || '000' AS county_fips, 1.0::DOUBLE AS w,
+  CASE WHEN s.state_fips IS NULL THEN 'state_without_fips' WHEN zip_mask_kind = 'full' THEN 'zip_not_in_crosswalk'
+       WHEN zip_mask_kind = 'prefix_masked' THEN 'prefix_not_in_crosswalk' ELSE 'state_unassigned' END AS allocation_method
+FROM complaints c LEFT JOIN states s ON s.state_code = c.state_code
+WHERE c.state_code IS NOT NULL
+  AND NOT (c.zip_mask_kind = 'full' AND EXISTS (SELECT 1 FROM crosswalk x WHERE x.zip5 = c.zip5))
+  AND NOT (c.zip_mask_kind = 'prefix_masked' AND EXISTS (SELECT 1 FROM weights x WHERE x.zip3 = c.zip3))"""
 RELATIONS["allocation"] = """
 SELECT received_year_month, state_code, county_fips, product_family, allocation_method, sum(w) AS allocated_complaints,
   coalesce(sum(w) FILTER (is_timely_response AND NOT is_response_pending), 0) AS allocated_timely,

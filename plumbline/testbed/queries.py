@@ -70,6 +70,9 @@ entry("prefix_weights", _replace("weights", ["weight_sum", "allocation_weight"])
     lambda t: rounded(t.weights, ["weight_sum", "allocation_weight"]))
 entry("complaint_allocation", _replace("allocation", list(lending.ALLOCATED)))(
     lambda t: rounded(t.allocation, list(lending.ALLOCATED)))
+entry("allocation_conservation", "SELECT state_code, count(*) AS complaints FROM complaints WHERE state_code IS NOT NULL GROUP BY ALL")(
+    lambda t: t.allocation.groupBy("state_code").agg(
+        F.round(F.sum("allocated_complaints"), 4).cast("bigint").alias("complaints")))
 entry("company_matches", "SELECT * FROM matches")(
     lambda t: intermediate.match_companies(t.complaints, t.institutions, t.params))
 entry("service_measures", "SELECT * FROM measures")(lambda t: t.measures)

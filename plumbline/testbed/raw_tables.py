@@ -41,8 +41,9 @@ SELECT {d.text(k)} AS complaint_id,
   CASE WHEN {k} % 89 = 0 THEN NULL WHEN {c} % 97 = 0 THEN '** --'
        ELSE 'LENDER ' || {d.text(f'{c} % 200')} || {suffix} END AS company_name,
   CASE WHEN {k} % 61 = 0 THEN NULL WHEN {k} % 59 = 0 THEN 'MICHIGAN'
+       WHEN {k} % 67 = 0 THEN 'ZZ'
        WHEN {c} % 3 = 0 THEN 'MI' ELSE {d.state('c.c_nationkey')} END AS state_code_raw,
-  CASE WHEN {k} % 11 = 0 THEN substr({zip5}, 1, 3) || 'XX' WHEN {k} % 13 = 0 THEN 'XXXXX'
+  CASE WHEN {k} % 29 = 0 THEN '999XX' WHEN {k} % 11 = 0 THEN substr({zip5}, 1, 3) || 'XX' WHEN {k} % 13 = 0 THEN 'XXXXX'
        WHEN {k} % 17 = 0 THEN NULL WHEN {k} % 19 = 0 THEN 'N/A' WHEN {k} % 23 = 0 THEN '99999'
        ELSE {zip5} END AS zip_code_raw,
   CASE WHEN {k} % 30 = 0 THEN 'Older American, Servicemember' WHEN {k} % 10 = 0 THEN 'Older American'

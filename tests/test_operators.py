@@ -4,6 +4,7 @@ import statistics
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import joins
@@ -137,3 +138,20 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.col("id")], 2)
     assert top.count() == 6
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+def test_median_of_values_that_are_not_finite(spark, rows):
+    nan, inf = float("nan"), float("inf")
+    groups = {"a": [1.0, 2.0, inf], "b": [1.0, 2.0, nan], "c": [-inf, 5.0, 7.0], "d": [nan, nan, 1.0, inf], "e": [0.001, 0.002, 0.0031, -0.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    found = dict(rows(exact_median(df, ["k"], "v", "m"), "k", "m"))
+    assert (found["a"], found["b"], found["c"]) == (2.0, 2.0, 5.0)
+    assert found["d"] != found["d"] and abs(found["e"] - 0.0015) < 1e-12
+
+
+def test_bins_split_small_shares(spark):
+    from plumbline.operators.aggregates import _magnitude_bin
+
+    df = spark.range(1, 10_001).select((F.col("id") / 1_000_000).alias("v")).withColumn("bin", _magnitude_bin(F.col("v")))
+    assert df.select("bin").distinct().count() > 500
+    assert df.withColumn("next", F.lead("bin").over(Window.orderBy("v"))).where("next < bin").count() == 0

@@ -79,10 +79,15 @@ def test_rollups_must_exist(spark):
 
 def test_paging(spark):
     def check(ids):
-        df = spark.createDataFrame([(p, i) for p, page in enumerate(ids) for i in page], "page int, id int")
-        return {k: v[0] for k, v in statuses(integrity.paging(df, "page", "id", 3, "t", "s")).items()}
+        rows = [(p, n, i) for p, page in enumerate(ids) for n, i in enumerate(page or [])]
+        df = spark.createDataFrame(rows, "page int, pos int, id int")
+        return {k: v[0] for k, v in statuses(integrity.paging(df, "page", "pos", "id", 3, "t", "s")).items()}
 
     assert set(check([[1, 2, 3], [4, 5, 6], [7]]).values()) == {"PASS"}
+    assert check([[1, 3, 2], [4, 5, 6], [7]])["ids unique and ascending"] == "FAIL"  # disorder inside a page
+    gap = check([[4, 5, 6], None, [1]])  # a page is gone, and the ids descend over the gap
+    assert gap["ids unique and ascending"] == "FAIL" and gap["pages full but the last"] == "FAIL"
+    assert check([[1, 2, 3], [4, 5, 6], [6]])["ids unique and ascending"] == "FAIL"
     assert check([[1, 2, 3], [3, 5, 6], [7]])["ids unique and ascending"] == "FAIL"
     assert check([[1, 2], [4, 5, 6], [7]])["pages full but the last"] == "FAIL"
     assert check([[1, 2, 3], [4, 5, 6]])["last page not full"] == "WARN"
