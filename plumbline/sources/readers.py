@@ -119,11 +119,6 @@ def read_json_envelope(spark: SparkSession, path: str | list[str], array_path: s
     return parsed.select(F.inline(f"doc.{array_path}"))
 
 
-def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Publisher parquet, keeping the types embedded in the file."""
-    return spark.read.parquet(*([path] if isinstance(path, str) else path))
-
-
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """A hive-partitioned tree whose key stays text and whose NULL partition stays NULL."""
     key = "spark.sql.sources.partitionColumnTypeInference.enabled"

@@ -25,13 +25,13 @@ def _filesystem(spark: SparkSession, path: str):
 def write_partitioned(df: DataFrame, path: str, key: str, keep: tuple[str, ...] = ("manifest.json",)) -> int:
     """Truncate and reload a partitioned tree: build beside it, then swap by rename.
 
-    A failed job leaves the old tree in place. Files named in ``keep`` move over. Rows go
-    straight from their task to the partition folders, so a partition holding a third of
-    the table is written by every task rather than by one.
+    A failed job leaves the old tree in place. Files named in ``keep`` move over. Rows are
+    rebalanced on the key first, so a small partition is one file and not one per task, while
+    one that holds a third of the table is split into tasks of the advisory size.
     """
     spark = df.sparkSession
     building, retired = f"{path}__building", f"{path}__retired"
-    df.write.mode("overwrite").partitionBy(key).parquet(building)
+    df.hint("rebalance", F.col(f"`{key}`")).write.mode("overwrite").partitionBy(key).parquet(building)
     jvm, fs = _filesystem(spark, path)
     at = jvm.org.apache.hadoop.fs.Path
     for name in keep:
@@ -93,9 +93,15 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def manifest_row(counts: DataFrame, source_reported_count: int | None = None,
-                 source_last_refresh: str | None = None,
-                 source_metadata_refresh: str | None = None) -> DataFrame:
-    """The provenance record of a load, from its partition counts, in one pass."""
+                 source_last_refresh: str | None = None, source_metadata_refresh: str | None = None,
+                 rows_landing: int | None = None, rows_duckdb: int | None = None, retrieved_at: str | None = None,
+                 **more: object) -> DataFrame:
+    """The provenance record of a load, from its partition counts, in one pass.
+
+    ``rows_landing`` counts what was received and ``rows_duckdb`` what the warehouse table
+    holds; left out, they are the rows of the tree. ``more`` are further facts of the source. The rows per
+    partition are listed, so the key must be one that partitions a tree, with few values.
+    """
     is_null = F.col("partition_key") == HIVE_NULL
     return counts.agg(
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows_raw"),
@@ -103,8 +109,14 @@ def manifest_row(counts: DataFrame, source_reported_count: int | None = None,
         F.coalesce(F.sum(F.when(is_null, F.col("row_count"))), F.lit(0)).alias("null_partition_rows"),
         F.coalesce(F.sum(F.when(F.col("is_nonstandard"), F.col("row_count"))), F.lit(0))
         .alias("nonstandard_rows"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("partition_key", "row_count")))).alias("partition_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("is_nonstandard"), F.col("partition_key")))).alias("nonstandard_partition_keys"),
     ).select(
         "*",
+        F.coalesce(F.lit(rows_landing).cast("bigint"), "rows_raw").alias("rows_landing"),
+        F.coalesce(F.lit(rows_duckdb).cast("bigint"), "rows_raw").alias("rows_duckdb"),
+        F.lit(retrieved_at).cast("string").alias("retrieved_at"),
+        *[F.lit(value).alias(name) for name, value in more.items()],
         F.lit(source_reported_count).cast("bigint").alias("source_reported_count"),
         F.lit(source_last_refresh).cast("string").alias("source_last_refresh"),
         F.lit(source_metadata_refresh).cast("string").alias("source_metadata_refresh"),
@@ -124,11 +136,13 @@ def write_manifest(row: DataFrame, path: str) -> None:
 
 
 def write_sample(df: DataFrame, path: str, form: str, order: list[str] | None = None,
-                 envelope: str = "results") -> None:
+                 envelope: str = "results", limit: int = 10_000) -> None:
     """Write a bounded sample in its publisher's form, in a stable order.
 
-    Samples are limited stratum by stratum, so one output file is one small task.
+    One output file is one task, so more than ``limit`` rows are refused.
     """
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"a sample has at most {limit} rows")
     ordered = df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]) if order else df
     one = ordered.coalesce(1)
     writer = one.write.mode("overwrite")
@@ -141,7 +155,9 @@ def write_sample(df: DataFrame, path: str, form: str, order: list[str] | None =
                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif form == "json_envelope":
         # One document is what the publisher serves, so the sampled rows form one array.
-        rows = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(envelope))
-        rows.select(F.struct(F.col(envelope)).alias("data")).write.mode("overwrite").json(path)
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        first = F.struct(*[x for c in order or [] for x in (F.col(f"`{c}`").isNull().alias(f"no {c}"), F.col(f"`{c}`").alias(c))], row.alias("row"))
+        rows = df.agg(F.sort_array(F.collect_list(first)).alias("sorted"))
+        rows.select(F.struct(F.col("sorted.row").alias(envelope)).alias("data")).write.mode("overwrite").json(path)
     else:
         raise ValueError(f"unknown sample form {form!r}")

@@ -18,7 +18,8 @@ from plumbline.quality import assertions as must
 from plumbline.quality import coverage, drift, geography, integrity
 from plumbline.quality.catalog import catalogue_rows, data_dictionary
 from plumbline.quality.results import passes, results, tally
-from plumbline.session import materialise
+from plumbline.session import materialise, shared_folder
+from plumbline.sources import readers, sinks
 from plumbline.sources.seeds import fixed_table, parse_fixed
 from plumbline.sources.sinks import flag_nonstandard_keys, partition_counts
 from plumbline.testbed.dialect import TABLES
@@ -603,18 +604,19 @@ FROM (SELECT count(*) AS n, count(DISTINCT disaster_number) AS d FROM declaratio
 UNION ALL SELECT 'nfip_policies', 'policy records (Michigan slice)', NULL, n, n, n, n, n, NULL, 0, '2001-12-31', '2001-12-30', NULL, concat('The slice has no published count; nationally there are ', n * 10, ' policies.')
 FROM (SELECT count(*) AS n FROM policies)""")
 def insurance_reconciliation(t: Testbed) -> DataFrame:
-    def manifest(raw: DataFrame, **extra) -> DataFrame:
-        n = raw.agg(F.count(F.lit(1)).alias("n"))
-        return n.select(
-            *[F.col("n").alias(c) for c in ("rows_landing", "rows_raw", "rows_duckdb")],
-            F.lit("2001-12-31").alias("retrieved_at"), F.lit("2001-12-30").alias("source_last_refresh"),
-            *[value.alias(name) for name, value in extra.items()])
-
-    n = F.col("n")
+    def manifest(name: str, key: str, **facts) -> DataFrame:
+        """Counted, written and read back as a load does it."""
+        counts = sinks.flag_nonstandard_keys(sinks.partition_counts(t.raw(name), key))
+        path = shared_folder(t.spark, f"manifest-{name}") + "/manifest.json"
+        sinks.write_manifest(sinks.manifest_row(
+            counts, source_last_refresh="2001-12-30", retrieved_at="2001-12-31", **facts), path)
+        return readers.read_manifest(t.spark, path)
+
+    n_claims, n_areas, n_policies = (t.raw(name).count() for name in ("claims", "declarations", "policies"))
     manifests = {
-        "nfip_claims": manifest(t.raw("claims"), source_reported_count=n + 5, source_metadata_refresh=F.lit("2001-12-29")),
-        "fema_declarations": manifest(t.raw("declarations"), source_reported_count=n),
-        "nfip_policies": manifest(t.raw("policies"), source_reported_national=n * 10),
+        "nfip_claims": manifest("claims", "state", source_reported_count=n_claims + 5, source_metadata_refresh="2001-12-29"),
+        "fema_declarations": manifest("declarations", "state", source_reported_count=n_areas),
+        "nfip_policies": manifest("policies", "propertyState", source_reported_national=n_policies * 10),
     }
     monthly = insurance.claims_monthly(t.claims, t.population, t.prices, t.counties, t.params)
     return insurance.reconciliation(manifests, t.claims, monthly, t.declarations,

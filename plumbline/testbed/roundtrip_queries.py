@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import with_totals
-from plumbline.plans import staging
+from plumbline.plans import build, staging
 from plumbline.plans.conformed import county_universe
 from plumbline.quality.integrity import header_mismatches
-from plumbline.quality.results import counted, passes, results
 from plumbline.session import shared_folder
 from plumbline.sources import readers, sinks
+from plumbline.sources.registry import raw_table
 from plumbline.testbed.frames import Testbed
 from plumbline.testbed.queries import entry
 
@@ -124,15 +123,22 @@ def manifest_counts(t: Testbed) -> DataFrame:
 
 
 @entry("table_load", """
-SELECT 'shared' AS track, 'customer' AS source, 'table matches manifest' AS check_name, 'PASS' AS status, concat('table=', count(*), ', manifest=', count(*)) AS detail FROM customer""")
+SELECT 'insurance' AS track, 'nfip_claims' AS source, 'reload' AS check_name, 'PASS' AS status, concat('rows=', count(*), ', recorded=', count(*)) AS detail FROM raw_claims
+UNION ALL SELECT 'insurance', 'fema_declarations', 'reload', 'FAIL', concat('rows=', count(*), ', recorded=', count(*) + 3) FROM raw_declarations
+UNION ALL SELECT 'shared', 'zip_county_crosswalk', 'reload', 'PASS', concat('rows=', count(*), ', recorded=none') FROM raw_crosswalk
+UNION ALL SELECT 'insurance', 'nfip_policies', 'reload', 'SKIP', 'not landed'""")
 def table_load(t: Testbed) -> DataFrame:
-    folder = shared_folder(t.spark, "table")
-    name = "load_" + folder.rsplit("-", 1)[-1]
-    saved = sinks.save_table(t.table("customer"), name, {"c_custkey": "Customer number"}, path=folder)
-    manifest = t.table("customer").agg(F.count(F.lit(1)).alias("manifest"))
-    both = with_totals(saved.agg(F.count(F.lit(1)).alias("loaded")), manifest)
-    return results(both, "shared", "customer", ("table matches manifest", passes(F.col("loaded") == F.col("manifest")),
-                                                counted(table=F.col("loaded"), manifest=F.col("manifest"))))
+    """Three of the registered trees land: one as recorded, one short of its manifest, one without; one is absent."""
+    root = shared_folder(t.spark, "landing")
+    for source, name, short in (("nfip_claims", "claims", 0), ("fema_declarations", "declarations", 3), ("zip_county_crosswalk", "crosswalk", None)):
+        spec = raw_table(source)
+        path = f"{root}/{spec.track}/{source}"
+        rows = sinks.write_partitioned(t.raw(name), path, spec.partition_key)
+        if short is not None:
+            counts = sinks.flag_nonstandard_keys(sinks.partition_counts(t.raw(name), spec.partition_key))
+            sinks.write_manifest(sinks.manifest_row(counts, rows_duckdb=rows + short), f"{path}/manifest.json")
+    wanted = [raw_table(s) for s in ("nfip_claims", "fema_declarations", "zip_county_crosswalk", "nfip_policies")]
+    return build.load_report(t.spark, build.load_raw(t.spark, root), build.load_manifests(t.spark, root), wanted)
 
 
 @entry("landing_shapes", """

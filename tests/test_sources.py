@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.quality.integrity import header_mismatches
@@ -102,3 +103,38 @@ def test_saved_tables_carry_comments(spark):
     saved = sinks.save_table(spark.createDataFrame([(1,)], "n int"), "commented_table", {"n": "A number"})
     assert saved.schema["n"].metadata["comment"] == "A number"
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_absent_short_and_unrecorded_sources(spark, tmp_path, rows):
+    from plumbline.plans.build import load_manifests, load_raw, load_report
+
+    df = spark.createDataFrame([("MI", 1), ("OH", 2), (None, 3)], "state string, n int")
+    for source, recorded in (("nfip_claims", 3), ("fema_declarations", 5), ("zip_county_crosswalk", None)):
+        spec = raw_table(source)
+        path = f"{tmp_path}/{spec.track}/{source}"
+        assert sinks.write_partitioned(df, path, "state") == 3
+        if recorded:
+            counts = sinks.flag_nonstandard_keys(sinks.partition_counts(df, "state"))
+            sinks.write_manifest(sinks.manifest_row(counts, rows_duckdb=recorded), f"{path}/manifest.json")
+    raw, manifests = load_raw(spark, str(tmp_path)), load_manifests(spark, str(tmp_path))
+    assert set(raw) == {"nfip_claims", "fema_declarations", "zip_county_crosswalk"}
+    found = {r.source: (r.status, r.detail) for r in load_report(spark, raw, manifests).collect()}
+    assert found["nfip_claims"] == ("PASS", "rows=3, recorded=3") and found["fema_declarations"] == ("FAIL", "rows=3, recorded=5")
+    assert found["zip_county_crosswalk"] == ("PASS", "rows=3, recorded=none") and found["cpi_u"] == ("SKIP", "not landed")
+    row = manifests["nfip_claims"].first()
+    assert (row.rows_landing, row.rows_raw, row.partition_rows.MI) == (3, 3, 1) and set(row.nonstandard_partition_keys) == {"MI", "OH", readers.HIVE_NULL}
+
+
+def test_partitions_are_few_files(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 16).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 7) END AS k")
+    assert sinks.write_partitioned(df, str(tmp_path / "tree"), "k") == 4000
+    assert len(list((tmp_path / "tree").glob("*/*.parquet"))) <= 2 * 8
+
+
+def test_samples_are_bounded_and_ordered(spark, tmp_path):
+    df = spark.createDataFrame([("1", "b"), ("2", "a"), (None, "c")], "zip string, city string")
+    sinks.write_sample(df, str(tmp_path / "json"), "json_envelope", ["city"])
+    [part] = (tmp_path / "json").glob("*.json")
+    assert [r.get("city") for r in json.loads(part.read_text())["data"]["results"]] == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        sinks.write_sample(df, str(tmp_path / "csv"), "csv", limit=2)
