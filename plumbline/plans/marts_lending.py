@@ -10,6 +10,7 @@ from plumbline.functions.flags import income_bracket, is_small, percent, sum_whe
 from plumbline.operators.aggregates import exact_median, stitch_groups
 from plumbline.operators.joins import attach_clamped, left_lookup, lookup_fixed
 from plumbline.params import DEFAULT, Params
+from plumbline.session import materialise
 from plumbline.plans.conformed import state_dimension
 from plumbline.plans.marts_insurance import county_names, county_population
 
@@ -161,8 +162,11 @@ def lending_annual(lending: DataFrame, institutions: DataFrame, counties: DataFr
     action = F.col("action_taken")
     originated = action == "1"
     keys = ["activity_year", "county_fips", "has_no_reported_county", "lei", *LENDING_TRAITS]
-    traits = lending.withColumn("applicant_income_bracket", income_bracket(
-        F.col("income"), F.col("ffiec_msa_md_median_family_income")))
+    # The register is wide and read by the cells and by both steps of the medians: the columns
+    # they need are written once.
+    traits = materialise(lending.withColumn("applicant_income_bracket", income_bracket(
+        F.col("income"), F.col("ffiec_msa_md_median_family_income"))).select(
+        *keys, "action_taken", "loan_amount", "income", "is_partially_exempt", "denial_reason_2_label"), "register-traits")
     cells = traits.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("application_count"),
         *[tally(action.isin(*codes)).alias(name) for name, codes in ACTION_GROUPS.items()],

@@ -473,7 +473,8 @@ def assertions_insurance(t: Testbed) -> DataFrame:
         "marts tie": must.untied([
             ("claim_count", must.total(monthly, "claim_count"), must.row_total(t.claims)),
             ("paid_total", must.total(monthly, "paid_total", 2), must.total(t.claims, "total_amount_paid", 2)),
-            ("claim_detail", must.row_total(detail), must.row_total(mine))]),
+            ("claim_detail", must.row_total(detail), must.row_total(mine)),
+            ("reconciliation_warehouse_to_mart", must.total(monthly, "claim_count"), must.row_total(t.raw("claims")))]),
         "no loss past horizon": must.past_horizon(
             monthly, "loss_year_month", t.claims, F.date_format("date_of_loss", "yyyy-MM")),
         "no policy month past horizon": must.past_horizon(in_force, "month_end", t.policies, F.col("as_of_date")),
@@ -535,7 +536,9 @@ UNION ALL SELECT 'long-term care is not empty', if(count(*) FILTER (is_long_term
 UNION ALL SELECT 'cost is the standardised series', 0
 UNION ALL SELECT 'growth windows do not overlap', 0
 UNION ALL SELECT 'age levels are not mixed', count(*) FROM (SELECT geo_description, measure_year FROM cost WHERE is_jurisdiction OR geo_level = 'National' GROUP BY ALL HAVING count(DISTINCT age_level) <> 3)
-UNION ALL SELECT 'marts tie', 0""")
+UNION ALL SELECT 'marts tie', 0
+UNION ALL SELECT 'a planted gap is seen', if(count(*) > 0, 1, 0) FROM population_65
+  WHERE geo_level = 'county' AND is_michigan AND population_65_plus_is_published AND county_fips <= '26001'""")
 def assertions_health(t: Testbed) -> DataFrame:
     measures = materialise(t.measures, "measures")
     cells = materialise(health.indicators(t.indicators), "cells")
@@ -544,6 +547,8 @@ def assertions_health(t: Testbed) -> DataFrame:
     services = materialise(health.medicare_services(measures, t.medicare, t.counties, t.params), "services")
     elderly = materialise(health.population_65_plus(t.population_65, t.counties, t.params), "elderly")
     need = health.need_vs_capacity(elderly, compared, t.params)
+    published = t.population_65.where("geo_level = 'county' AND is_michigan AND population_65_plus_is_published")
+    latest = F.col("vintage_year") == t.params.growth_to_vintage
     county_rows = measures.where((F.col("age_level") == "All") & F.col("is_michigan_county"))
     return must.count_failures({
         "directions never cross the break": must.directions_cross_break(compared),
@@ -555,7 +560,15 @@ def assertions_health(t: Testbed) -> DataFrame:
         "age levels are not mixed": must.mixed_age_levels(services, cost),
         "marts tie": must.untied([
             ("cells", must.row_total(cells), must.row_total(t.indicators)),
-            ("county_service_measures", must.row_total(services), must.row_total(county_rows))]),
+            ("county_service_measures", must.row_total(services), must.row_total(county_rows)),
+            ("cost_geography_years", must.row_total(cost), must.row_total(measures.where(
+                "service_code = 'TOT' AND measure_kind = 'per_capita' AND is_standardized AND geo_level IN ('State', 'National')"))),
+            ("mi_population_county_vintages", must.row_total(elderly), must.row_total(published)),
+            ("mi_population_latest_vintage", must.total(elderly.where(latest), "population_65_plus"),
+             must.total(published.where(latest), "population_65_plus"))]),
+        # The same tie with one county left out of one side must fail, or the ties above say nothing.
+        "a planted gap is seen": must.untied([
+            ("short", must.row_total(published.where("county_fips > '26001'")), must.row_total(published))]),
     })
 
 
