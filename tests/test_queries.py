@@ -47,3 +47,11 @@ def test_whole_build(spark):
     assert layers == {"conformed", "intermediate", "mart"}
     staged = spark.table("stg_ins__nfip_claims")
     assert staged.count() == raw["nfip_claims"].count()
+
+
+def test_build_without_some_sources(spark):
+    t = Testbed(spark, FOLDER)
+    built = build_all(spark, {"fema_declarations": t.raw("declarations"), "cdc_healthy_aging": t.raw("indicators")}, t.params)
+    assert set(built) == {
+        "conformed.dim_date", "conformed.dim_period", "conformed.dim_state", "mart_ins.dim_ins_disaster_declaration",
+        "mart_hlt.fct_hlt_cdc_indicators", "mart_hlt.fct_hlt_cdc_mi_vs_national", "meta.meta_dictionary"}
