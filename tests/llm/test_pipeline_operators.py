@@ -260,11 +260,20 @@ def test_components_equal_all_pairs(frame, n, percent):
         assert (got[key].n_shingles, got[key].component_id, got[key].kept) == (size, component, key == component)
 
 
-def test_open_buckets_in_small_blocks(frame, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    rows = _near_rows()
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows), 2, 80).collect()}
-    assert got == {k: c for k, (_, c) in _plain_components(rows, 2, 80).items()}
+def test_possible_pairs_have_every_link(spark):
+    """Without any link confirmed before, the rarest shingles alone find all pairs at the threshold."""
+    memo: dict[bytes, int] = {}
+    sets = {k: minhash.shingle_set(t, 2, memo) for k, t in _near_rows() if t and t.strip()}
+    classes = spark.createDataFrame(
+        [(k, k, minhash.packed(minhash.minima(s)).tolist()) for k, s in sets.items()], "doc_id long, component long, signature array<long>")
+    rows = spark.createDataFrame([(k, s.view(np.int64).tolist(), minhash.parity(s).tolist()) for k, s in sets.items()],
+                                 "doc_id long, shingles array<long>, parity array<long>")
+    found = {(r.a, r.b) for r in minhash.possible_pairs(classes, rows, 80).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b
+              and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= found and len(found) < len(sets) ** 2 / 8
+    confirmed = minhash.confirmed(spark.createDataFrame(sorted(found), "a long, b long"), rows, 80)
+    assert {(r.a, r.b) for r in confirmed.collect()} == linked
 
 
 def test_estimate_is_near_the_similarity(spark):
