@@ -16,6 +16,7 @@ result. Only id and text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 BLOCK = 1_000_000
 STEP = 512
 #: Words of one generation of the memo.
-MEMO = 250_000
+MEMO = 300_000
 
 SHARD = ("shard int, block int, n_tokens long, doc_ids array<long>, sizes array<int>, width int, "
          "zeros array<int>, planes array<binary>, ones array<binary>")
@@ -128,25 +129,33 @@ class WordEncoder:
 
     Such a tokenizer cuts at white space before anything else, so a text's ids are those of
     its words. Unknown words go through the library's own steps together: normalizer,
-    pre-tokenizer, model. Texts with characters on which Python and the library disagree
-    about white space are encoded whole. Two generations of words are kept, so frequent ones stay.
+    pre-tokenizer, model. Many differ only in case or in signs behind them; where the
+    tokenizer lowers letters and parts them from signs (tried once, at the start), words of
+    Latin letters are looked up by their letters and their signs. Texts with characters on
+    which Python and the library disagree about white space are encoded whole. Two generations
+    of words are kept, so frequent ones stay.
     """
 
     _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    _SIGNS = ".,;:!?"
+    #: Letters below this have one code point each, and none of them combines.
+    _LATIN = "\u0250"
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo, self.young, self.old, self.pieces = memo, {}, {}, {}
+        normal, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.by_letters = normal("AbÉ.") == "abé." and [span for _, span in cut("ab.,! é?")] == [(0, 2), (2, 5), (6, 7), (7, 8)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [None if any(c in t for c in self._ODD) else t.split() for t in texts]
-        missing = dict.fromkeys(w for words in split if words for w in words if w not in self.young)
+        missing = {w for words in split if words for w in words}.difference(self.young)
         if len(self.young) + len(missing) > self.memo:
             self.old, self.young = self.young, {}
-            missing = dict.fromkeys(w for words in split if words for w in words)
+            missing = {w for words in split if words for w in words}
         unknown = []
         for word in missing:
             ids = self.old.get(word)
@@ -154,8 +163,9 @@ class WordEncoder:
                 unknown.append(word)
             else:
                 self.young[word] = ids
-        for at in range(0, len(unknown), 4096):
-            self._learn(unknown[at:at + 4096])
+        if len(self.pieces) > 2 * self.memo:
+            self.pieces = {}
+        self._learn_all(unknown)
         known, out = self.young, []
         for text, words in zip(texts, split, strict=True):
             if words is None:
@@ -164,6 +174,34 @@ class WordEncoder:
                 out.append(np.frombuffer(b"".join([known[w] for w in words]), np.uint32))
         return out
 
+    def _learn_all(self, words: list[str]) -> None:
+        pending, rest, known, young, latin, signs = [], [], self.pieces, self.young, self._LATIN, self._SIGNS
+        for word in words if self.by_letters else ():
+            letters = word.rstrip(signs)
+            if letters.isalpha() and max(letters) < latin:
+                low = letters.lower()
+                ids = known.get(low)
+                tail = word[len(letters):]
+                if ids is None or (tail and tail not in known):
+                    pending.append((word, low, tail))
+                else:
+                    young[word] = ids + known[tail] if tail else ids
+            else:
+                rest.append(word)
+        rest = rest if self.by_letters else words
+        for at in range(0, len(rest), 4096):
+            self._learn(rest[at:at + 4096])
+        new = list({p for _, *parts in pending for p in parts if p and p not in known})
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
+            for piece, (cut, _) in zip(part, self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(part)), strict=True):
+                known[piece] = self._model(cut)
+        for word, low, tail in pending:
+            young[word] = known[low] + known[tail] if tail else known[low]
+
+    def _model(self, cut: str) -> bytes:
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(cut)]).tobytes()
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if "<|" not in w]
         special = set(words) - set(plain)  # may name a special token, which the steps below would not see
@@ -174,14 +212,8 @@ class WordEncoder:
         ends = np.cumsum([len(w) + 1 for w in joined.split(" ")]) if plain else np.zeros(0, int)
         found = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
         owner = np.searchsorted(ends, [span[0] for _, span in found], "right").tolist()
-        if len(self.pieces) > self.memo:
-            self.pieces = {}
         for (piece, _), word in zip(found, owner, strict=True):
-            known = self.pieces.get(piece)
-            if known is None:
-                known = self.pieces[piece] = np.array(
-                    [x.id for x in self.tokenizer.model.tokenize(piece)], np.uint32).tobytes()
-            ids[word].append(known)
+            ids[word].append(self._model(piece))
         for word, parts in zip(plain, ids, strict=True):
             self.young[word] = b"".join(parts)
         for word in special:
