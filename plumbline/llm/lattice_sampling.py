@@ -172,6 +172,8 @@ class Batch:
             mass = np.log(np.add.reduceat(np.exp(total - top), first)) + top[first]
             beta[own[edge[first]]] = mass
             score[edge] = np.where(np.repeat(fan, fan) > 1, total - np.repeat(mass, fan), 0.0)
+        with np.errstate(divide="ignore"):
+            self.others = np.log(-np.expm1(score))  # of the other edges at the node
         counts = np.bincount(own, minlength=n_nodes)
         self.first_edge = np.concatenate([[0], np.cumsum(counts)])
         self.code, self.size, self.score = code, size, score
@@ -234,13 +236,15 @@ def top_segmentations(batch: Batch, fresh: list[tuple[np.ndarray, np.ndarray, np
     def split(leaf: int, since: int, bound: float) -> None:
         """Push the best regions that part from a leaf at piece ``since`` or later."""
         nonlocal pushed
-        score = batch.score[leaves[leaf][0]]
+        edges = leaves[leaf][0]
+        score = batch.score[edges]
         before = np.concatenate([[0.0], np.cumsum(score)[:-1]]) if len(score) else score
-        with np.errstate(divide="ignore"):
-            mass = (before + np.log(-np.expm1(score)))[since:]
+        mass = (before + batch.others[edges])[since:]
         at = np.flatnonzero(mass > -np.inf)
         draws = _truncated(mass[at], bound, rng)
-        keep = np.argsort(-draws, kind="stable")[:k + 1 - len(out)]
+        wanted = k + 1 - len(out)
+        keep = np.argpartition(-draws, wanted)[:wanted] if len(draws) > wanted else np.arange(len(draws))
+        keep = keep[np.argsort(-draws[keep], kind="stable")]
         for i in keep.tolist():
             place = since + int(at[i])
             heapq.heappush(heap, (-float(draws[i]), pushed, leaf, place, (int(leaves[leaf][0][place]),), float(before[place])))
