@@ -138,7 +138,8 @@ class WordEncoder:
 
     _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     _SIGNS = ".,;:!?"
-    #: Letters below this have one code point each, and none of them combines.
+    #: Letters below this have one code point each, and so have their lower case forms, but for
+    #: U+0130, which lowers to a letter and a combining sign that the tokenizer cuts apart.
     _LATIN = "\u0250"
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
@@ -178,8 +179,8 @@ class WordEncoder:
         pending, rest, known, young, latin, signs = [], [], self.pieces, self.young, self._LATIN, self._SIGNS
         for word in words if self.by_letters else ():
             letters = word.rstrip(signs)
-            if letters.isalpha() and max(letters) < latin:
-                low = letters.lower()
+            low = letters.lower()
+            if letters.isalpha() and max(letters) < latin and len(low) == len(letters):
                 ids = known.get(low)
                 tail = word[len(letters):]
                 if ids is None or (tail and tail not in known):

@@ -66,6 +66,16 @@ def test_word_encoder_equals_the_library():
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_grow_when_lowered():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    latin = [f"{chr(c)}tan {chr(c)}. a{chr(c)}b" for c in range(0x21, 0x250)]
+    for texts in (["İstanbul", "İzmir, İSTANBUL. istanbul"], latin):
+        for text, ids in zip(texts, wavelet.WordEncoder(BPE).encode(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_shards_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
