@@ -12,9 +12,10 @@ Nothing orders a hot source in one task: positions come from ``running_total``,
 counts per stretch of slots plus a window inside the stretch.
 
 A null text has no words, a document without words is taken 0 times. A null source is a
-source of its own and comes last. Repeated rows are documents of their own if their ids
-differ; rows with one id share a stream position's tie and are summed. An empty table gives
-an empty result. Only id, text and source are read, plus what ``mixed_documents`` copies.
+source of its own and comes last. Every row is a document of its own, under a key that is
+written with its size: rows that repeat an id stand beside each other in the stream, and a row
+without an id is laid out by its text, so it is taken like any other. An empty table gives an
+empty result. Only id, text and source are read, plus what ``mixed_documents`` copies.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, bucket_bits, n_words, running_total
+from plumbline.llm.common import ROW_KEY, WORD, bucket_bits, n_words, running_total, with_row_key
 from plumbline.session import materialise
 
 #: 2**32 / phi**2; the product with a 32-bit slot number stays below 2**63.
@@ -35,12 +36,16 @@ GRID = 4_096
 
 
 def measured(docs: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text",
-             source_col: str = "source") -> DataFrame:
-    """Id, source, size and place in the shuffle of each document; the text is read here only."""
-    key = F.col(id_col).cast("long")
+             source_col: str = "source", key_col: str | None = None) -> DataFrame:
+    """Row key, id, source, size and place in the shuffle of each row; the text is read here only.
+
+    Without ``key_col`` rows are numbered here, so the result must be written before it is used.
+    """
+    key, text = F.col(id_col).cast("long"), F.col(text_col)
     return docs.select(
-        key.alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), key).alias("place"))
+        (F.col(key_col) if key_col else F.monotonically_increasing_id()).alias("row_key"), key.alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"),
+        F.when(key.isNotNull(), F.xxhash64(F.lit(seed), key)).otherwise(F.xxhash64(F.lit(seed), text.cast("string"))).alias("place"))
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -106,20 +111,19 @@ def schedule(targets: DataFrame, block_words: int, max_epochs: int = 3) -> DataF
 
 
 def block_parts(rows: DataFrame, targets: DataFrame, block_words: int, bits: int) -> DataFrame:
-    """The words of each document in each block: doc_id, number, block, words. One row per pair that meets."""
-    numbered = (rows.where("size > 0 and doc_id is not null").join(targets.select("source", "number"),
-                                             rows.source.eqNullSafe(targets.source))
-                .select("doc_id", "number", "size", "place"))
-    laid = running_total(numbered, ["number"], "place", "doc_id", "size", "start", bits)
+    """The words of each row in each block: row_key, number, block, words. One row per pair that meets."""
+    numbered = (rows.where("size > 0").join(targets.select("source", "number"), rows.source.eqNullSafe(targets.source))
+                .select("row_key", "number", "size", "place"))
+    laid = running_total(numbered, ["number"], "place", "row_key", "size", "start", bits)
     end = F.col("start") + F.col("size")
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
     return (laid.select("*", F.explode(F.sequence(first, last)).alias("block"))
             .withColumn("words", F.least(end, (F.col("block") + 1) * block_words)
                         - F.greatest(F.col("start"), F.col("block") * block_words))
-            .select("doc_id", "number", "block", F.col("words").cast("long")))
+            .select("row_key", "number", "block", F.col("words").cast("long")))
 
 
-def _prepared(docs: DataFrame, seed: int, max_epochs: int, weights: tuple[int, ...], names: tuple[str, str, str]):
+def _prepared(docs: DataFrame, seed: int, max_epochs: int, weights: tuple[int, ...], names: tuple[str, ...]):
     rows = materialise(measured(docs, seed, *names), "mix-sizes")
     targets = materialise(source_targets(rows, weights, max_epochs), "mix-targets")
     return rows, targets, bucket_bits(rows.count())
@@ -132,10 +136,10 @@ def taken_words(docs: DataFrame, block_words: int = 128, seed: int = 8, max_epoc
     rows, targets, bits = _prepared(docs, seed, max_epochs, weights, (id_col, text_col, source_col))
     visits = schedule(targets, block_words, max_epochs).groupBy("number", "block").agg(F.count(F.lit(1)).alias("visits"))
     taken = (block_parts(rows, targets, block_words, bits).join(visits, ["number", "block"])
-             .groupBy("doc_id").agg(F.sum(F.col("words") * F.col("visits")).alias("taken")))
+             .groupBy("row_key").agg(F.sum(F.col("words") * F.col("visits")).alias("taken")))
     known = rows.join(targets, rows.source.eqNullSafe(targets.source)).select(
-        rows.doc_id, "size", "source_size", "target")
-    return known.join(taken, "doc_id", "left").select(
+        "row_key", "doc_id", "size", "source_size", "target")
+    return known.join(taken, "row_key", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -146,11 +150,13 @@ def mixed_documents(docs: DataFrame, block_words: int = 128, seed: int = 8, max_
     Blocks of one epoch are taken in stream order, so a document taken in part is taken from
     its start; its text ends after the last word taken. The columns are those of ``docs``.
     """
-    rows, targets, bits = _prepared(docs, seed, max_epochs, weights, ("doc_id", "text", "source"))
+    keyed = with_row_key(docs, "mix-documents")
+    rows, targets, bits = _prepared(keyed, seed, max_epochs, weights, ("doc_id", "text", "source", ROW_KEY))
     visits = schedule(targets, block_words, max_epochs).select("number", "block", "epoch")
     taken = (block_parts(rows, targets, block_words, bits).join(visits, ["number", "block"])
-             .groupBy("doc_id", "epoch").agg(F.sum("words").alias("_taken")).drop("epoch"))
-    whole = docs.join(taken, "doc_id")
+             .groupBy("row_key", "epoch").agg(F.sum("words").alias("_taken"))
+             .select(F.col("row_key").alias(ROW_KEY), "_taken"))
+    whole = keyed.join(taken, ROW_KEY)
     size = n_words(F.col("text"))
     # Per source and epoch one document at most is taken in part.
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_taken").cast("int")), " ")

@@ -451,6 +451,21 @@ def test_mix_on_odd_tables(odd, nothing):
     assert source_mix.mixed_documents(odd).columns == odd.columns
 
 
+def test_rows_without_or_with_a_repeated_id_are_mixed_like_others(frame):
+    rows = [(None if i % 3 == 0 else i // 8 if i % 3 == 1 else i, words(i, 40 + i % 30), "ab"[i % 2]) for i in range(240)]
+    docs = frame(rows)
+    taken = source_mix.taken_words(docs, block_words=16).collect()
+    assert len(taken) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in taken)
+    assert any(r.taken > 0 for r in taken if r.doc_id is None)
+    by_source = defaultdict(list)
+    for r in taken:
+        by_source[r.target].append(r.taken)
+    assert len(by_source) == 2 and all(abs(sum(t) - target) <= 3 * 16 for target, t in by_source.items())
+    mixed = source_mix.mixed_documents(docs, block_words=16).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in taken)
+    assert Counter(r.doc_id is None for r in mixed)[True] > 60
+
+
 def test_running_total_in_buckets(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), rng.randrange(-2 ** 63, 2 ** 63), i, rng.randrange(9)) for i in range(300)]
