@@ -606,6 +606,20 @@ def test_stages_on_odd_and_empty_tables(spark, odd, nothing):
     assert corpus_pipeline.STAGES[-1][1](spark, nothing, "").count() == 0
 
 
+def test_a_repeated_row_leaves_one_document(spark, frame):
+    import corpus_pipeline
+
+    clean = [(i, words(i, 150) + " the of and to in is that it for on with as the of and to in") for i in range(40)]
+    repeated = [clean[3], clean[4], clean[4]]
+    unnamed = [(None, words(90, 150) + " the of and to in is that it for on with as the of and to in")] * 3
+    docs = frame(clean + repeated + unnamed + [(None, clean[5][1]), (50, None), (50, None)])
+    assert minhash.keep_one_of_each(docs).where("text is null").count() == 2
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+    expected = [*clean, unnamed[0]]
+    assert sorted((r.text, r.doc_id) for r in docs.collect()) == sorted((t, i) for i, t in expected)
+
+
 def test_pipeline_keeps_clean_documents(spark, frame, tmp_path):
     import corpus_pipeline
 
