@@ -11,7 +11,9 @@ label: those whose document odds in toxic texts exceed those in clean texts by `
 and stand out from chance. They are counted and cut at the terciles of the labelled toxic texts.
 
 The model is fitted on a bounded sample of labelled rows, ``per_class`` of each label at most
-by the hash of the id, gathered as word numbers. Scoring reads every text once, whole.
+by the hash of the id, gathered as word numbers. Labels of each kind are counted over the whole
+table, and a sampled row weighs as many labels as it stands for, so the thresholds follow the
+table's share of toxic labels, however large it is. Scoring reads every text once, whole.
 
 Nulls and texts without words have no features and get the intercept's severity. A label or an
 id of null is no label; an id labelled twice counts twice. Without labels of both kinds the model
@@ -96,9 +98,14 @@ def told_apart(own: list[np.ndarray], toxic: np.ndarray, least: float = 4.0) ->
     return np.flatnonzero((found[0] + found[1] >= 5) & (apart >= least * error))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 300, rate: float = 0.05, l2: float = 1e-3) -> OrdinalModel:
-    """Maximum likelihood of the cumulative-link model by Adam, with an l2 term."""
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 300, rate: float = 0.05, l2: float = 1e-3,
+                stands_for: np.ndarray | None = None) -> OrdinalModel:
+    """Maximum likelihood of the cumulative-link model by Adam, with an l2 term.
+
+    ``stands_for``: how many labelled rows each row stands for, one each if not given.
+    """
     n_steps, n = GRADES - 1, len(rows)
+    share = np.full(n, 1 / n) if stands_for is None else stands_for / stands_for.sum()
     own = [np.unique(r) for r in rows]
     used = told_apart(own, grades > 0)
     at = np.repeat(np.arange(n), [len(r) for r in own])
@@ -118,9 +125,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 300, r
         padded = np.concatenate([np.ones((n, 1)), upper, np.zeros((n, 1))], 1)
         chance = np.maximum(padded[row, grades] - padded[row, grades + 1], 1e-9)
         slope = padded * (1 - padded)
-        pull = (slope[row, grades] - slope[row, grades + 1]) / chance / n
-        by_theta = np.array([(slope[:, g + 1] / chance / n)[grades == g].sum()
-                             - (slope[:, g + 1] / chance / n)[grades == g + 1].sum() for g in range(n_steps)])
+        pull = (slope[row, grades] - slope[row, grades + 1]) / chance * share
+        by_theta = np.array([(slope[:, g + 1] / chance * share)[grades == g].sum()
+                             - (slope[:, g + 1] / chance * share)[grades == g + 1].sum() for g in range(n_steps)])
         behind = np.cumsum(by_theta[::-1])[::-1]  # a gap moves every threshold behind it
         gradient = np.concatenate([np.bincount(word, pull[at], minlength=len(used)) - l2 * x[:len(used)] / max(1, len(used)),
                                    behind[:1], behind[1:] * gaps])
@@ -137,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     """The model of at most ``per_class`` labelled texts of each label."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         "doc_id is not null and label in (0, 1)")
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(
         known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
 
@@ -155,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     toxic = np.array(sample["label"].to_pylist(), int) == 1
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, 50.0))
-    return fit_ordinal(rows, grades_of(rows, toxic))
+    stands_for = {label: n / min(n, per_class) for label, n in totals.items()}
+    return fit_ordinal(rows, grades_of(rows, toxic), stands_for=np.where(toxic, stands_for[1], stands_for[0]))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

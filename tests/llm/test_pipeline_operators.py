@@ -228,6 +228,21 @@ def test_toxicity_on_held_out_rows(spark, frame, odd, nothing):
 
 
 # ── MinHash ──────────────────────────────────────────────────────────────────────────────
+def test_toxicity_keeps_the_class_ratio_of_the_table(spark, frame):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(2200):
+        toxic = i % 11 == 0
+        rows.append((i, words(9000 + i, 20) + (" vile" if rng.random() < (0.6 if toxic else 0.06) else "")))
+        labels.append((i, int(toxic)))
+    docs, known = frame(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, sampled = (ordinal_toxicity.fit(docs, known, per_class=n) for n in (10_000, 100))
+    share = [float(m.steps(np.zeros(1))[0, 0]) for m in (whole, sampled)]
+    assert abs(share[0] - share[1]) < 0.1 and share[1] < 0.25
+    toxic = [ordinal_toxicity.score(docs, m).where("toxic").count() for m in (whole, sampled)]
+    assert abs(toxic[0] - toxic[1]) < 60
+
+
 def _plain_components(rows, n, percent):
     sets = {}
     for key, text in rows:
