@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import (
+    chat_log,
     lattice_sampling,
     merkle,
     minhash,
     minimax_shards,
     ordinal_toxicity,
+    periodic_runs,
     run_length_index,
     source_mix,
+    spelling_variants,
     token_rollups,
     wavelet,
     weak_supervision,
@@ -112,6 +115,25 @@ def op10_gumbel_segmentations(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"), *[F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")])
 
 
+def op11_chat_log(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one of control strings, as event logs, folded, rendered, and read back."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    messages = chat_log.fold(chat_log.log_of(rows.unionByName(extra)))
+    return chat_log.digests(chat_log.samples(messages))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(_table(spark, folder, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.word_counts(_table(spark, folder, "documents"), planted=199))
+
+
 QUERIES: dict[str, Query] = {
     "op1_wavelet": op1_wavelet,
     "op2_minimax_shards": op2_minimax_shards,
@@ -123,11 +145,18 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_run_length_dedup": op9_run_length_dedup,
     "op10_gumbel_segmentations": op10_gumbel_segmentations,
+    "op11_chat_log": op11_chat_log,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
 
 
+def _escaped(text: str) -> str:
+    return f"regexp_replace({text}, '{chat_log.PLAIN}', '\\1\\\\\\2\\3', 'g')"
+
+
 def _leaves(text: str) -> str:
     return f"list_transform(regexp_extract_all({text}, '{merkle.PARAGRAPH}'), lambda p: sha256(p))"
 
@@ -159,4 +188,16 @@ SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, {_ROOT.format('
   {_ROOT.format('le')} AS edited_fingerprint, {_LIKENESS.format('lt', 'le')} AS near_edited,
   {_LIKENESS.format('lt', 'ln')} AS near_next
 FROM leaved""",
+    "op11_chat_log": f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+sized AS (
+  SELECT *, {len(chat_log.BEGIN + chat_log.MIDDLE + chat_log.END)} + length({_escaped('role')}) + length({_escaped('text')}) AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""",
 }
