@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 
 def test_all_are_registered():
     assert QUERIES.items() <= entry.queries().items() and ORACLE_SQL.items() <= entry.oracle_sql().items()
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
