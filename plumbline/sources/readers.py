@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.session import SETTINGS
 from plumbline.sources.seeds import text_schema
+from plumbline.sources.versions import published_folder
 
 HIVE_NULL = "__HIVE_DEFAULT_PARTITION__"
 
@@ -24,8 +25,8 @@ def read_csv_text(spark: SparkSession, path: str | list[str], columns: Sequence[
                   multi_line: bool = False) -> DataFrame:
     """Delimited files with every column as text.
 
-    ``multi_line`` reads each file in one task, which newlines inside quotes require: land
-    such a source as many files rather than one archive.
+    ``multi_line`` reads each file in one task and allows newlines inside quotes;
+    ``quoted_csv.read_quoted_csv`` reads such files block by block.
     """
     first = path if isinstance(path, str) else path[0]
     names = list(columns) if columns is not None else header_of(spark, first)
@@ -120,13 +121,16 @@ def read_json_envelope(spark: SparkSession, path: str | list[str], array_path: s
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """A hive-partitioned tree whose key stays text and whose NULL partition stays NULL."""
+    """A hive-partitioned tree whose key stays text and whose NULL partition stays NULL.
+
+    Of a published tree it is the version that is newest now; a frame keeps reading that one.
+    """
     key = "spark.sql.sources.partitionColumnTypeInference.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, SETTINGS[key])
     try:
-        # The tree also holds its manifest, which is not data.
-        return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+        # A tree that was not published may hold its manifest, which is not data.
+        return spark.read.option("pathGlobFilter", "*.parquet").parquet(published_folder(spark, path) or path)
     finally:
         spark.conf.set(key, before)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.readers import HIVE_NULL
+from plumbline.sources.versions import publish
 
 
 def add_year_partition(df: DataFrame, date_column: str, name: str = "year") -> DataFrame:
@@ -22,31 +23,13 @@ def _filesystem(spark: SparkSession, path: str):
     return jvm, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, keep: tuple[str, ...] = ("manifest.json",)) -> int:
-    """Truncate and reload a partitioned tree: build beside it, then swap by rename.
+def write_partitioned(df: DataFrame, path: str, key: str, keep: int = 2, grace: float = 3600.0) -> int:
+    """Truncate and reload a partitioned tree as its next version; returns the rows that readers now find.
 
-    A failed job leaves the old tree in place. Files named in ``keep`` move over. Rows are
-    rebalanced on the key first, so a small partition is one file and not one per task, while
-    one that holds a third of the table is split into tasks of the advisory size.
+    A failed job leaves the version before it. What else lies in ``path``, such as a manifest, stays.
     """
-    spark = df.sparkSession
-    building, retired = f"{path}__building", f"{path}__retired"
-    df.hint("rebalance", F.col(f"`{key}`")).write.mode("overwrite").partitionBy(key).parquet(building)
-    jvm, fs = _filesystem(spark, path)
-    at = jvm.org.apache.hadoop.fs.Path
-    for name in keep:
-        if fs.exists(at(f"{path}/{name}")):
-            jvm.org.apache.hadoop.fs.FileUtil.copy(
-                fs, at(f"{path}/{name}"), fs, at(f"{building}/{name}"), False,
-                spark._jsc.hadoopConfiguration())
-    if fs.exists(at(retired)):
-        fs.delete(at(retired), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(retired))
-    fs.rename(at(building), at(path))
-    if fs.exists(at(retired)):
-        fs.delete(at(retired), True)
-    return spark.read.schema(df.schema).option("pathGlobFilter", "*.parquet").parquet(path).count()
+    folder = publish(df, path, key, keep, grace)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).count()
 
 
 def partition_counts(df: DataFrame, key: str | Column) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import with_totals
 from plumbline.plans import build, staging
 from plumbline.plans.conformed import county_universe
 from plumbline.quality.integrity import header_mismatches
+from plumbline.quality.results import counted, passes, results
 from plumbline.session import shared_folder
 from plumbline.sources import readers, sinks
+from plumbline.sources.quoted_csv import misquoted_records, quoted_records, read_quoted_csv
 from plumbline.sources.registry import raw_table
 from plumbline.testbed.frames import Testbed
 from plumbline.testbed.queries import entry
@@ -26,6 +29,36 @@ def roundtrip_csv(t: Testbed) -> DataFrame:
     return sinks.add_year_partition(landed, "lang")
 
 
+@entry("roundtrip_csv_split", """
+SELECT doc_id::VARCHAR AS doc_id, CASE WHEN text = '' THEN NULL ELSE text END AS text, lang, source FROM documents""")
+def roundtrip_csv_split(t: Testbed) -> DataFrame:
+    """The same landing, read by the block and not by the file."""
+    folder = shared_folder(t.spark, "csv")
+    t.table("documents").select("doc_id", "text", "lang", "source").write.csv(folder, header=True, escape='"', quoteAll=True)
+    return read_quoted_csv(t.spark, folder, ["doc_id", "text", "lang", "source"])
+
+
+@entry("misquoted_csv", """
+SELECT o_orderpriority, count(*) AS misquoted FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL""")
+def misquoted_csv(t: Testbed) -> DataFrame:
+    """Every fifth line holds a quote inside an unquoted field, which the quoting rule forbids; the others are well quoted."""
+    folder, key = shared_folder(t.spark, "misquoted"), F.col("o_orderkey")
+    note = F.when(key % 5 == 0, '5" pipe, 6" pipe').when(key % 5 == 1, '"say ""it"",\nthen"').otherwise("plain")
+    t.table("orders").select(F.concat_ws(",", "o_orderpriority", note).alias("value")).write.text(folder)
+    found = misquoted_records(quoted_records(t.spark, folder))
+    return found.groupBy(F.substring_index("record", ",", 1).alias("o_orderpriority")).agg(F.count(F.lit(1)).alias("misquoted"))
+
+
+@entry("roundtrip_csv_lines", """
+SELECT c_custkey::VARCHAR AS c_custkey, c_name, 'a, "b" ' || c_mktsegment AS segment FROM customer""")
+def roundtrip_csv_lines(t: Testbed) -> DataFrame:
+    """Records of one line each: the reader's splittable mode, which needs no count of quotes."""
+    folder = shared_folder(t.spark, "lines")
+    t.table("customer").select("c_custkey", "c_name", F.concat(F.lit('a, "b" '), "c_mktsegment").alias("segment")).write.csv(
+        folder, header=True, escape='"')
+    return readers.read_csv_text(t.spark, folder, ["c_custkey", "c_name", "segment"])
+
+
 @entry("roundtrip_tsv", """
 SELECT rpad(c_name, 24, ' ') AS padded, '  ' || c_mktsegment AS segment, CASE WHEN c_custkey % 5 = 0 THEN '"' || c_custkey ELSE c_custkey::VARCHAR END AS key FROM customer""")
 def roundtrip_tsv(t: Testbed) -> DataFrame:
@@ -66,15 +99,27 @@ def roundtrip_json_arrays(t: Testbed) -> DataFrame:
 
 
 @entry("array_headers", """
-SELECT 'shared' AS track, 'acs5_detailed' AS source, 'header order' AS check_name, 'PASS' AS status, concat('files=', count(DISTINCT vintage), ', mismatched=0') AS detail FROM raw_population""")
+SELECT 'shared' AS track, 'acs5_detailed' AS source, 'header order' AS check_name, 'PASS' AS status, concat('files=', count(DISTINCT vintage), ', mismatched=0') AS detail FROM raw_population
+UNION ALL SELECT 'shared', 'acs5_detailed', 'header order, ' || vintage, CASE WHEN vintage = last THEN 'FAIL' ELSE 'PASS' END,
+  concat('files=1, mismatched=', (vintage = last)::INT) FROM (SELECT DISTINCT vintage FROM raw_population), (SELECT max(vintage) AS last FROM raw_population)""")
 def array_headers(t: Testbed) -> DataFrame:
+    """Headers as landed, then with two columns of the last vintage swapped, vintage by vintage."""
     folder = shared_folder(t.spark, "headers")
     _write_responses(t, folder)
     headers = readers.json_array_headers(t.spark, f"{folder}/*acs5-detailed-*-county.json")
-    wrong = header_mismatches(headers, ["NAME", *_ACS, "state", "county"]).agg(F.count(F.lit(1)).alias("wrong"))
-    both = with_totals(headers.agg(F.count(F.lit(1)).alias("files")), wrong)
-    return results(both, "shared", "acs5_detailed", ("header order", passes(F.col("wrong") == 0),
-                                                     counted(files=F.col("files"), mismatched=F.col("wrong"))))
+    expected = ["NAME", *_ACS, "state", "county"]
+    last = t.raw("population").agg(F.max("vintage").alias("last"))
+    vintage = F.regexp_extract("file", r"detailed-(\d{4})-", 1)
+    swapped = with_totals(headers.withColumn("vintage", vintage), last).withColumn("header", F.when(
+        F.col("vintage") == F.col("last"), F.concat(F.slice("header", 1, 1), F.reverse(F.slice("header", 2, 2)), F.slice("header", 4, 99))
+    ).otherwise(F.col("header")))
+    wrong = header_mismatches(swapped, expected).groupBy("vintage").agg(F.count(F.lit(1)).alias("wrong"))
+    each = swapped.groupBy("vintage").agg(F.count(F.lit(1)).alias("files")).join(wrong, "vintage", "left").withColumn("wrong", F.coalesce("wrong", F.lit(0)))
+    whole = with_totals(headers.agg(F.count(F.lit(1)).alias("files")), header_mismatches(headers, expected).agg(F.count(F.lit(1)).alias("wrong")))
+    right, detail = passes(F.col("wrong") == 0), counted(files=F.col("files"), mismatched=F.col("wrong"))
+    return results(whole, "shared", "acs5_detailed", ("header order", right, detail)).unionByName(
+        each.select(F.lit("shared").alias("track"), F.lit("acs5_detailed").alias("source"),
+                    F.concat(F.lit("header order, "), "vintage").alias("check_name"), right.alias("status"), detail.alias("detail")))
 
 
 _CROSSWALK = ["zip", "geoid", "city", "state", "res_ratio", "bus_ratio", "oth_ratio", "tot_ratio"]
@@ -107,6 +152,21 @@ def roundtrip_partitioned(t: Testbed) -> DataFrame:
     return sinks.flag_nonstandard_keys(counts, years=(1996, 2000))
 
 
+@entry("published_versions", """
+SELECT v AS version, count(*) AS row_count, count(DISTINCT o_orderstatus) AS partitions FROM orders, range(1, 4) r(v) WHERE v > 2 OR (o_orderkey % 3) < v GROUP BY v
+UNION ALL SELECT 4, count(*), count(DISTINCT o_orderstatus) FROM orders WHERE o_orderkey % 3 < 2""")
+def published_versions(t: Testbed) -> DataFrame:
+    """What readers find after each of three publishes, and through a frame that began before the last."""
+    folder, orders = shared_folder(t.spark, "published"), t.table("orders")
+    seen = []
+    for version in (1, 2, 3):
+        sinks.write_partitioned(orders.where((F.lit(version) > 2) | (F.col("o_orderkey") % 3 < version)), folder, "o_orderstatus")
+        seen.append(readers.read_partitioned(t.spark, folder))
+    frames = [df.select(F.lit(v).cast("bigint").alias("version"), "o_orderstatus") for v, df in zip((1, 2, 3, 4), [*seen, seen[1]], strict=True)]
+    return readers.union_by_name(frames).groupBy("version").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("o_orderstatus").alias("partitions"))
+
+
 @entry("manifest_counts", """
 SELECT count(*) AS rows_raw, count(DISTINCT l_returnflag) AS partitions, 0::BIGINT AS null_partition_rows, count(*) FILTER (l_returnflag = 'N') AS nonstandard_rows,
   42::BIGINT AS source_reported_count, '2001-01-02' AS source_last_refresh, CAST(NULL AS VARCHAR) AS source_metadata_refresh FROM lineitem""")

@@ -1,10 +1,12 @@
 import json
+import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.quality.integrity import header_mismatches
-from plumbline.sources import readers, sinks
+from plumbline.sources import quoted_csv, readers, sinks, versions
 from plumbline.sources.registry import RAW_TABLES, raw_table
 from plumbline.sources.seeds import code_list, fixed_table, seed_csv
 from plumbline import fixed_values as fixed
@@ -57,6 +59,126 @@ def test_partitioned_tree_is_swapped_whole(spark, tmp_path, rows):
     assert counts == {"02": 1, readers.HIVE_NULL: 1}
 
 
+def test_readers_never_find_a_missing_or_mixed_tree(spark, tmp_path):
+    root, stop, seen, errors = str(tmp_path / "tree"), threading.Event(), set(), []
+
+    def version(n):
+        return spark.range(300).select((F.col("id") % 5).cast("string").alias("state"), F.lit(n).alias("n"), "id")
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = readers.read_partitioned(spark, root).groupBy("n").count().collect()
+                seen.add(tuple((r.n, r["count"]) for r in rows))
+            except Exception as error:  # noqa: BLE001
+                errors.append(error)
+
+    sinks.write_partitioned(version(0), root, "state")
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for n in range(1, 11):
+            sinks.write_partitioned(version(n), root, "state")
+    finally:
+        stop.set()
+        reader.join()
+    assert not errors
+    assert all(len(s) == 1 and s[0][1] == 300 for s in seen) and len(seen) > 1
+
+
+def test_a_failed_publish_leaves_the_old_version(spark, tmp_path, rows):
+    root = str(tmp_path / "tree")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, k string")
+    sinks.write_partitioned(df, root, "k")
+    before = readers.read_partitioned(spark, root)
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_partitioned(df.withColumn("n", F.when(F.col("n") > 1, F.raise_error(F.lit("broken"))).otherwise(F.col("n"))), root, "k")
+    assert rows(readers.read_partitioned(spark, root), "n", "k") == [(1, "a"), (2, "b")]
+    sinks.write_partitioned(df.limit(1), root, "k")
+    assert before.count() == 2 and readers.read_partitioned(spark, root).count() == 1
+
+
+def test_expiry_keeps_what_readers_may_hold(spark, tmp_path):
+    root, df = str(tmp_path / "tree"), spark.createDataFrame([(1, "a")], "n int, k string")
+    for _ in range(4):
+        sinks.write_partitioned(df, root, "k", grace=3600)
+    (tmp_path / "tree" / "versions" / "abandoned").mkdir()
+    assert len(versions.commits(spark, root)) == 4  # all of them young
+    assert len(versions.expire_versions(spark, root, keep=2, grace=-60)) == 3
+    assert [c.number for c in versions.commits(spark, root)] == [4, 3]
+    assert len(list((tmp_path / "tree" / "versions").iterdir())) == 2
+    assert readers.read_partitioned(spark, root).count() == 1
+    assert versions.published_folder(spark, str(tmp_path / "none")) is None
+
+
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    root, df = str(tmp_path / "tree"), spark.createDataFrame([(1, "a")], "n int, k string")
+    sinks.write_partitioned(df, root, "k")
+    monkeypatch.setattr(versions, "_numbers", lambda files, path: [])  # as if the first commit came meanwhile
+    with pytest.raises(versions.PublishConflict):
+        sinks.write_partitioned(df.limit(0), root, "k")
+    monkeypatch.undo()
+    assert readers.read_partitioned(spark, root).count() == 1
+    assert len(list((tmp_path / "tree" / "versions").iterdir())) == 1
+
+
+# ── quoted files split inside ────────────────────────────────────────────────────────────
+@pytest.fixture
+def small_blocks(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def limit(size):
+        for n, v in zip(names, (str(size), "1"), strict=True):
+            spark.conf.set(n, v)
+
+    yield limit
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def _quoted_file(seed):
+    """Fields with newlines, returns, separators and doubled quotes; sometimes an unclosed end or blank lines."""
+    rng = random.Random(seed)
+
+    def field():
+        text = "".join(rng.choice(("a", "é", "\n", "\n\n", ",", '"', "\r\n", " ", "x1")) for _ in range(rng.choice((0, 1, 3, 40))))
+        plain = "".join(c for c in text if c not in '",\r\n')
+        return plain if rng.random() < 0.3 else '"' + text.replace('"', '""') + '"'
+
+    end = "\r\n" if seed % 3 == 2 else "\n"
+    body = end.join(["id,b,c", *(f"{i},{field()},{field()}" for i in range(rng.choice((0, 1, 5, 60))))])
+    return body + {0: "", 1: end, 2: end + '99,"never closed, \n""oh', 3: end + end + "77,1,2" + end + end}[seed % 4]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_split_reading_equals_the_multi_line_reader(spark, tmp_path, rows, small_blocks, seed):
+    path = tmp_path / "a.csv"
+    path.write_bytes(_quoted_file(seed).encode())
+    small_blocks((7, 50, 300, 100_000)[seed % 4 if seed % 5 else 0])
+    mine = quoted_csv.read_quoted_csv(spark, str(path))
+    whole = readers.read_csv_text(spark, str(path), multi_line=True)
+    assert mine.columns == whole.columns == ["id", "b", "c"]
+    assert rows(mine) == rows(whole)
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, rows, small_blocks):
+    path = tmp_path / "big.csv"
+    path.write_text("id,b\n" + "".join(f'{i},"line {i}\nand, ""so"" on"\n' for i in range(2000)))
+    small_blocks(4000)
+    lines = quoted_csv._lines(spark, str(path))
+    assert lines.select(F.spark_partition_id().alias("p")).distinct().count() >= path.stat().st_size // 4000
+    mine = quoted_csv.read_quoted_csv(spark, str(path))
+    assert rows(mine) == rows(readers.read_csv_text(spark, str(path), multi_line=True)) and mine.count() == 2000
+    assert mine.select("b").distinct().count() == 2000
+
+
+def test_quotes_inside_unquoted_fields_are_found(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text('id,b\n1,"fine ""x"""\n2,5" pipe 6"\n3,"a"b"c"\n4,"",""\n')
+    found = quoted_csv.misquoted_records(quoted_csv.quoted_records(spark, str(tmp_path)))
+    assert rows(found, "record") == [('2,5" pipe 6"',), ('3,"a"b"c"',)]
+
+
 def test_manifest_round_trip(spark, tmp_path):
     counts = sinks.flag_nonstandard_keys(
         spark.createDataFrame([("2019", 5), ("0219", 1), (readers.HIVE_NULL, 2)], "partition_key string, row_count bigint"), years=(2000, 2030))
