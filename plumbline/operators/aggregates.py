@@ -90,13 +90,33 @@ def group_total(df: DataFrame, keys: Sequence[str], value: Column, name: str) ->
     return df.join(totals, keys, "left").select(*df.columns, name)
 
 
-def profile(df: DataFrame, key: str | Column, sums: Sequence[str] = ()) -> DataFrame:
-    """Rows and exact decimal control sums per partition key, in one scan."""
+#: Column of a profile with content.
+DIGEST = "content_digest"
+#: Limbs of a content digest, and hexadecimal digits of each.
+LIMBS, DIGITS = 4, 8
+
+
+def content_digest(columns: Sequence[str]) -> Column:
+    """An aggregate that is equal for equal multisets of rows, whatever their order.
+
+    A row is written as JSON with its nulls, so that null, blank and a value in another column
+    differ, and hashed to 128 bits; the hashes are summed in four limbs of 32 bits. Such sums
+    combine before a shuffle, over partitions and over loads, and a changed, moved or repeated
+    value changes them.
+    """
+    row = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}))
+    limbs = [F.conv(F.substring(row, 1 + DIGITS * i, DIGITS), 16, 10).cast("decimal(20,0)") for i in range(LIMBS)]
+    return F.concat_ws(":", *[F.coalesce(F.sum(x), F.lit(0)).cast("string") for x in limbs])
+
+
+def profile(df: DataFrame, key: str | Column, sums: Sequence[str] = (), content: bool = False) -> DataFrame:
+    """Rows and exact decimal control sums per partition key, and a digest of all columns if asked for, in one scan."""
     column = F.col(f"`{key}`") if isinstance(key, str) else key
     return df.groupBy(F.coalesce(column.cast("string"), F.lit(HIVE_NULL)).alias("partition_key")).agg(
         F.count(F.lit(1)).alias("row_count"),
         *[F.coalesce(F.sum(F.col(f"`{c}`").cast("decimal(20,2)")), F.lit(0)).cast("decimal(38,2)")
-          .alias(c) for c in sums])
+          .alias(c) for c in sums],
+        *[content_digest(sorted(df.columns)).alias(DIGEST)] * content)
 
 
 def distinct_keys(df: DataFrame, columns: Sequence[str]) -> Column:

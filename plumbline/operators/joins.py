@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.reshape import union_all
-
 
 def lookup_fixed(facts: DataFrame, fixed: DataFrame, on: Column | str | list[str]) -> DataFrame:
     """Left lookup into a fixed list (states, code lists): at most a few hundred rows."""
@@ -116,26 +114,55 @@ def constant_dollars(facts: DataFrame, index: DataFrame, year: str, amounts: dic
     return restated
 
 
+#: Keys that a frequency sketch tracks; its counts are short by at most about the total over three quarters of this.
+TRACKED = 10_000
+
+
+def hot_slices(facts: DataFrame, key: str, slices: int) -> Column:
+    """Hash key -> slices, for the keys of more than 1/``slices`` of the rows, as a scalar subquery.
+
+    A frequency sketch of fixed size is merged over the tasks, so one small row finds the keys
+    and how often they occur. No more than ``slices`` keys can be hot.
+    """
+    top = facts.agg(F.expr(f"approx_top_k({key}, {min(slices, TRACKED)}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("total"))
+    hot = F.filter("top", lambda x: x["count"] * slices > F.col("total"))
+    cut = F.transform(hot, lambda x: F.struct(x["item"], F.ceil(x["count"] * slices / F.col("total")).cast("int")))
+    return top.select(F.map_from_entries(cut)).scalar()
+
+
 def match_events(facts: DataFrame, areas: DataFrame, day: str, begin: str, until: str,
-                 state: str, county: str, is_statewide: str) -> DataFrame:
+                 state: str, county: str, is_statewide: str, slices: int | None = None) -> DataFrame:
     """Facts inside an event's window whose county, or whole state, the event designated.
 
-    ``(statewide OR same county) AND day BETWEEN begin AND until`` as two equi-joins that
-    cannot overlap. Each window is cut into the months it touches, so a fact only meets the
+    ``(statewide OR same county) AND day BETWEEN begin AND until`` as one equi-join: a fact has
+    two keys, its county and its whole state, and an event the one it designated, so no pair
+    meets twice. Each window is cut into the months it touches, so a fact only meets the
     events of its own month rather than every event of its state. An event spanning years
     adds a row per month to the small side. Rows of one disaster repeated for one area stay
     repeated. ``facts`` and ``areas`` carry the state and county keys under the same names.
+
+    A storm can put a third of all facts into one key. A sketch finds such keys; their facts are
+    dealt over slices of about 1/``slices`` of all rows (the shuffle's partitions, if not given)
+    and their events are repeated for each slice. Both sides are joined from one scan; the
+    sketch reads the three key columns of the facts besides.
     """
-    month = "_month"
+    spark = facts.sparkSession
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    month, area, key, cut = "_month", "_area", "_key", "_slice"
+    hashed = F.xxhash64(state, month, area)
     spans = F.sequence(F.trunc(begin, "MM"), F.trunc(until, "MM"), F.expr("interval 1 month"))
-    windows = areas.where(F.col(until) >= F.col(begin)).withColumn(month, F.explode(spans))
-    dated = facts.withColumn(month, F.trunc(day, "MM"))
+    both = F.array_compact(F.array(F.col(county).cast("string"), F.lit("*")))
+    dated = (facts.withColumn(month, F.trunc(day, "MM")).where(F.col(state).isNotNull() & F.col(month).isNotNull())
+             .withColumn(area, F.explode(both)).withColumn(key, hashed))
+    parts = F.coalesce(F.try_element_at(hot_slices(dated, key, slices), F.col(key)), F.lit(1))
+    # Copies of one row must part, so rows are dealt by their place and not by what they hold.
+    left = dated.withColumn(cut, F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    windows = (areas.where(F.col(until) >= F.col(begin)).withColumn(month, F.explode(spans))
+               .withColumn(area, F.when(F.col(is_statewide), "*").otherwise(F.col(county).cast("string"))).drop(county)
+               .withColumn(key, hashed).withColumn(cut, parts).withColumn(cut, F.explode(F.sequence(F.lit(0), F.col(cut) - 1))))
     inside = F.col(day).between(F.col(begin), F.col(until))
-    statewide = dated.join(windows.where(F.col(is_statewide)).drop(county), [state, month])
-    local = dated.where(F.col(county).isNotNull()).join(
-        windows.where(~F.col(is_statewide)), [state, county, month])
     columns = [*facts.columns, *[c for c in areas.columns if c not in (state, county)]]
-    return union_all([part.where(inside).select(columns) for part in (statewide, local)])
+    return left.join(windows.drop(key), [state, month, area, cut]).where(inside).select(columns)
 
 
 def pair_rows(df: DataFrame, left: Column, right: Column, columns: dict[str, str]) -> DataFrame:

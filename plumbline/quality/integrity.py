@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fixed
+from plumbline.operators.aggregates import DIGEST
 from plumbline.operators.joins import with_totals
 from plumbline.quality.results import (
     FAIL,
@@ -53,33 +54,40 @@ def count_chain(counts: DataFrame, track: str, source: str) -> DataFrame:
          counted(landing=landing, raw=raw, table=table)))
 
 
-def compare_profiles(landing: DataFrame, raw: DataFrame, sums: Sequence[str]) -> DataFrame:
+def compare_profiles(landing: DataFrame, raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Two profiles of one table, partition by partition; NULL where a side has no such key."""
-    columns = ["row_count", *sums]
     left = landing.select("partition_key", *[F.col(c).alias(f"landing_{c}") for c in columns])
     right = raw.select("partition_key", *[F.col(c).alias(f"raw_{c}") for c in columns])
     return left.join(right, "partition_key", "full_outer")
 
 
 def lossless(landing: DataFrame, raw: DataFrame, sums: Sequence[str], track: str, source: str) -> DataFrame:
-    """Nothing changed between landing and raw: exact decimal sums, and counts per partition."""
-    both = compare_profiles(landing, raw, sums)
+    """Nothing changed between landing and raw: exact decimal sums, counts per partition, and contents.
+
+    Contents are compared where both profiles have digests; they show values exchanged between
+    rows, which leave all sums and counts as they were.
+    """
+    digested = DIGEST in landing.columns and DIGEST in raw.columns
+    both = compare_profiles(landing, raw, ["row_count", *sums, *[DIGEST] * digested])
     here, there = F.col("landing_row_count"), F.col("raw_row_count")
+    unlike = ~F.col(f"landing_{DIGEST}").eqNullSafe(F.col(f"raw_{DIGEST}")) if digested else F.lit(False)
     totals = both.agg(
         F.count(F.lit(1)).alias("partitions"),
         F.count_if(there.isNull()).alias("only_landing"), F.count_if(here.isNull()).alias("only_raw"),
-        F.count_if(here != there).alias("differing"),
+        F.count_if(here != there).alias("differing"), F.count_if(unlike).alias("unlike"),
         *[F.coalesce(F.sum(f"{side}_{c}"), F.lit(0)).alias(f"{side}_{c}")
           for c in sums for side in ("landing", "raw")])
     mismatched = sum((F.when(F.col(f"landing_{c}") != F.col(f"raw_{c}"), 1).otherwise(0) for c in sums), F.lit(0))
     only_landing, only_raw, differing = F.col("only_landing"), F.col("only_raw"), F.col("differing")
+    contents = ("content digests", passes(F.col("unlike") == 0), counted(partitions=F.col("partitions"), differing=F.col("unlike")))
     return results(
         totals, track, source,
         ("control sums", passes(mismatched == 0) if sums else SKIP,
          counted(columns=F.lit(len(sums)), mismatched=mismatched)),
         ("per-partition counts", passes((only_landing == 0) & (only_raw == 0) & (differing == 0)),
          counted(partitions=F.col("partitions"), only_landing=only_landing, only_raw=only_raw,
-                 differing=differing)))
+                 differing=differing)),
+        *[contents] * digested)
 
 
 def partitions_sum(counts: DataFrame, table_rows: DataFrame, track: str, source: str) -> DataFrame:

@@ -45,20 +45,31 @@ def gap_classifier(t: Testbed) -> DataFrame:
     return manifest.select("y", "reported", "landed", status.alias("status"))
 
 
-_CHAIN = """SELECT 'fintech' AS track, 'cfpb_complaints' AS source, unnest(['source -> landing', 'landing -> raw -> table']) AS check_name,
-  unnest(['WARN', 'PASS']) AS status, unnest([concat('reported=', n + 2, ', landing=', n), concat('landing=', n, ', raw=', n, ', table=', n)]) AS detail
-FROM (SELECT count(*) AS n FROM raw_complaints)"""
+_CHAIN = """SELECT 'fintech' AS track, source, unnest(['source -> landing', 'landing -> raw -> table']) AS check_name, unnest([gap, kept]) AS status,
+  unnest([concat('reported=', n + 2, ', landing=', n), concat('landing=', n, ', raw=', n, ', table=', t)]) AS detail
+FROM (SELECT 'cfpb_complaints' AS source, 'WARN' AS gap, 'PASS' AS kept, count(*) AS n, count(*) AS t FROM raw_complaints
+  UNION ALL SELECT 'cfpb_complaints, table cut short', 'WARN', 'FAIL', count(*), count(*) FILTER (timely_response_raw IS NOT NULL) FROM raw_complaints)"""
 
 
 @entry("count_chain", _CHAIN)
 def count_chain(t: Testbed) -> DataFrame:
-    landing = t.raw("complaints").agg(F.count(F.lit(1)).alias("rows_landing"))
-    raw = t.complaints.agg(F.count(F.lit(1)).alias("rows_raw"))
-    table = t.complaints.agg(F.count(F.col("zip_mask_kind")).alias("rows_table"))
-    counts = with_totals(with_totals(landing, raw), table).select(
-        "*", (F.col("rows_landing") + 2).alias("source_reported_count"),
-        F.lit("2001-08-01").alias("source_last_refresh"), F.lit("2001-07-30").alias("source_metadata_refresh"))
-    return integrity.count_chain(counts, "fintech", "cfpb_complaints")
+    """Three stores, each counted for itself: landed lines, the published tree, a written table. Then a table that lost rows."""
+    landed, tree = shared_folder(t.spark, "landed"), shared_folder(t.spark, "tree")
+    t.raw("complaints").write.csv(landed, header=True, escape='"')
+    read = readers.read_csv_text(t.spark, landed, t.raw("complaints").columns)
+    sinks.write_partitioned(read, tree, "year")
+    raw = readers.read_partitioned(t.spark, tree)
+    table = materialise(staging.stage_complaints(raw), "complaints-table")
+    short = materialise(staging.stage_complaints(raw.where("`Timely response?` IS NOT NULL")), "complaints-short")
+
+    def counts(df: DataFrame) -> DataFrame:
+        parts = [x.agg(F.count(F.lit(1)).alias(f"rows_{name}")) for name, x in (("landing", read), ("raw", raw), ("table", df))]
+        return with_totals(with_totals(parts[0], parts[1]), parts[2]).select(
+            "*", (F.col("rows_landing") + 2).alias("source_reported_count"),
+            F.lit("2001-08-01").alias("source_last_refresh"), F.lit("2001-07-30").alias("source_metadata_refresh"))
+
+    return union_all([integrity.count_chain(counts(df), "fintech", name) for name, df in (
+        ("cfpb_complaints", table), ("cfpb_complaints, table cut short", short))])
 
 
 @entry("lossless_conversion", """
@@ -74,6 +85,40 @@ def lossless_conversion(t: Testbed) -> DataFrame:
     return integrity.lossless(profile(claims, key, sums), profile(claims, renamed, sums), sums, "insurance", "nfip_claims")
 
 
+def _swapped(value: str) -> str:
+    """Of each status the first and the last order exchange a value: row counts and sums stay what they were."""
+    return f"""(SELECT o_orderkey, o_orderstatus, o_totalprice, o_clerk_note, CASE o_orderkey WHEN lo THEN at_hi WHEN hi THEN at_lo ELSE {value} END AS o_priority
+  FROM (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '' END AS o_clerk_note, o_orderpriority FROM orders)
+  JOIN (SELECT o_orderstatus, min(o_orderkey) AS lo, max(o_orderkey) AS hi, arg_min(o_orderpriority, o_orderkey) AS at_lo, arg_max(o_orderpriority, o_orderkey) AS at_hi
+    FROM orders GROUP BY ALL) USING (o_orderstatus))"""
+
+
+@entry("lossless_content", f"""
+WITH differing AS (SELECT count(DISTINCT o_orderstatus) AS d FROM (SELECT o_orderkey, o_orderstatus, o_priority FROM {_swapped('o_orderpriority')} EXCEPT ALL
+  SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders)), n AS (SELECT count(DISTINCT o_orderstatus) AS p FROM orders)
+SELECT 'testbed' AS track, source, unnest(['control sums', 'per-partition counts', 'content digests']) AS check_name,
+  unnest(['PASS', 'PASS', CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END]) AS status,
+  unnest(['columns=1, mismatched=0', concat('partitions=', p, ', only_landing=0, only_raw=0, differing=0'), concat('partitions=', p, ', differing=', x)]) AS detail
+FROM (SELECT 'orders, other row order' AS source, 0 AS x UNION ALL SELECT 'orders, values exchanged', d FROM differing
+  UNION ALL SELECT 'orders, blanks for nulls', (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderkey % 3 = 0)), n""")
+def lossless_content(t: Testbed) -> DataFrame:
+    """The same rows in another order, then two changes that no count and no sum can see."""
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit(""))
+    landing = t.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", note.alias("o_clerk_note"), F.col("o_orderpriority").alias("o_priority"))
+    ends = landing.groupBy("o_orderstatus").agg(
+        F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"),
+        F.min_by("o_priority", "o_orderkey").alias("at_lo"), F.max_by("o_priority", "o_orderkey").alias("at_hi"))
+    key = F.col("o_orderkey")
+    exchanged = landing.join(ends, "o_orderstatus").withColumn("o_priority", F.when(key == F.col("lo"), F.col("at_hi")).when(
+        key == F.col("hi"), F.col("at_lo")).otherwise(F.col("o_priority"))).select(landing.columns)
+    blanks = landing.withColumn("o_clerk_note", F.coalesce("o_clerk_note", F.lit("")))
+    here = profile(landing, "o_orderstatus", ["o_totalprice"], content=True)
+    return union_all([
+        integrity.lossless(here, profile(df, "o_orderstatus", ["o_totalprice"], content=True), ["o_totalprice"], "testbed", f"orders, {name}")
+        for name, df in (("other row order", landing.repartition(7, "o_orderkey")),
+                         ("values exchanged", exchanged), ("blanks for nulls", blanks))])
+
+
 # ── D4 to D8: rosters ────────────────────────────────────────────────────────────────────
 _CODES = "(SELECT state_code AS k, state_code IN ('AS', 'GU', 'MP', 'PR', 'VI') AS t FROM seed_states)"
 

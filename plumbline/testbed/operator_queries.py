@@ -11,7 +11,7 @@ from plumbline.functions.flags import is_small, percent, tally
 from plumbline.functions.text import normalize_company_name, row_text
 from plumbline.operators import generators
 from plumbline.operators.aggregates import coverage_lists, distinct_keys, exact_median, profile
-from plumbline.operators.joins import constant_dollars, with_totals, price_index
+from plumbline.operators.joins import constant_dollars, match_events, price_index, with_totals
 from plumbline.operators.reshape import union_all, union_distinct
 from plumbline.operators.sampling import (
     Stratum,
@@ -344,3 +344,34 @@ SELECT l_returnflag, count(*) AS n, min(concat_ws('|', l_orderkey::VARCHAR, l_li
 def row_texts(t: Testbed) -> DataFrame:
     return t.table("lineitem").groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.min(row_text(["l_orderkey", "l_linestatus"])).alias("first_text"))
+
+
+_STORM = """SELECT l_orderkey, l_linenumber, 'MI' AS state_code, CASE WHEN l_suppkey % 11 <> 0 THEN '26' || lpad((l_suppkey % 12 * 2 + 1)::VARCHAR, 3, '0') END AS county_fips,
+  CASE WHEN (l_orderkey * 7 + l_linenumber) % 5 < 2 THEN DATE '1997-04-01' + (l_linenumber * 3)::INT ELSE l_shipdate::DATE END AS loss FROM lineitem"""
+
+
+@entry("storm_attribution", f"""
+WITH claims_of AS ({_STORM}),
+areas AS (SELECT p_partkey AS event, CASE WHEN p_partkey % 6 = 0 THEN '26000' ELSE '26' || lpad((p_partkey % 12 * 2 + 1)::VARCHAR, 3, '0') END AS county_fips,
+  DATE '1995-01-01' + (p_partkey * 13 % 2500)::INT AS begins, DATE '1995-01-01' + (p_partkey * 13 % 2500 + p_size)::INT AS ends FROM part)
+SELECT county_fips, is_statewide, count(*) AS matches, sum(days)::BIGINT AS days_in, count(DISTINCT event) AS events FROM (
+  SELECT c.county_fips, a.county_fips = '26000' AS is_statewide, event, loss - begins AS days FROM claims_of c JOIN areas a
+  ON loss BETWEEN begins AND ends AND (a.county_fips = '26000' OR a.county_fips = c.county_fips)) GROUP BY ALL""")
+def storm_attribution(t: Testbed) -> DataFrame:
+    """Events of every part against lines of which one storm month holds two in five."""
+    def county(number):
+        return F.concat(F.lit("26"), F.lpad((number % 12 * 2 + 1).cast("string"), 3, "0"))
+
+    line = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    storm = F.date_add(F.lit("1997-04-01").cast("date"), (F.col("l_linenumber") * 3).cast("int"))
+    losses = t.table("lineitem").select(
+        F.lit("MI").alias("state_code"), F.when(F.col("l_suppkey") % 11 != 0, county(F.col("l_suppkey"))).alias("county_fips"),
+        F.when(line % 5 < 2, storm).otherwise(F.col("l_shipdate").cast("date")).alias("loss"))
+    first = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 13 % 2500).cast("int"))
+    areas = t.table("part").select(
+        F.lit("MI").alias("state_code"), F.when(F.col("p_partkey") % 6 == 0, "26000").otherwise(county(F.col("p_partkey"))).alias("county_fips"),
+        F.col("p_partkey").alias("event"), first.alias("begins"), F.date_add(first, F.col("p_size").cast("int")).alias("ends"),
+        (F.col("p_partkey") % 6 == 0).alias("is_statewide"))
+    hits = match_events(losses, areas, "loss", "begins", "ends", "state_code", "county_fips", "is_statewide")
+    return hits.groupBy("county_fips", "is_statewide").agg(
+        F.count(F.lit(1)).alias("matches"), F.sum(F.date_diff("loss", "begins")).alias("days_in"), F.count_distinct("event").alias("events"))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import joins
+from plumbline.operators import aggregates, joins
 from plumbline.operators.aggregates import exact_median, group_total, stitch_groups
 from plumbline.operators.reshape import unpivot_named
 from plumbline.operators.sampling import Stratum, sample_per_group, stratified_sample, stratum_counts
@@ -80,6 +80,45 @@ def test_events_match_brute_force(spark, rows):
     assert rows(found, "c", "a") == expected
 
 
+def test_a_storm_is_cut_into_slices(spark, rows):
+    # Two in five facts lie in one month of one state; its slices hold no more than other tasks do.
+    base, slices = dt.date(2000, 1, 1), 10
+    claims = [(i, "MI" if i % 5 < 2 else f"S{i % 40}", f"c{i % 3}", base + dt.timedelta(i % 28 if i % 5 < 2 else i * 7 % 2000)) for i in range(3000)]
+    areas = [(1, "MI", None, base, base + dt.timedelta(20), True), (2, "MI", "c1", base, base + dt.timedelta(40), False),
+             (3, "S7", "c2", base + dt.timedelta(100), base + dt.timedelta(900), False), (3, "S7", "c2", base, base + dt.timedelta(5), False)]
+    left = spark.createDataFrame(claims, "c int, state string, county string, d date")
+    right = spark.createDataFrame(areas, "a int, state string, county string, b date, u date, sw boolean")
+    expected = sorted(((c[0], a[0]) for c in claims for a in areas
+                       if c[1] == a[1] and (a[5] or a[2] == c[2]) and a[3] <= c[3] <= a[4]), key=repr)
+    found = joins.match_events(left, right, "d", "b", "u", "state", "county", "sw", slices)
+    assert rows(found, "c", "a") == expected
+    keyed = left.select("state", F.trunc("d", "MM").alias("m"), F.xxhash64("state", F.trunc("d", "MM")).alias("k"))
+    parts = F.coalesce(F.try_element_at(joins.hot_slices(keyed, "k", slices), F.col("k")), F.lit(1))
+    dealt = keyed.withColumn("slice", F.pmod(F.monotonically_increasing_id(), parts)).groupBy("k", "slice").count()
+    assert dealt.agg(F.max("count")).first()[0] <= 2 * len(claims) / slices
+    assert keyed.groupBy("k").count().agg(F.max("count")).first()[0] > 4 * len(claims) / slices - 100
+
+
+def test_content_digests_see_what_sums_do_not(spark):
+    rows = [("a", 1, "x", None), ("a", 2, "y", ""), ("b", 3, None, "z")]
+    schema = "k string, n int, s string, t string"
+
+    def digests(data, parts=3):
+        df = spark.createDataFrame(data, schema).repartition(parts)
+        return {r.partition_key: r.content_digest for r in aggregates.profile(df, "k", ["n"], content=True).collect()}
+
+    same = digests(rows)
+    assert digests(rows[::-1], 1) == same
+    for changed in ([("a", 1, "y", None), ("a", 2, "x", ""), rows[2]], [("a", 1, "x", ""), *rows[1:]], [rows[0], rows[0], rows[2]],
+                    [*rows[:2], ("b", 3, "z", None)], [rows[0], rows[1], rows[1], rows[2]]):
+        assert digests(changed) != same
+    # Digests are sums of limbs, so those of two loads add up to that of both.
+    def limbs(data):
+        return [int(x) for x in digests(data)["a"].split(":")]
+
+    assert [x + y for x, y in zip(limbs(rows[:1]), limbs(rows[1:2]), strict=True)] == limbs(rows[:2])
+
+
 def test_clamped_vintages(spark, rows):
     facts = spark.createDataFrame([("a", 1990), ("a", 2005), ("a", 2030), ("b", 2005), (None, 2005)], "county_fips string, y int")
     vintages = spark.createDataFrame([("a", 2000, 5), ("a", 2005, 6), ("a", 2010, 7)], "k string, vintage_year int, n int")
