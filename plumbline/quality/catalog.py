@@ -13,12 +13,17 @@ COLUMNS = ("schema_name string, relation_name string, relation_kind string, ordi
 
 
 def catalogue_rows(spark: SparkSession, schemas: list[str] | None = None) -> DataFrame:
-    """Columns as the catalogue knows them. Metadata only; no table is read."""
-    rows = []
+    """Columns as the catalogue knows them. Metadata only; no table is read.
+
+    Temporary views lie in no schema; every schema lists them, and they count once, in the current one.
+    """
+    rows, current = [], spark.catalog.currentDatabase()
     for database in spark.catalog.listDatabases():
         if schemas is not None and database.name not in schemas:
             continue
         for table in spark.catalog.listTables(database.name):
+            if table.isTemporary and database.name != current:
+                continue
             name = table.name if table.isTemporary else f"{database.name}.{table.name}"
             kind = "view" if table.tableType in ("VIEW", "TEMPORARY") else "table"
             for position, column in enumerate(spark.catalog.listColumns(name), start=1):

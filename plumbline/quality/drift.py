@@ -1,4 +1,4 @@
-"""Schema drift against a committed roster, row conservation and table contracts."""
+"""Schema drift against a committed roster, and row conservation."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.operators.joins import with_totals
 from plumbline.quality.results import FAIL, PASS, SKIP, WARN, counted, passes, results
@@ -59,14 +58,3 @@ def conserves_rows(raw: DataFrame, staged: DataFrame, track: str, source: str) -
     both = with_totals(raw.agg(F.count(F.lit(1)).alias("raw")), staged.agg(F.count(F.lit(1)).alias("staged")))
     return results(both, track, source, ("staging conserves rows", passes(F.col("raw") == F.col("staged")),
                                          counted(raw=F.col("raw"), staged=F.col("staged"))))
-
-
-def contract_breaches(df: DataFrame, contract: T.StructType) -> list[str]:
-    """Where a table's names and types differ from its contract, in contract order."""
-    found = {f.name: f.dataType for f in df.schema.fields}
-    wanted = {f.name: f.dataType for f in contract.fields}
-    breaches = [f"{name}: missing" for name in wanted if name not in found]
-    breaches += [f"{name}: not in the contract" for name in found if name not in wanted]
-    breaches += [f"{name}: {found[name].simpleString()} instead of {wanted[name].simpleString()}"
-                 for name in wanted if name in found and found[name] != wanted[name]]
-    return breaches

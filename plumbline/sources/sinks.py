@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.contracts import checked
 from plumbline.sources.readers import HIVE_NULL
 from plumbline.sources.versions import publish
 
@@ -54,18 +55,26 @@ def flag_nonstandard_keys(counts: DataFrame, reference: DataFrame | None = None,
 
 def save_table(df: DataFrame, name: str, comments: Mapping[str, str] | None = None,
                path: str | None = None) -> DataFrame:
-    """Materialise a mart or dimension under its own schema, with column descriptions."""
+    """Write a mart or dimension under its own schema, with descriptions of it and its columns.
+
+    A table that has a contract is refused, before anything is written, if its columns differ
+    from it; its descriptions are the contract's, over which ``comments`` go.
+    """
     spark = df.sparkSession
+    contract = checked(df, name)
+    known = {**(contract.comments if contract else {}), **(comments or {})}
     schema, _, _ = name.rpartition(".")
     if schema:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
     columns = [
-        F.col(f"`{f.name}`").alias(f.name, metadata={"comment": comments[f.name]})
-        if comments and f.name in comments else F.col(f"`{f.name}`")
+        F.col(f"`{f.name}`").alias(f.name, metadata={"comment": known[f.name]})
+        if f.name in known else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ]
     writer = df.select(*columns).write.mode("overwrite").format("parquet")
     (writer.option("path", path) if path else writer).saveAsTable(name)
+    if contract:
+        spark.sql(f"COMMENT ON TABLE {name} IS '{contract.meaning}'")
     return spark.table(name)
 
 

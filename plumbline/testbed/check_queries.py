@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline import fixed_values as fixed
+from plumbline.contracts import ContractBreach, checked, contracts
 from plumbline.operators.aggregates import profile
 from plumbline.operators.joins import with_totals
 from plumbline.operators.reshape import union_all
@@ -454,27 +454,61 @@ def generic_tests(t: Testbed) -> DataFrame:
     })
 
 
-DISASTER_CONTRACT = T.StructType([
-    T.StructField("disaster_number", T.IntegerType()), T.StructField("fema_declaration_string", T.StringType()),
-    T.StructField("declaration_type", T.StringType()), T.StructField("declaration_title", T.StringType()),
-    T.StructField("incident_type", T.StringType()), T.StructField("declaration_date", T.DateType()),
-    T.StructField("incident_begin_date", T.DateType()), T.StructField("incident_end_date", T.DateType()),
-    *[T.StructField(c, T.BooleanType()) for c in ("is_incident_open", "has_invalid_incident_window")],
-    *[T.StructField(c, T.LongType()) for c in ("designated_area_count", "designated_county_count",
-                                               "statewide_area_count", "state_count")],
-    *[T.StructField(c, T.BooleanType()) for c in ("is_flood_related", "is_major_disaster", "touches_michigan",
-                                                  "ia_program_declared", "pa_program_declared")]])
+_CONTRACTED = {"mart_ins.dim_ins_disaster_declaration": ("insurance", "disasters"), "mart_fin.fct_fin_complaints_daily_state": ("fintech", "complaints_daily")}
 
 
-@entry("contract_check", """
-SELECT 'insurance' AS track, 'dim_ins_disaster_declaration' AS source, 'contract' AS check_name, 'PASS' AS status, concat('breaches=0, rows=', count(*)) AS detail FROM disasters""")
+def _contracted(t: Testbed) -> dict[str, DataFrame]:
+    return dict(zip(_CONTRACTED, (insurance.disasters(t.declarations, t.params), lending.complaints_daily(t.complaints, t.params)), strict=True))
+
+
+def _lost_and_retyped(df: DataFrame) -> DataFrame:
+    """A frame that breaks its contract: the last column is gone, the first is text, one is new."""
+    first, *kept = df.columns[:-1]
+    return df.select(F.concat(F.lit("n"), F.col(first).cast("string")).alias(first), *kept, F.lit(1).alias("added"))
+
+
+_CONTRACT_SQL = "\nUNION ALL ".join(f"""
+SELECT '{track}' AS track, '{table}' AS source, unnest(['contract', 'a breach is refused']) AS check_name, unnest(['PASS', 'PASS']) AS status,
+  unnest([concat('breaches=0, rows=', count(*)), concat('breaches=3, rows=', count(*))]) AS detail FROM {relation}"""
+                                     for table, (track, relation) in _CONTRACTED.items())
+
+
+@entry("contract_check", _CONTRACT_SQL)
 def contract_check(t: Testbed) -> DataFrame:
-    table = insurance.disasters(t.declarations, t.params)
-    breaches = len(drift.contract_breaches(table, DISASTER_CONTRACT))
-    measured = table.agg(F.count(F.lit(1)).alias("n"))
-    return results(measured, "insurance", "dim_ins_disaster_declaration",
-                   ("contract", passes(F.lit(breaches == 0)),
-                    F.concat(F.lit(f"breaches={breaches}, rows="), F.col("n").cast("string"))))
+    """Tables written under their contracts, and what a frame meets that breaks one."""
+    parts = []
+    for table, df in _contracted(t).items():
+        track, contract, wrong = _CONTRACTED[table][0], contracts()[table], _lost_and_retyped(df)
+        try:
+            checked(wrong, table)
+            refused = False
+        except ContractBreach:
+            refused = True
+        detail = lambda n: F.concat(F.lit(f"breaches={n}, rows="), F.col("n").cast("string"))
+        parts.append(results(
+            df.agg(F.count(F.lit(1)).alias("n")), track, table,
+            ("contract", passes(F.lit(not contract.breaches(df))), detail(len(contract.breaches(df)))),
+            ("a breach is refused", passes(F.lit(refused)), detail(len(contract.breaches(wrong))))))
+    return union_all(parts)
+
+
+_DICTIONARY_SQL = "\nUNION ALL ".join(f"""
+SELECT '{table.split('.')[0]}' AS schema_name, '{table.split('.')[1]}' AS relation_name, '{'insurance' if '_ins' in table else 'fintech'}' AS track, 'mart' AS layer, i AS ordinal_position,
+  c[1] AS column_name, c[2] AS data_type, true AS is_documented, true AS is_described, (SELECT count(*) FROM {relation}) AS row_count
+FROM (SELECT unnest(range(1, {len(contracts()[table].columns) + 1})) AS i, unnest([{', '.join(f"['{c}', '{k}']" for c, k in contracts()[table].columns.items())}]) AS c)"""
+                                       for table, (_, relation) in _CONTRACTED.items())
+
+
+@entry("contracted_dictionary", _DICTIONARY_SQL)
+def contracted_dictionary(t: Testbed) -> DataFrame:
+    """Two contracted tables as the catalogue has them after they were saved."""
+    saved = {table: sinks.save_table(df, table, path=shared_folder(t.spark, "saved")) for table, df in _contracted(t).items()}
+    rows = catalogue_rows(t.spark, ["mart_ins", "mart_fin"])
+    described = data_dictionary(rows.where(F.concat_ws(".", "schema_name", "relation_name").isin(*saved)))
+    counts = union_all([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(table).alias("table"), "row_count") for table, df in saved.items()])
+    return described.join(counts, F.col("table") == F.concat_ws(".", "schema_name", "relation_name")).select(
+        "schema_name", "relation_name", "track", "layer", "ordinal_position", "column_name", "data_type", "is_documented",
+        F.col("relation_description").isNotNull().alias("is_described"), "row_count")
 
 
 @entry("report_tally", f"""

@@ -1,12 +1,16 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import fixed_values as fixed
+from plumbline.contracts import ContractBreach, contract_breaches, contracts
 from plumbline.params import Params
+from plumbline.plans.conformed import period_dimension
 from plumbline.quality import assertions, coverage, drift, geography, integrity
 from plumbline.quality.catalog import COLUMNS, data_dictionary
 from plumbline.quality.results import exit_code, results, tally
 from plumbline.sources.seeds import parse_fixed
+from plumbline.sources.sinks import save_table
 
 
 def counts(spark, **keys):
@@ -105,8 +109,28 @@ def test_drift_modes(spark):
 def test_contract_breaches(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     wanted = T.StructType([T.StructField("n", T.LongType()), T.StructField("m", T.StringType())])
-    assert drift.contract_breaches(df, df.schema) == []
-    assert drift.contract_breaches(df, wanted) == ["m: missing", "s: not in the contract", "n: int instead of bigint"]
+    assert contract_breaches(df, df.schema) == []
+    assert contract_breaches(df, wanted) == ["m: missing", "s: not in the contract", "n: int instead of bigint"]
+
+
+def test_every_contract_has_meanings():
+    assert len(contracts()) == 22
+    for contract in contracts().values():
+        assert contract.meaning and contract.columns and all(contract.comments.values())
+        assert contract.comments.keys() == contract.columns.keys()
+
+
+def test_a_table_that_breaks_its_contract_is_refused(spark, tmp_path):
+    table = "conformed.dim_period"
+    periods = period_dimension(spark)
+    saved = save_table(periods, table, path=str(tmp_path / "a"))
+    assert saved.schema["grain"].metadata["comment"] == contracts()[table].comments["grain"]
+    assert spark.catalog.getTable(table).description == contracts()[table].meaning
+    with pytest.raises(ContractBreach, match="calendar_year: int instead of smallint"):
+        save_table(periods.withColumn("calendar_year", F.col("calendar_year").cast("int")), table, path=str(tmp_path / "b"))
+    with pytest.raises(ContractBreach, match="grain: missing"):
+        save_table(periods.drop("grain"), table, path=str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists() and spark.table(table).count() == periods.count()
 
 
 def test_geography_gate(spark):
