@@ -153,6 +153,39 @@ def unresolved_periods(facts: Mapping[str, tuple[str, DataFrame]], periods: Data
     ).select("model", "expected_grain", "period_id", problem.alias("problem"))
 
 
+# Every table that names periods, and the grain it names them at.
+PERIOD_GRAINS = {
+    "fct_ins_claims_monthly": "month", "fct_ins_claims_detail_mi": "month", "fct_ins_policies_mi_monthly": "month",
+    "fct_fin_complaints_monthly_geo": "month", "fct_fin_complaints_monthly_company": "month",
+    "fct_fin_complaints_daily_state": "month", "rpt_fin_publication_window": "month", "fct_fin_hmda_annual": "year",
+    "fct_hlt_medicare_cost_annual": "year", "fct_hlt_medicare_service_county": "year", "fct_hlt_mi_population_65_plus": "year",
+    "fct_hlt_cdc_indicators": "survey_cycle", "fct_hlt_cdc_mi_vs_national": "survey_cycle",
+}
+
+
+def period_facts(built: Mapping[str, DataFrame]) -> dict[str, tuple[str, DataFrame]]:
+    """Grain and table of all facts of a build, for ``unresolved_periods`` and ``period_usage``."""
+    tables = {name.rpartition(".")[2]: df for name, df in built.items()}
+    return {name: (grain, tables[name]) for name, grain in PERIOD_GRAINS.items() if name in tables}
+
+
+def period_usage(facts: Mapping[str, tuple[str, DataFrame]], periods: DataFrame) -> DataFrame:
+    """Per fact its periods, how many the spine lacks, how many it holds at another grain, and rows without one.
+
+    All facts are one aggregate: each task keeps one row per fact and period, whatever the
+    facts' sizes, and the spine meets what is left.
+    """
+    used = union_all([
+        df.select(F.lit(model).alias("model"), F.lit(grain).alias("expected_grain"), "period_id")
+        for model, (grain, df) in facts.items()]).groupBy("model", "expected_grain", "period_id").agg(F.count(F.lit(1)).alias("rows"))
+    missing, named = F.col("period_id").isNull(), F.col("grain").isNotNull()
+    return used.join(periods.select("period_id", "grain"), "period_id", "left").groupBy("model", "expected_grain").agg(
+        F.count("period_id").alias("periods"),
+        F.count_if(~missing & ~named).alias("unknown"),
+        F.count_if(named & (F.col("grain") != F.col("expected_grain"))).alias("other_grain"),
+        F.coalesce(F.sum(F.when(missing, F.col("rows"))), F.lit(0)).alias("rows_without"))
+
+
 # Register columns whose codes must all decode, and the list of each.
 DECODED_CODES = {
     **{c: c for c in ("action_taken", "loan_purpose", "loan_type", "lien_status", "occupancy_type",

@@ -673,6 +673,43 @@ def assertions_periods(t: Testbed) -> DataFrame:
     })
 
 
+_FACT_RELATIONS = {
+    "fct_ins_claims_monthly": "claims_monthly", "fct_ins_claims_detail_mi": "claims_detail", "fct_ins_policies_mi_monthly": "in_force",
+    "fct_fin_complaints_monthly_geo": "complaints_geo", "fct_fin_complaints_monthly_company": "complaints_company",
+    "fct_fin_complaints_daily_state": "complaints_daily", "rpt_fin_publication_window": "publication", "fct_fin_hmda_annual": "lending_annual",
+    "fct_hlt_medicare_cost_annual": "cost", "fct_hlt_medicare_service_county": "services", "fct_hlt_mi_population_65_plus": "elderly",
+    "fct_hlt_cdc_indicators": "indicators", "fct_hlt_cdc_mi_vs_national": "versus"}
+#: Facts that claim a grain which they do not have: each grain once, by the fact whose periods it takes.
+_WRONG_GRAINS = {"month": "fct_hlt_mi_population_65_plus", "year": "fct_hlt_cdc_indicators", "survey_cycle": "rpt_fin_publication_window"}
+_USED = " UNION ALL ".join(
+    [f"SELECT '{m}' AS model, '{must.PERIOD_GRAINS[m]}' AS expected_grain, period_id FROM {r}" for m, r in _FACT_RELATIONS.items()]
+    + [f"SELECT 'wrong {grain}', '{grain}', period_id FROM {_FACT_RELATIONS[m]}" for grain, m in _WRONG_GRAINS.items()])
+
+
+@entry("fact_periods", f"""
+SELECT model, expected_grain, count(u.period_id) AS periods, count(*) FILTER (u.period_id IS NOT NULL AND p.grain IS NULL) AS unknown,
+  count(*) FILTER (p.grain <> expected_grain) AS other_grain, coalesce(sum(n) FILTER (u.period_id IS NULL), 0)::BIGINT AS rows_without
+FROM (SELECT model, expected_grain, period_id, count(*) AS n FROM ({_USED}) GROUP BY ALL) u LEFT JOIN periods p USING (period_id) GROUP BY ALL""")
+def fact_periods(t: Testbed) -> DataFrame:
+    """The periods of all thirteen facts in one pass, and of three that claim a wrong grain."""
+    indicators = health.indicators(t.indicators)
+    built = dict(zip(must.PERIOD_GRAINS, (
+        insurance.claims_monthly(t.claims, t.population, t.prices, t.counties, t.params),
+        insurance.claims_detail(t.claims, t.prices, t.counties, t.params),
+        insurance.policies_in_force(t.policies, t.counties, t.params),
+        lending.complaints_by_county(t.allocation, t.population, t.counties, t.params),
+        lending.complaints_by_company(t.complaints, t.params), lending.complaints_daily(t.complaints, t.params),
+        lending.publication_window(t.complaints, t.params),
+        lending.lending_annual(t.lending, t.institutions, t.counties, t.params),
+        health.medicare_cost(t.measures, t.medicare, t.prices, t.params),
+        health.medicare_services(t.measures, t.medicare, t.counties, t.params),
+        health.population_65_plus(t.population_65, t.counties, t.params),
+        indicators, health.state_vs_national(indicators, t.params)), strict=True))
+    facts = must.period_facts(built)
+    wrong = {f"wrong {grain}": (grain, built[m]) for grain, m in _WRONG_GRAINS.items()}
+    return must.period_usage({**facts, **wrong}, conformed.period_dimension(t.spark))
+
+
 @entry("tie_out", """
 SELECT 'claims' AS measure, (SELECT sum(claim_count) FROM claims_monthly)::DOUBLE AS mart_value, (SELECT count(*) FROM claims)::DOUBLE AS base_value, 0::DOUBLE AS gap
 UNION ALL SELECT 'complaints', (SELECT sum(complaint_count) FROM complaints_company)::DOUBLE, (SELECT count(*) FROM complaints)::DOUBLE, -(SELECT count(*) FROM complaints WHERE state_code IS NULL)::DOUBLE""")
