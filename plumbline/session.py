@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Hive-style partition keys such as state=02 must stay text.
     # HotSpot never compiles a method above 8000 bytecodes. A wide projection fused into one
     # such method runs interpreted; below the limit Spark splits it into compiled pieces.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Hive-style partition keys such as state=02 must stay text.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
@@ -45,6 +47,37 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The folders that ``materialise`` writes inside a ``with`` block, to be deleted when nothing reads them any more.
+
+    A frame that was made in the block and not yet written may read any of them.
+    """
+
+    _open: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.remove(self)
+
+    def release(self, *keep: str) -> None:
+        """Delete the folders but the newest one of each name in ``keep``."""
+        newest = {next((f for f in reversed(self.folders) if re.search(rf"/{re.escape(name)}-[0-9a-f]{{32}}$", f)), None) for name in keep}
+        delete_folders(self.spark, [f for f in self.folders if f not in newest])
+        self.folders = [f for f in self.folders if f in newest]
+
+
+def delete_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -52,5 +85,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     computed once per use, and its measured size tells the optimizer whether to broadcast it.
     """
     folder = shared_folder(df.sparkSession, name)
+    for scope in Scratch._open:
+        scope.folders.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
