@@ -15,11 +15,15 @@ text column are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.llm.common import map_rows
 from plumbline.session import materialise
@@ -182,13 +186,37 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] | Non
     """
     rules = rules or default_rules()
     stats = materialise(features(docs, id_col, text_col), "quality-counts")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = _base_failed()
     return (score(stats, rules, fit(stats, rules))
             .withColumn("base_failed", base)
             .withColumn("kept", ~base & (F.col("quality") >= threshold)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id has a kept text; columns as they are."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_id"]), "left_semi")
+    """The rows of ``docs`` with a kept text; columns as they are.
+
+    The verdict follows from the text alone once the model is fitted, so a second pass takes it
+    row by row, whatever ids repeat or are missing, and no text is shuffled.
+    """
+    rules = default_rules()
+    stats = materialise(features(docs), "quality-counts")
+    model = fit(stats, rules)
+    counted = StructType.fromDDL(FEATURES)
+    target = to_arrow_schema(counted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = zip(*map(text_features, part.column(1).to_pylist()), strict=True)
+                columns = [pa.array(c, f.type) for c, f in zip(found, target, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["_row", *target.names])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    beside = whole.mapInArrow(count, StructType([whole.schema["_row"], *counted.fields]))
+    kept = score(beside, rules, model).where(~_base_failed() & (F.col("quality") >= 0.5))
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -650,3 +650,44 @@ def test_pipeline_keeps_clean_documents(spark, frame, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"]
     assert {r.doc_id for r in out.collect()} <= {i for i, _ in clean}
+
+
+def test_long_open_texts_carry_few_shingles(spark):
+    """Texts that share most of their words: rows per text stay in proportion to its length, and no link is missing."""
+    shared = [f"w{i}" for i in range(3000)]
+    rows = []
+    for d in range(6):
+        own = [w if (i * 7 + d) % 9 else f"{w}x{d // 2}" for i, w in enumerate(shared)]
+        rows.append((d, " ".join(own)))
+    sets = {d: set(minhash.shingle_set(t, 2, {}).tolist()) for d, t in rows}
+    classes = spark.createDataFrame([(d, d, minhash.packed(minhash.minima(minhash.shingle_set(t, 2, {}))).tolist()) for d, t in rows],
+                                    "doc_id long, component long, signature array<long>")
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(r) for r in minhash.possible_pairs(classes, minhash.shingle_sets(texts, classes.select("doc_id"), 2), 80).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked <= found
+
+
+def test_verdicts_are_taken_row_by_row(spark, frame):
+    good = [(i, words(i, 120), "a") for i in range(40)]
+    rows = [*good, (None, words(99, 120), "a"), (None, "x", "a"), (None, "# " * 90, "a"), (3, "x", "a")]
+    kept = weak_supervision.keep_good(frame(rows)).collect()
+    assert "x" not in {r.text for r in kept} and "# " * 90 not in {r.text for r in kept}
+    assert {r.doc_id for r in kept} >= {i for i, _, _ in good} and words(99, 120) in {r.text for r in kept}
+
+
+def test_stages_delete_what_the_one_before_left(spark, frame, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    docs = frame([(i, words(i, 120), "ab"[i % 2]) for i in range(30)])
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(at)))
+        left = [f.rpartition("/")[2] for f in corpus_pipeline._left]
+        assert all(os.path.isdir(f"{root}/{f}") for f in left)
+        docs = spark.read.parquet(str(tmp_path / str(at)))
+    before = list(corpus_pipeline._left)
+    corpus_pipeline.STAGES[3][1](spark, docs, "")
+    assert before and not any(os.path.exists(f.removeprefix("file:")) for f in before)
