@@ -12,38 +12,44 @@ columns of the table travel along unchanged up to the last stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import lattice_sampling, minhash, run_length_index, source_mix, weak_supervision
 from plumbline.llm.common import let_workers_import
-from plumbline.session import materialise
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
-    return weak_supervision.keep_good(docs)
+from plumbline.session import Scratch, delete_folders, materialise
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
-    return minhash.keep_one_of_each(docs, words=5, percent=80)
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Folders that the stage before wrote for itself.
+_left: list[str] = []
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
-    return run_length_index.cut_documents(docs)
 
+def _stage(make: Callable[[DataFrame], DataFrame]) -> Stage:
+    """A stage, which begins by deleting what the one before left: its result is written by then.
 
-def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
-    return source_mix.mixed_documents(docs)
+    Folders that ``docs`` itself still reads are kept, should a caller not have written them.
+    """
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        read = docs.inputFiles() if _left else []
+        delete_folders(spark, [f for f in _left if not any(f.rpartition("/")[2] in path for path in read)])
+        with Scratch(spark) as scratch:
+            result = make(docs)
+        _left[:] = scratch.folders
+        return result
 
+    return run_stage
 
-def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
-    return lattice_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
+quality_rules = _stage(weak_supervision.keep_good)
+near_duplicates = _stage(lambda docs: minhash.keep_one_of_each(docs, words=5, percent=80))
+repeated_passages = _stage(run_length_index.cut_documents)
+source_weights = _stage(source_mix.mixed_documents)
+segmentations = _stage(lambda docs: lattice_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 STAGES = [
     ("quality_rules", quality_rules),
