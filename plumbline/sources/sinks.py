@@ -74,7 +74,7 @@ def save_table(df: DataFrame, name: str, comments: Mapping[str, str] | None = No
     writer = df.select(*columns).write.mode("overwrite").format("parquet")
     (writer.option("path", path) if path else writer).saveAsTable(name)
     if contract:
-        spark.sql(f"COMMENT ON TABLE {name} IS '{contract.meaning}'")
+        spark.sql(f"COMMENT ON TABLE {name} IS :meaning", {"meaning": contract.meaning})
     return spark.table(name)
 
 
