@@ -14,6 +14,7 @@ from plumbline.session import shared_folder
 from plumbline.sources import readers, sinks
 from plumbline.sources.quoted_csv import misquoted_records, quoted_records, read_quoted_csv
 from plumbline.sources.registry import raw_table
+from plumbline.sources.split_json import read_arrays_split, read_envelope_split
 from plumbline.testbed.frames import Testbed
 from plumbline.testbed.queries import entry
 
@@ -98,6 +99,15 @@ def roundtrip_json_arrays(t: Testbed) -> DataFrame:
     return readers.read_population_vintages(t.spark, folder, "detailed", _ACS)
 
 
+@entry("split_json_arrays", """
+SELECT name AS "NAME", B01003_001E, B01003_001M, B25001_001E, B25001_001M, vintage, state, county FROM raw_population WHERE geo_level = 'county'""")
+def split_json_arrays(t: Testbed) -> DataFrame:
+    """The counties' responses, read by the block."""
+    folder = shared_folder(t.spark, "arrays")
+    _write_responses(t, folder)
+    return read_arrays_split(t.spark, f"{folder}/*acs5-detailed-*-county.json", _ACS, "county").drop("geo_level")
+
+
 @entry("array_headers", """
 SELECT 'shared' AS track, 'acs5_detailed' AS source, 'header order' AS check_name, 'PASS' AS status, concat('files=', count(DISTINCT vintage), ', mismatched=0') AS detail FROM raw_population
 UNION ALL SELECT 'shared', 'acs5_detailed', 'header order, ' || vintage, CASE WHEN vintage = last THEN 'FAIL' ELSE 'PASS' END,
@@ -125,10 +135,9 @@ def array_headers(t: Testbed) -> DataFrame:
 _CROSSWALK = ["zip", "geoid", "city", "state", "res_ratio", "bus_ratio", "oth_ratio", "tot_ratio"]
 
 
-@entry("roundtrip_envelope", f"SELECT {', '.join(_CROSSWALK)} FROM raw_crosswalk")
-def roundtrip_envelope(t: Testbed) -> DataFrame:
-    # Ratios go out as bare numbers, as the publisher sends them, and must come back digit
-    # for digit. One response per state, as the publisher answers one query per state.
+def _write_envelopes(t: Testbed) -> str:
+    """Ratios go out as bare numbers, as the publisher sends them, and must come back digit
+    for digit. One response per state, as the publisher answers one query per state."""
     folder = shared_folder(t.spark, "envelope")
     pairs = [F.concat(F.lit(f'"{c}":"'), F.col(c), F.lit('"')) if not c.endswith("ratio")
              else F.concat(F.lit(f'"{c}":'), F.col(c)) for c in _CROSSWALK]
@@ -136,7 +145,18 @@ def roundtrip_envelope(t: Testbed) -> DataFrame:
     body = t.raw("crosswalk").groupBy("state").agg(F.concat(
         F.lit('{"data":{"year":2024,"results":['), F.array_join(F.collect_list(row), ","), F.lit("]}}")).alias("value"))
     body.select("state", "value").write.partitionBy("state").text(folder)
-    return readers.read_json_envelope(t.spark, f"{folder}/*/*.txt", "data.results", _CROSSWALK)
+    return f"{folder}/*/*.txt"
+
+
+@entry("roundtrip_envelope", f"SELECT {', '.join(_CROSSWALK)} FROM raw_crosswalk")
+def roundtrip_envelope(t: Testbed) -> DataFrame:
+    return readers.read_json_envelope(t.spark, _write_envelopes(t), "data.results", _CROSSWALK)
+
+
+@entry("split_envelope", f"SELECT {', '.join(_CROSSWALK)} FROM raw_crosswalk")
+def split_envelope(t: Testbed) -> DataFrame:
+    """The same responses, read by the block and not by the file."""
+    return read_envelope_split(t.spark, _write_envelopes(t), "data.results", _CROSSWALK)
 
 
 @entry("roundtrip_partitioned", """

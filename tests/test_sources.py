@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.quality.integrity import header_mismatches
-from plumbline.sources import quoted_csv, readers, sinks, versions
+from plumbline.sources import quoted_csv, readers, sinks, split_json, versions
 from plumbline.sources.registry import RAW_TABLES, raw_table
 from plumbline.sources.seeds import code_list, fixed_table, seed_csv
 from plumbline import fixed_values as fixed
@@ -179,6 +179,69 @@ def test_quotes_inside_unquoted_fields_are_found(spark, tmp_path, rows):
     assert rows(found, "record") == [('2,5" pipe 6"',), ('3,"a"b"c"',)]
 
 
+# ── responses split inside ───────────────────────────────────────────────────────────────
+def _response(seed):
+    """An envelope with siblings of every kind, nested fields, and brackets, quotes and escapes in strings."""
+    rng = random.Random(seed)
+
+    def text():
+        return "".join(rng.choice(("a", "é", "{", "}", "[", "]", '"', "\\", "\n", ",", ":", '"}', "\\\"")) for _ in range(rng.choice((0, 2, 9, 50))))
+
+    def row(i):
+        return {"id": i, "b": text(), "c": rng.choice((None, {"x": [text(), {"y": text()}]}, [[1], [{"z": "}"}]], 1.50, True))}
+
+    rows = [row(i) for i in range(rng.choice((0, 1, 4, 40)))]
+    data = {"year": 2024, "meta": {"b": text()}, "lists": [[{"id": 5}, {"id": text()}]], "others": [{"id": "no"}, {"b": text()}],
+            "results": rows, "after": [{"id": "no"}] * rng.choice((0, 2)), "none": []}
+    return json.dumps({"head": text(), "data": data, "tail": [text()]}, indent=rng.choice((None, 1)), ensure_ascii=False)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_split_responses_equal_whole_ones(spark, tmp_path, rows, small_blocks, seed):
+    (tmp_path / "a.json").write_text(_response(seed) + ("\n" if seed % 2 else ""))
+    (tmp_path / "b.json").write_text(_response(seed + 100))
+    small_blocks((9, 60, 400, 100_000)[seed % 4])
+    mine = split_json.read_envelope_split(spark, str(tmp_path), "data.results", ["id", "b", "c"])
+    assert rows(mine) == rows(readers.read_json_envelope(spark, str(tmp_path), "data.results", ["id", "b", "c"]))
+    assert split_json.broken_responses(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("size", (11, 100, 100_000))
+def test_split_arrays_equal_whole_ones(spark, tmp_path, rows, small_blocks, size):
+    rng = random.Random(size)
+    for vintage in (2019, 2020):
+        cells = [["NAME", "v", "state", "county"], *([f"A]{i}, \"[", rng.choice((None, "1")), "01", f"{i:03}"] for i in range(vintage - 1990))]
+        (tmp_path / f"acs5-x-{vintage}-county.json").write_text(json.dumps(cells).replace("], [", "],\n["))
+    small_blocks(size)
+    mine = split_json.read_arrays_split(spark, str(tmp_path), ["v"], "county")
+    assert rows(mine) == rows(readers.read_json_arrays(spark, str(tmp_path), ["v"], "county")) and mine.count() == 59
+
+
+def test_one_response_is_read_by_many_tasks(spark, tmp_path, small_blocks):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"results": [{"id": i, "t": "} " * 9} for i in range(2000)]}))
+    small_blocks(4000)
+    pieces = split_json._pieces(spark, str(path), "}")
+    assert pieces.select(F.spark_partition_id().alias("p")).distinct().count() >= path.stat().st_size // 4000
+    found = split_json.read_envelope_split(spark, str(path), "results", ["id", "t"])
+    assert found.select("id").distinct().count() == found.count() == 2000
+
+
+def test_cut_and_ambiguous_responses(spark, tmp_path, rows):
+    whole = '{"results":[{"id":"1"},{"id":"2"}]}'
+    for n in range(len(whole)):
+        (tmp_path / f"{n:02}.json").write_text(whole[:n])
+    assert split_json.read_envelope_split(spark, str(tmp_path), "results", ["id"]).count() == 0
+    assert split_json.broken_responses(spark, str(tmp_path)).count() == len(whole) - 1  # all but the empty file
+    (tmp_path / "whole.json").write_text(whole)
+    assert rows(split_json.read_envelope_split(spark, str(tmp_path), "results", ["id"])) == [("1",), ("2",)]
+    twice = tmp_path / "twice"
+    twice.mkdir()
+    (twice / "a.json").write_text('{"a":{"results":[{"id":"1"}]},"b":{"results":[{"id":"2"}]}}')
+    with pytest.raises(Exception, match="more than one array"):
+        split_json.read_envelope_split(spark, str(twice), "a.results", ["id"]).collect()
+
+
 def test_manifest_round_trip(spark, tmp_path):
     counts = sinks.flag_nonstandard_keys(
         spark.createDataFrame([("2019", 5), ("0219", 1), (readers.HIVE_NULL, 2)], "partition_key string, row_count bigint"), years=(2000, 2030))
