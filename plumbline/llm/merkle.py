@@ -4,8 +4,8 @@ A text is cut into paragraphs: up to the end of a line or a sentence, 200 charac
 The cut at a place depends only on the text before it. A leaf is the sha256 of a paragraph; a
 section ends with each leaf whose first hex digit is below 4, so its borders move with the
 text and not with its position; a section's digest covers its leaves and the root covers the
-sections. Equal roots mean equal texts. Where roots differ, equal sections are passed over and
-only leaves below the others are compared (``edits``).
+sections. Equal roots mean equal texts. Where roots differ, the equal sections before and after
+the difference are passed over and only leaves between them are compared (``edits``).
 
 A null text counts as empty: no leaves, and the root of nothing. Rows that repeat an id are
 one document for the order of ids and keep a row each; an id of null is the smallest id.
@@ -60,33 +60,65 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(left, right)) / both)
 
 
+def _equal_ahead(left: Column, right: Column) -> Column:
+    """How many sections two lists have in common from their beginning."""
+    differ = F.array_position(F.zip_with(left, right, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(left)).cast("int")
+
+
 def edits(pairs: DataFrame, left: str, right: str, id_col: str = "doc_id") -> DataFrame:
-    """Where ``right`` differs from ``left``: id_col, section, paragraph, start, length in ``right``.
+    """What makes ``right`` of ``left``: id_col, kind, old_paragraph, old_start, new_paragraph, new_start, length.
+
+    Paragraphs are numbered from 0, starts and lengths are code points. The k-th occurrence of a
+    paragraph in one text answers the k-th in the other. One without an answer is a ``delete`` (new
+    places null) or an ``insert`` (old places null). Of the answered ones, those out of order are
+    a ``move``: read forwards, what comes after something that it preceded before; read backwards,
+    the reverse. The reading with fewer moves counts, forwards if equal.
 
-    Sections of ``right`` that ``left`` has are passed over; of the others, the leaves that
-    ``left`` lacks are returned. One explode and no join.
+    Pairs with equal roots end there. Of the others, sections that agree from the beginning or from
+    the end are passed over. Null texts are empty; rows that repeat an id and both texts count once.
     """
-    def parts(name: str) -> Column:
-        pieces = paragraphs(F.col(name))
-        return F.transform(pieces, lambda p: F.struct(F.sha2(p, 256).alias("hash"), F.length(p).alias("length")))
-
-    rows = pairs.select(F.col(id_col), leaf_hashes(paragraphs(F.col(left))).alias("_old"), parts(right).alias("_new"))
-    rows = rows.select(
-        id_col, F.array_distinct("_old").alias("_old"),
-        F.transform(section_lists(F.col("_old")), lambda s: F.sha2(s, 256)).alias("_old_sections"),
-        F.transform(section_lists(F.col("_new.hash")), lambda s: F.split(s, ",")).alias("_sections"), "_new")
-    gone = F.array_except(F.transform(F.col("_sections"), lambda s: F.sha2(F.array_join(s, ","), 256)), F.col("_old_sections"))
-    rows = rows.withColumn("_changed", gone).where(F.size("_changed") > 0)
-    new_leaves = F.array_except(F.col("_new.hash"), F.col("_old"))
-    rows = rows.withColumn("_leaves", F.map_from_arrays(
-        new_leaves, F.transform(new_leaves, lambda _: F.lit(True)))).where(F.size("_leaves") > 0)
-    placed = rows.select(id_col, "_leaves", F.posexplode("_new").alias("paragraph", "_piece"))
-    order = Window.partitionBy(id_col).orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.withColumn("start", F.coalesce(F.sum("_piece.length").over(order), F.lit(0)))
-            .withColumn("section", F.coalesce(F.sum(
-                (F.substring("_piece.hash", 1, 1) < "4").cast("int")).over(order), F.lit(0)))
-            .where(F.col("_leaves")[F.col("_piece.hash")])
-            .select(id_col, "section", "paragraph", "start", F.col("_piece.length").alias("length")))
+    rows = pairs.select(F.col(id_col).alias("_id"), F.col(left).alias("_left"), F.col(right).alias("_right")).select(
+        "_id", tree(F.col("_left")).alias("_old"), tree(F.col("_right")).alias("_new"),
+        F.transform(paragraphs(F.col("_left")), lambda p: F.length(p)).alias("_old_lengths"),
+        F.transform(paragraphs(F.col("_right")), lambda p: F.length(p)).alias("_new_lengths"))
+    rows = rows.where("_old.root <> _new.root").withColumns({"_l": F.col("_old.root"), "_r": F.col("_new.root")}).dropDuplicates(["_id", "_l", "_r"])
+    old, new = F.col("_old.sections"), F.col("_new.sections")
+    ahead = _equal_ahead(old, new)
+    behind = F.least(_equal_ahead(F.reverse(old), F.reverse(new)), F.least(F.size(old), F.size(new)) - F.col("_ahead"))
+    rows = rows.withColumn("_ahead", ahead).withColumn("_behind", behind)
+    key = ["_id", "_l", "_r"]
+
+    def leaves(which: str) -> DataFrame:
+        """The leaves of one text, one per row, without those of the sections passed over."""
+        each = rows.select(*key, "_ahead", (F.size(f"{which}.sections") - F.col("_behind")).alias("_until"), F.posexplode(
+            F.arrays_zip(F.col(f"{which}.leaves").alias("hash"), F.col(f"{which}_lengths").alias("length"))).alias("paragraph", "_leaf"))
+        order = Window.partitionBy(*key).orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1)
+        place = F.struct("paragraph", F.coalesce(F.sum("_leaf.length").over(order), F.lit(0)).alias("start"))
+        section = F.coalesce(F.sum((F.substring("_leaf.hash", 1, 1) < "4").cast("int")).over(order), F.lit(0))
+        again = Window.partitionBy(*key, "hash").orderBy("place")
+        return (each.select(*key, "_ahead", "_until", F.col("_leaf.hash").alias("hash"), F.col("_leaf.length").alias("length"),
+                            place.alias("place"), section.alias("section"))
+                .where((F.col("section") >= F.col("_ahead")) & (F.col("section") < F.col("_until")))
+                .select(*key, "hash", "length", "place", F.row_number().over(again).alias("occurrence"), F.lit(which).alias("side")))
+
+    def of(which: str) -> Column:
+        return F.max(F.when(F.col("side") == which, F.col("place")))
+
+    met = leaves("_old").unionByName(leaves("_new")).groupBy(*key, "hash", "occurrence").agg(
+        F.max("length").alias("length"), of("_old").alias("old"), of("_new").alias("new"))
+    both = F.col("old").isNotNull() & F.col("new").isNotNull()
+    order = Window.partitionBy(*key, both).orderBy("old")
+    late = F.max("new").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("new")
+    early = F.min("new").over(order.rowsBetween(1, Window.unboundedFollowing)) < F.col("new")
+    read = met.select("*", both.alias("both"), (both & F.coalesce(late, F.lit(False))).alias("late"), (both & F.coalesce(early, F.lit(False))).alias("early"))
+    whole = Window.partitionBy(*key)
+    fewer = F.count_if("early").over(whole) < F.count_if("late").over(whole)
+    moved = read.withColumn("moved", F.when(fewer, F.col("early")).otherwise(F.col("late")))
+    kind = F.when(F.col("moved"), "move").when(F.col("new").isNull(), "delete").when(F.col("old").isNull(), "insert")
+    return moved.withColumn("kind", kind).where("kind IS NOT NULL").select(
+        F.col("_id").alias(id_col), "kind", F.col("old.paragraph").alias("old_paragraph"), F.col("old.start").alias("old_start"),
+        F.col("new.paragraph").alias("new_paragraph"), F.col("new.start").alias("new_start"), "length")
 
 
 def _neighbours(lengths: DataFrame) -> DataFrame:

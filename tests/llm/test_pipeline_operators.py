@@ -397,14 +397,54 @@ def test_fingerprints(odd, nothing, frame):
     assert alone.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest() and alone.near_next == 1.0
 
 
-def test_edits_lie_where_the_texts_differ(frame):
-    text = words(21, 300)
-    at = text.index(".\n", len(text) // 2) + 3
-    pairs = frame([(1, text), (2, text)]).select("doc_id", F.col("text").alias("old"), F.when(
-        F.col("doc_id") == 1, F.lit(text[:at] + "Changed. " + text[at:])).otherwise(F.col("text")).alias("new"))
-    found = merkle.edits(pairs, "old", "new").collect()
-    assert {r.doc_id for r in found} == {1} and 1 <= len(found) <= 3
-    assert min(r.start for r in found) <= at <= max(r.start + r.length for r in found)
+def _plain_edits(old, new):
+    """Edits of two lists of paragraphs by brute force, equal sections at both ends left aside."""
+    def sections(leaves):
+        result, at = [[]], 0
+        for i, leaf in enumerate(leaves):
+            result[-1].append((i, at, leaf))
+            at += len(leaf)
+            if hashlib.sha256(leaf.encode()).hexdigest()[0] < "4":
+                result.append([])
+        return [s for s in result if s]
+
+    a, b = sections(old), sections(new)
+    same = lambda x, y: [p[2] for p in x] == [p[2] for p in y]
+    while a and b and same(a[0], b[0]):
+        a, b = a[1:], b[1:]
+    while a and b and same(a[-1], b[-1]):
+        a, b = a[:-1], b[:-1]
+    places = {}
+    for side, part in enumerate((a, b)):
+        seen = Counter()
+        for i, at, leaf in sum(part, []):
+            seen[leaf] += 1
+            places.setdefault((leaf, seen[leaf]), [None, None])[side] = (i, at)
+    both = sorted((o, n) for o, n in places.values() if o and n)
+    late = {o for i, (o, n) in enumerate(both) if any(m > n for _, m in both[:i])}
+    early = {o for i, (o, n) in enumerate(both) if any(m < n for _, m in both[i + 1:])}
+    moved = early if len(early) < len(late) else late
+    return list((("move" if o and n else "delete" if o else "insert"), *(o or (None, None)), *(n or (None, None)), len(leaf))
+                  for (leaf, _), (o, n) in places.items() if not (o and n) or o in moved)
+
+
+def test_edits_equal_a_plain_comparison(frame):
+    pieces = [words(100 + i, 6).replace(".", "").replace("\n", " ") + f" {i}.\n" for i in range(60)]
+    swapped = [*pieces[:20], pieces[21], pieces[20], *pieces[22:]]
+    texts = {"same": (pieces, pieces), "insert": (pieces, [*pieces[:30], "Changed.\n", *pieces[30:]]), "delete": (pieces, [*pieces[:9], *pieces[10:]]),
+             "swap": (pieces, swapped), "repeat": (pieces, [*pieces[:5], pieces[4], *pieces[5:]]), "first to last": (pieces, [*pieces[1:], pieces[0]]),
+             "last to first": (pieces, [pieces[-1], *pieces[:-1]]), "all gone": (pieces, []), "all new": ([], pieces), "none": ([], []),
+             "shuffled": (pieces, random.Random(3).sample(pieces, 45)), "twins": (pieces[:4] * 5, pieces[1:4] * 6)}
+    rows = [(i, "".join(o) or None, "".join(n)) for i, (o, n) in enumerate(texts.values())]
+    pairs = frame([(0, "")]).sparkSession.createDataFrame([*rows, *rows], "doc_id long, old string, new string")
+    found = {}
+    for r in merkle.edits(pairs, "old", "new").collect():
+        found.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    for i, (name, (old, new)) in enumerate(texts.items()):
+        assert sorted(found.get(i, []), key=repr) == sorted(_plain_edits(old, new), key=repr), name
+    assert [r[0] for r in found[1]] == ["insert"] and [r[0] for r in found[2]] == ["delete"] and [r[0] for r in found[3]] == ["move"]
+    assert [r[0] for r in found[5]] == [r[0] for r in found[6]] == ["move"] and 0 not in found
+    assert merkle.edits(pairs.limit(0), "old", "new").count() == 0
 
 
 # ── source mix ───────────────────────────────────────────────────────────────────────────
