@@ -105,6 +105,14 @@ def median_by_status(t: Testbed) -> DataFrame:
     return exact_median(t.table("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "median_price")
 
 
+@entry("median_of_close_values", """
+SELECT l_returnflag, median(1 + l_extendedprice::DOUBLE / 1e9) AS median_factor FROM lineitem GROUP BY l_returnflag""")
+def median_of_close_values(t: Testbed) -> DataFrame:
+    """Every distinct price lies in one magnitude bin, which is divided until a part holds 64 values at most."""
+    factors = t.table("lineitem").select("l_returnflag", (1 + F.col("l_extendedprice").cast("double") / 1e9).alias("factor"))
+    return exact_median(factors, ["l_returnflag"], "factor", "median_factor", ordered=64)
+
+
 @entry("restated_amounts", """
 SELECT loss_year, claims, round(paid, 2) AS paid, round(paid * base / i, 4) AS paid_constant FROM (
   SELECT year_of_loss AS loss_year, count(*) AS claims, sum(total_amount_paid)::DOUBLE AS paid FROM claims GROUP BY ALL) LEFT JOIN deflator ON y = loss_year""")

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import statistics
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -35,6 +36,31 @@ def test_exact_median_of_any_list(spark, values):
     assert exact_median(df, ["k"], "v", "m").first().m == statistics.median(values)
 
 
+def test_exact_median_divides_full_bins(spark, rows):
+    seed = random.Random(9)
+    wide = [seed.uniform(1.0, 1.01) for _ in range(701)]
+    tight = [1.0 + i * 2.0 ** -52 for i in range(400)]
+    data = [("wide", v) for v in wide] + [("tight", v) for v in tight] + [(None, -v) for v in wide[:300]] + [("one", 2.5), ("many", 4.0)] * 90
+    data += [("ends", v) for v in (1.0, 1.005, float("inf"), float("inf"), float("nan"))]
+    df = spark.createDataFrame(data, "k string, v double")
+    expected = {"wide": statistics.median(wide), "tight": statistics.median(tight), None: statistics.median(-v for v in wide[:300]),
+                "one": 2.5, "many": 4.0, "ends": float("inf")}
+    for ordered in (1, 20):
+        assert dict(rows(exact_median(df, ["k"], "v", "m", ordered=ordered))) == expected
+
+
+def test_no_task_orders_a_hot_group(spark):
+    """Two million different values between 1.00 and 1.01: divided bins hold few, and the plan orders only them."""
+    n = 2_000_001
+    df = spark.range(0, n, 1, 8).select(F.lit("hot").alias("k"), (1 + F.col("id") * 0.01 / n).alias("v"))
+    counts = df.withColumn("_n", F.lit(1)).withColumn("_bin0", F.lit(0))
+    middle = F.struct(F.lit("hot").alias("k"), F.lit(0).alias("_bin0"), F.lit(1.0).alias("_least"), F.lit(1.01).alias("_most"), F.lit(0).alias("_before"),
+                      F.lit(n // 2 + 1).alias("_lo"), F.lit(n // 2 + 1).alias("_hi"))
+    fine = aggregates._divided(counts.withColumnRenamed("v", "_v"), spark.range(1).select(middle.alias("m")).select("m.*"), ["k", "_bin0"], 1)[1]
+    assert [r._values <= 64 for r in fine.collect()] == [True]
+    assert exact_median(df, ["k"], "v", "m", ordered=1000).first().m == pytest.approx(1.005, abs=1e-8)
+
+
 def test_stitched_groups_keep_null_keys(spark, rows):
     a = spark.createDataFrame([("x", 1), (None, 2)], "k string, n int")
     b = spark.createDataFrame([(None, 9.5)], "k string, m double")
