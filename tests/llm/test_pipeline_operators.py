@@ -613,12 +613,13 @@ def lattices():
     return lattice_sampling.Lattices(PIECES, 0.4)
 
 
-def test_samples_follow_the_exact_distribution(lattices):
+@pytest.mark.parametrize("near", [0, 1, 64])
+def test_samples_follow_the_exact_distribution(lattices, near):
     known = _all_segmentations(lattices.pieces, "▁in▁a")
     total = math.log(sum(math.exp(p) for _, p in known))
     chance = {s: math.exp(p - total) for s, p in known}
     n = 8000
-    found = [r for at in range(0, n, 1000) for r in lattice_sampling.sample_texts(lattices, list(range(at, at + 1000)), ["in a"] * 1000, 2, 1)]
+    found = [r for at in range(0, n, 1000) for r in lattice_sampling.sample_texts(lattices, list(range(at, at + 1000)), ["in a"] * 1000, 2, 1, near)]
     first, second = (Counter(tuple(r[i][0].tolist()) for r in found) for i in range(2))
     after = {s: sum(chance[a] * chance[s] / (1 - chance[a]) for a in chance if a != s) for s in chance}
     for s in chance:
@@ -630,18 +631,19 @@ def test_samples_follow_the_exact_distribution(lattices):
     assert abs(np.mean([sum(math.exp(p) / q for _, p, _, q in r) for r in found]) - 1) < 0.02
 
 
-def test_all_segmentations_when_k_is_large(lattices):
+@pytest.mark.parametrize("near", [0, 2, 64])
+def test_all_segmentations_when_k_is_large(lattices, near):
     known = {s for s, _ in _all_segmentations(lattices.pieces, "▁abc")}
-    got = lattice_sampling.sample_texts(lattices, [1], ["abc"], 500, 3)[0]
+    got = lattice_sampling.sample_texts(lattices, [1], ["abc"], 500, 3, near)[0]
     assert {tuple(i.tolist()) for i, *_ in got} == known and len(got) == len(known)
     assert all(q == 1.0 for *_, q in got)
 
 
 def test_decoding_gives_the_text_back(spark, odd, nothing):
-    samples = lattice_sampling.sample_segmentations(odd.where("doc_id != 12"), PIECES, k=3)
+    samples = lattice_sampling.sample_segmentations(odd, PIECES, k=3)
     texts = {r.doc_id: r.text or "" for r in odd.where("doc_id is not null").collect()}
     for r in lattice_sampling.decode(samples, PIECES).where("doc_id is not null").collect():
-        assert r.text == texts[r.doc_id]
+        assert r.text == texts[r.doc_id].replace("▁", " ")
     per_row = Counter(r.doc_id for r in samples.collect())
     assert per_row[8] == 3 and per_row[9] == 6 and per_row[4] == 1
     assert lattice_sampling.sample_segmentations(odd, PIECES).count() > 0
