@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Characters of texts that are walked together; a longer text is walked alone.
-TOGETHER = 1_000_000
+#: Characters of texts that are walked together, and share the units they have in common; a longer text is walked alone.
+TOGETHER = 2_500_000
 #: Pieces whose regions are drawn one by one.
 NEAR = 64
 #: A unit behind which no text has another.
