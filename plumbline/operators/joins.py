@@ -165,6 +165,27 @@ def match_events(facts: DataFrame, areas: DataFrame, day: str, begin: str, until
     return left.join(windows.drop(key), [state, month, area, cut]).where(inside).select(columns)
 
 
+def event_totals(facts: DataFrame, areas: DataFrame, day: str, begin: str, until: str,
+                 state: str, county: str, is_statewide: str, event: str) -> DataFrame:
+    """What ``match_events`` matches, per county of the fact and kind of designation, without a row per pair.
+
+    Facts times events grows with the square of the data. Facts are counted per place and day and
+    windows are taken once each, so days meet windows only; both are bounded by the calendar. Every
+    area then takes the sums of its window, a row per county at most. ``matches`` counts the pairs,
+    ``days_in`` adds up the days from a window's begin, ``events`` counts distinct events.
+    """
+    place = "_place"
+    placed = areas.withColumn(place, F.when(F.col(is_statewide), "*").otherwise(F.col(county).cast("string")))
+    window = [state, place, begin, until]
+    windows = placed.groupBy(*window).agg(F.max(county).alias(county), (F.col(place) == "*").alias(is_statewide))
+    days = facts.groupBy(state, county, day).agg(F.count(F.lit(1)).alias("_n"))
+    hits = match_events(days, windows, day, begin, until, state, county, is_statewide)
+    found = hits.groupBy(*window, county).agg(
+        F.sum("_n").alias("_matches"), F.sum(F.col("_n") * F.date_diff(day, begin)).alias("_days_in"))
+    return placed.select(*window, is_statewide, event).join(found, window).groupBy(county, is_statewide).agg(
+        F.sum("_matches").alias("matches"), F.sum("_days_in").alias("days_in"), F.count_distinct(event).alias("events"))
+
+
 def pair_rows(df: DataFrame, left: Column, right: Column, columns: dict[str, str]) -> DataFrame:
     """Put two single rows of one table side by side, each picked by a condition.
 

@@ -11,7 +11,7 @@ from plumbline.functions.flags import is_small, percent, tally
 from plumbline.functions.text import normalize_company_name, row_text
 from plumbline.operators import generators
 from plumbline.operators.aggregates import coverage_lists, distinct_keys, exact_median, profile
-from plumbline.operators.joins import constant_dollars, match_events, price_index, with_totals
+from plumbline.operators.joins import constant_dollars, event_totals, price_index, with_totals
 from plumbline.operators.reshape import union_all, union_distinct
 from plumbline.operators.sampling import (
     Stratum,
@@ -380,6 +380,4 @@ def storm_attribution(t: Testbed) -> DataFrame:
         F.lit("MI").alias("state_code"), F.when(F.col("p_partkey") % 6 == 0, "26000").otherwise(county(F.col("p_partkey"))).alias("county_fips"),
         F.col("p_partkey").alias("event"), first.alias("begins"), F.date_add(first, F.col("p_size").cast("int")).alias("ends"),
         (F.col("p_partkey") % 6 == 0).alias("is_statewide"))
-    hits = match_events(losses, areas, "loss", "begins", "ends", "state_code", "county_fips", "is_statewide")
-    return hits.groupBy("county_fips", "is_statewide").agg(
-        F.count(F.lit(1)).alias("matches"), F.sum(F.date_diff("loss", "begins")).alias("days_in"), F.count_distinct("event").alias("events"))
+    return event_totals(losses, areas, "loss", "begins", "ends", "state_code", "county_fips", "is_statewide", "event")

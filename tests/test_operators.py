@@ -125,6 +125,35 @@ def test_a_storm_is_cut_into_slices(spark, rows):
     assert keyed.groupBy("k").count().agg(F.max("count")).first()[0] > 4 * len(claims) / slices - 100
 
 
+def test_event_totals_are_those_of_all_pairs(spark, rows, monkeypatch):
+    seed, base = random.Random(5), dt.date(2000, 1, 1)
+    claims = [("MI", seed.choice(["26001", "26003", None]), seed.choice([None, base + dt.timedelta(seed.randrange(60))])) for _ in range(3000)]
+    areas = [(n % 90, "MI", seed.choice(["26000", "26001", "26003", None]), b, seed.choice([None, b + dt.timedelta(seed.randrange(-3, 45))]))
+             for n, b in ((n, base + dt.timedelta(seed.randrange(5))) for n in range(400))]
+    left = spark.createDataFrame(claims, "state string, county string, d date")
+    right = spark.createDataFrame(areas, "a int, state string, county string, b date, u date").withColumn("sw", F.col("county") == "26000")
+    expected = {}
+    for _, place, day in claims:
+        for event, _, county, begin, until in areas:
+            if day and until and county and (county == "26000" or county == place) and begin <= day <= until:
+                expected.setdefault((place, county == "26000"), []).append((event, (day - begin).days))
+    pairs = []
+
+    def counted(*args):
+        pairs.append(match_events(*args))
+        return pairs[-1]
+
+    match_events = joins.match_events
+    monkeypatch.setattr(joins, "match_events", counted)
+    found = joins.event_totals(left, right, "d", "b", "u", "state", "county", "sw", "a")
+    assert rows(found, "county", "sw", "matches", "days_in", "events") == sorted(
+        ((*k, len(v), sum(d for _, d in v), len({e for e, _ in v})) for k, v in expected.items()), key=repr)
+    # Copies of facts and events add no rows to the join.
+    [once] = pairs
+    joins.event_totals(left.unionAll(left), right.unionAll(right), "d", "b", "u", "state", "county", "sw", "a")
+    assert pairs[1].count() == once.count() < sum(map(len, expected.values())) / 4
+
+
 def test_content_digests_see_what_sums_do_not(spark):
     rows = [("a", 1, "x", None), ("a", 2, "y", ""), ("b", 3, None, "z")]
     schema = "k string, n int, s string, t string"
