@@ -34,17 +34,10 @@ def stratified_sample(df: DataFrame, strata: Sequence[Stratum],
                       columns: Sequence[str] | None = None) -> DataFrame:
     """Every stratum's top rows, one copy of each row that several strata chose.
 
-    One scan: a row is repeated for each stratum it belongs to, and each stratum keeps its
-    best rows. Tasks trim to the largest limit before the shuffle.
+    Each stratum is a scan in which every task keeps its best ``limit`` rows on a heap. One scan for
+    all would have to sort every row under its strata, which spills far more than it saves.
     """
-    own = F.array_compact(F.array(*[
-        F.when(s.where, F.struct(F.lit(n).alias("n"), F.lit(s.limit).alias("limit"))) for n, s in enumerate(strata)]))
-    placed = df.select("*", F.explode(own).alias("_stratum")).select("*", "_stratum.n", "_stratum.limit").toDF(
-        *df.columns, "_stratum", "_n", "_limit")
-    order = [row_md5(list(columns or df.columns)), *[F.col(f"`{c}`") for c in df.columns]]
-    rank = F.row_number().over(Window.partitionBy("_n").orderBy(*order))
-    best = placed.withColumn("_rank", rank).where(F.col("_rank") <= max(s.limit for s in strata))
-    return best.where("_rank <= _limit").select(*[F.col(f"`{c}`") for c in df.columns]).distinct()
+    return union_all([top_by_md5(df.where(s.where), s.limit, columns) for s in strata]).distinct()
 
 
 def stratum_counts(df: DataFrame, strata: Sequence[Stratum]) -> DataFrame:

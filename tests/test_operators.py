@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 import statistics
 
@@ -181,6 +182,17 @@ def test_clamped_vintages(spark, rows):
     assert rows(found) == [("a", 1990, 5, True), ("a", 2005, 6, False), ("a", 2030, 7, True), ("b", 2005, None, False), (None, 2005, None, False)]
 
 
+def test_a_stratified_sample_sorts_no_input(spark, rows):
+    df = spark.range(5000).selectExpr("id % 2500 AS a", "if(id % 7 = 0, NULL, id % 3) AS b")
+    strata = [Stratum("twos", F.col("b") == 2, 3), Stratum("all", F.lit(True), 10), Stratum("none", F.col("b") == 9, 5)]
+    found = stratified_sample(df, strata)
+    text = [("|".join("~" if v is None else str(v) for v in r), tuple(r)) for r in df.collect()]
+    best = sorted((hashlib.md5(t.encode()).hexdigest(), r) for t, r in text)
+    assert rows(found) == sorted({r for _, r in [b for b in best if b[1][1] == 2][:3] + best[:10]}, key=repr)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == len(strata) and "Window" not in plan
+
+
 def test_missing_keys_survive_a_lookup(spark, rows):
     facts = spark.createDataFrame([(None, i) for i in range(20)] + [("a", 20), ("z", 21)], "k string, n int")
     found = joins.left_lookup(facts, spark.createDataFrame([("a", "A")], "k string, name string"), "k")
