@@ -13,8 +13,24 @@ from plumbline.functions.text import blank_to_null
 from plumbline.sources.seeds import literal_map
 
 
-def as_number(value: Column) -> Column:
-    return value.try_cast("double")
+#: Every text that a cast to a number accepts, and a few that it refuses, such as ``1.2.3``.
+NUMBER_SHAPE = (r"^[\x00-\x20\x7F]*[+-]?(?:\.?[0-9][0-9.]*(?:[eE][+-]?[0-9]+)?[fFdD]?|0[xX][^\n]*|(?i:inf|infinity|nan))"
+                r"[\x00-\x20\x7F]*$")
+
+
+def as_number(value: Column, words: Sequence[str] = ()) -> Column:
+    """Text to double, NULL for what is none.
+
+    A cast finds a word by an exception, which costs as much as many numbers, so the ``words``
+    that a publisher is known to write for a number are not cast.
+    """
+    number = value.try_cast("double")
+    return F.when(~value.isin(*words), number) if words else number
+
+
+def banded_number(value: Column) -> Column:
+    """The number in a column that mostly holds bands (``20%-<30%``), which are told by their shape."""
+    return F.when(value.rlike(NUMBER_SHAPE), value.try_cast("double"))
 
 
 def as_whole(value: Column) -> Column:
@@ -22,6 +38,11 @@ def as_whole(value: Column) -> Column:
     return F.coalesce(value.try_cast("bigint"), F.round(value.try_cast("double")).try_cast("bigint"))
 
 
+def banded_whole(value: Column) -> Column:
+    """The whole number in a column that mostly holds bands (``5-24``)."""
+    return F.when(value.rlike(NUMBER_SHAPE), as_whole(value))
+
+
 def only(value: Column, allowed: Sequence[str]) -> Column:
     """The value when it is one of ``allowed``, else NULL."""
     return F.when(value.isin(*allowed), value)
@@ -43,7 +64,7 @@ def any_true(conditions: Iterable[Column]) -> Column:
 
 
 def suppressed_number(raw: Column, marker: str = "*") -> Column:
-    return as_number(F.nullif(raw, F.lit(marker)))
+    return as_number(raw, (marker,))
 
 
 def count_marked(columns: Iterable[Column], marker: str = "*") -> Column:

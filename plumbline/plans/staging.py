@@ -191,12 +191,12 @@ def stage_lending(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
     county, dti = F.col("county_code"), F.col("debt_to_income_ratio")
     added: dict[str, Column] = {}
     for name in amounts:
-        added[name] = typed.as_number(F.col(name))
+        added[name] = typed.as_number(F.col(name), NOT_AN_AMOUNT)
         added[f"{name}_sentinel"] = typed.only(F.col(name), NOT_AN_AMOUNT)
     for name in plain:
-        added[name] = typed.as_number(F.col(name))
+        added[name] = typed.as_number(F.col(name), NOT_AN_AMOUNT)
     added.update({
-        "income": typed.as_number(F.col("income")),
+        "income": typed.as_number(F.col("income"), ("NA",)),
         "income_sentinel": typed.only(F.col("income"), ("NA",)),
         "is_partially_exempt": typed.any_true(
             [F.col(c) == "Exempt" for c in amounts] + [F.col(c) == "1111" for c in codes]),
@@ -206,10 +206,10 @@ def stage_lending(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
         "census_tract_geoid": F.nullif(F.col("census_tract"), F.lit("NA")),
         "has_no_reported_tract": F.col("census_tract") == "NA",
         "dti_band": dti,
-        "dti_exact_pct": typed.as_number(dti),
+        "dti_exact_pct": typed.banded_number(dti),
         "dti_sentinel": typed.only(dti, NOT_AN_AMOUNT),
         "total_units_band": F.col("total_units"),
-        "total_units_exact": typed.as_whole(F.col("total_units")).cast("int"),
+        "total_units_exact": typed.banded_whole(F.col("total_units")).cast("int"),
         "applicant_age_band": typed.without(F.col("applicant_age"), NOT_AN_AGE),
         "applicant_age_sentinel": typed.only(F.col("applicant_age"), NOT_AN_AGE),
         "co_applicant_age_band": typed.without(F.col("co_applicant_age"), NOT_AN_AGE),

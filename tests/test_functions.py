@@ -84,3 +84,17 @@ def test_annotations_are_not_margins(spark, rows):
     df = spark.createDataFrame([("-555555555",), ("12",), (None,)], "m string")
     found = rows(df.select("m", typed.annotated_margin(F.col("m")), typed.is_annotated(F.col("m"))))
     assert ("-555555555", None, True) in found and ("12", 12, False) in found and (None, None, False) in found
+
+
+def test_words_are_told_from_numbers_without_a_cast(spark):
+    texts = ["36", "-1.5", "+.5", "5.", "1e3", " 7 ", "\t8\n", "9\x7f", "NaN", "nan", "Infinity", "-inf", "1d", "2F", "0x1p3", "-0X1.8P1", "1.2.3",
+             "20%-<30%", ">60%", "5-24", ">149", "NA", "Exempt", "", " ", ".", "-", "e5", "1e", "1,000", "٣", "9223372036854775808", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = F.col("t")
+    columns = {"n": (typed.banded_number(text), text.try_cast("double")), "w": (typed.banded_whole(text), typed.as_whole(text)),
+               "a": (typed.as_number(text, ("NA", "Exempt")), text.try_cast("double"))}
+    for name, (found, cast) in columns.items():
+        assert df.where(~found.eqNullSafe(cast)).collect() == [], name
+    # What is published as a band or a word for a number reaches no cast, which would raise inside.
+    for shape in ("20%-<30%", ">60%", "5-24", ">149", "NA", "Exempt"):
+        assert not spark.range(1).select(F.lit(shape).rlike(typed.NUMBER_SHAPE)).first()[0]
