@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import COMPANY_SUFFIXES
+from plumbline.sources.seeds import literal_map
 
 
 def snake_case(name: str) -> str:
@@ -53,3 +54,33 @@ def row_md5(columns: Iterable[str]) -> Column:
 
 def has_tag(tags: Column, tag: str) -> Column:
     return F.coalesce(tags.contains(tag), F.lit(False))
+
+
+_PART, _ESCAPE = "\u0001", "\u0002"
+
+
+def packed(columns: Mapping[str, Sequence[str]]) -> Column:
+    """Text columns as one short text: a value's place in the column's list of usual values, or the value itself.
+
+    Equal texts mean equal rows, NULLs included, so the text may stand for the columns as a key.
+    """
+    def part(name: str, usual: Sequence[str]) -> Column:
+        value = F.col(name)
+        written = F.concat(F.lit("="), F.replace(F.replace(value, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_PART), F.lit(_ESCAPE + "a")))
+        place = F.try_element_at(literal_map({v: str(n) for n, v in enumerate(usual)}), value) if usual else F.lit(None)
+        return F.coalesce(place, written, F.lit(""))
+
+    return F.concat_ws(_PART, *[part(name, usual) for name, usual in columns.items()])
+
+
+def unpacked(text: Column, columns: Mapping[str, Sequence[str]]) -> list[Column]:
+    """The columns that ``packed`` made into one text."""
+    parts = F.split(text, _PART)
+
+    def value(n: int, usual: Sequence[str]) -> Column:
+        part = parts[n]
+        written = F.replace(F.replace(F.substring(part, 2, 1 << 30), F.lit(_ESCAPE + "a"), F.lit(_PART)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
+        known = F.try_element_at(literal_map({str(n): v for n, v in enumerate(usual)}), part) if usual else F.lit(None).cast("string")
+        return F.when(part.startswith("="), written).otherwise(known)
+
+    return [value(n, usual).alias(name) for n, (name, usual) in enumerate(columns.items())]

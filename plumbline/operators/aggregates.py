@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import materialise
 from plumbline.sources.readers import HIVE_NULL
 
 
@@ -112,6 +113,25 @@ def _placed(counts: DataFrame, middle: DataFrame, levels: Sequence[str]) -> Data
         for rank, name in (("_lo", "_a"), ("_hi", "_b"))]).where("_a IS NOT NULL OR _b IS NOT NULL")
 
 
+def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Exact medians of several columns for the groups in which a median lies between its least and greatest value.
+
+    Up to two values, or equal ones, have their median halfway between the extremes, which an
+    aggregate knows anyway. Where nearly all groups are so, only the others' values move: the
+    groups in which any column has more are found by one aggregate and written, so that their
+    size decides how the rows are matched. A column's median is NULL where it has no value.
+    """
+    keys = list(keys)
+    least, most = [F.min(v).alias(f"_least_{v}") for v in values], [F.max(v).alias(f"_most_{v}") for v in values]
+    extremes = df.groupBy(*keys).agg(*[F.count(v).alias(f"_n_{v}") for v in values], *least, *most)
+    inner = reduce(operator.or_, [(F.col(f"_n_{v}") > 2) & (F.col(f"_least_{v}") < F.col(f"_most_{v}")) for v in values])
+    wide = materialise(extremes.where(inner).select(*keys), "wide-groups")
+    rows = _matched(df, wide, keys).select(*keys, F.explode(F.create_map(
+        *[x for v in values for x in (F.lit(v), F.col(v).cast("double"))])).alias("_measure", "_value"))
+    found = exact_median(rows, [*keys, "_measure"], "_value", "_median")
+    return found.select(*keys, *[F.when(F.col("_measure") == v, F.col("_median")).alias(v) for v in values])
+
+
 def stitch_groups(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Put aggregates of one grouping side by side when its keys may be NULL.
 

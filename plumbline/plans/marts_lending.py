@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dates import period_id, year_month, year_of_key
 from plumbline.functions.flags import income_bracket, is_small, percent, sum_where, tally
-from plumbline.operators.aggregates import exact_median, stitch_groups
+from plumbline.functions.text import packed, unpacked
+from plumbline.operators.aggregates import exact_medians
 from plumbline.operators.joins import attach_clamped, left_lookup, lookup_fixed
 from plumbline.params import DEFAULT, Params
 from plumbline.session import materialise
 from plumbline.plans.conformed import state_dimension
 from plumbline.plans.marts_insurance import county_names, county_population
+from plumbline.plans.staging import LABELLED, code_list
 
 
 def outcome_counts(unspecified: bool) -> dict[str, Column]:
@@ -151,40 +153,50 @@ ACTION_GROUPS = {
 }
 
 
+def _usual_labels(trait: str) -> list[str]:
+    """The labels that a trait's code list knows; bands have none."""
+    known = LABELLED.get(trait.removesuffix("_label"))
+    return list(dict.fromkeys(code_list(known[0]).values())) if known else []
+
+
 def lending_annual(lending: DataFrame, institutions: DataFrame, counties: DataFrame,
                    params: Params = DEFAULT) -> DataFrame:
     """Year x county x lender x twelve loan and applicant traits.
 
     The register is aggregated before anything is joined, so a lender or county holding a
-    third of it is one key in the joins. Medians come from the distributed selection, both
-    in one pass, because a built-in median gathers a group's values in one task.
+    third of it is one key in the joins. Nearly every application is a group of its own, so what
+    moves is kept narrow: the traits travel as one short text, and a median of up to two values lies
+    between the extremes that the cells know. Others come from the distributed selection, because a
+    built-in median gathers a group's values in one task; they join the cells' own aggregate as rows.
     """
     action = F.col("action_taken")
     originated = action == "1"
-    keys = ["activity_year", "county_fips", "has_no_reported_county", "lei", *LENDING_TRAITS]
-    # The register is wide and read by the cells and by both steps of the medians: the columns
-    # they need are written once.
+    usual = {t: _usual_labels(t) for t in LENDING_TRAITS}
+    keys = ["activity_year", "county_fips", "has_no_reported_county", "lei", "_traits"]
+    measures = {"median_originated_amount": F.col("loan_amount"), "median_applicant_income": F.col("income")}
+    # The register is wide and read by the cells and by the medians: the columns they need are written once.
     traits = materialise(lending.withColumn("applicant_income_bracket", income_bracket(
-        F.col("income"), F.col("ffiec_msa_md_median_family_income"))).select(
-        *keys, "action_taken", "loan_amount", "income", "is_partially_exempt", "denial_reason_2_label"), "register-traits")
-    cells = traits.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("application_count"),
+        F.col("income"), F.col("ffiec_msa_md_median_family_income"))).withColumn("_traits", packed(usual)).select(
+        *keys, "action_taken", "loan_amount", "income", "is_partially_exempt",
+        F.col("denial_reason_2_label").isNotNull().alias("_has_second")), "register-traits")
+    measured = traits.where(originated).select(*keys, *[v.alias(m) for m, v in measures.items()])
+    medians = exact_medians(measured, keys, list(measures))
+    rows = traits.withColumn("_application", F.lit(1)).unionByName(medians, allowMissingColumns=True)
+    stitched = rows.groupBy(*keys).agg(
+        F.count("_application").alias("application_count"),
         *[tally(action.isin(*codes)).alias(name) for name, codes in ACTION_GROUPS.items()],
         sum_where(F.col("loan_amount"), originated).alias("originated_amount"),
         F.sum("loan_amount").alias("application_amount"),
+        *[F.coalesce(F.max(m), (F.min(F.when(originated, v)) + F.max(F.when(originated, v))) / 2).alias(m)
+          for m, v in measures.items()],
         tally(F.col("is_partially_exempt")).alias("partially_exempt_count"),
-        tally(F.col("denial_reason_2_label").isNotNull()).alias("has_secondary_denial_reason"))
-    measured = traits.where(originated).select(*keys, F.explode(F.create_map(
-        F.lit("median_originated_amount"), F.col("loan_amount"),
-        F.lit("median_applicant_income"), F.col("income"))).alias("_measure", "_value"))
-    medians = exact_median(measured, [*keys, "_measure"], "_value", "_median").select(
-        *keys, *[F.when(F.col("_measure") == m, F.col("_median")).alias(m)
-                 for m in ("median_originated_amount", "median_applicant_income")])
-    stitched = stitch_groups([cells, medians], keys)
+        tally(F.col("_has_second")).alias("has_secondary_denial_reason"))
     # A lender files once a year, so the name adds no rows.
     names = institutions.select("lei", "activity_year", "institution_name")
+    names = materialise(names, "institution-names")
     named = left_lookup(stitched.join(names, ["lei", "activity_year"], "left"),
                         county_names(counties), "county_fips")
+    named = named.select("*", *unpacked(F.col("_traits"), usual))
     return named.select(
         F.col("activity_year").cast("smallint").alias("activity_year"),
         period_id("year", F.col("activity_year")).alias("period_id"),

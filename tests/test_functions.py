@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import typed
 from plumbline.functions.dates import price_period
 from plumbline.functions.flags import income_bracket, payment_flags, percent, value_at_max
-from plumbline.functions.text import normalize_company_name, snake_case
+from plumbline.functions.text import normalize_company_name, packed, snake_case, unpacked
 
 
 def test_snake_case_follows_words_and_acronyms():
@@ -98,3 +98,14 @@ def test_words_are_told_from_numbers_without_a_cast(spark):
     # What is published as a band or a word for a number reaches no cast, which would raise inside.
     for shape in ("20%-<30%", ">60%", "5-24", ">149", "NA", "Exempt"):
         assert not spark.range(1).select(F.lit(shape).rlike(typed.NUMBER_SHAPE)).first()[0]
+
+
+def test_packed_columns_come_back(spark, rows):
+    values = [None, "", "Usual", "it's usual", "0", "=", "=0", "\u0001", "\u0002", "\u0002a\u0001b", "Other, label"]
+    data = [(a, b, a) for a in values for b in values]
+    df = spark.createDataFrame(data, "a string, b string, c string")
+    columns = {"a": ["Usual", "it's usual"], "b": [], "c": ["Other, label"]}
+    text = df.select(packed(columns).alias("t"))
+    assert text.distinct().count() == len(data)
+    assert rows(text.select(*unpacked(F.col("t"), columns))) == sorted(data, key=repr)
+    assert df.where("a = 'Usual' AND b = '0'").select(packed(columns)).first()[0] == "0\u0001=0\u0001=Usual"

@@ -155,6 +155,30 @@ def test_event_totals_are_those_of_all_pairs(spark, rows, monkeypatch):
     assert pairs[1].count() == once.count() < sum(map(len, expected.values())) / 4
 
 
+def test_only_groups_with_inner_values_are_ordered(spark, rows, monkeypatch):
+    seed = random.Random(3)
+    data = [(seed.choice(["hot", None]), None, seed.uniform(-9, 9), seed.choice([None, 5.0])) for _ in range(300)]
+    data += [("one", "x", 4.0, None), ("two", "x", 1.0, 2.0), ("two", "x", 8.0, None), ("none", "x", None, None)]
+    data += [("same", "x", 7.0, v) for v in (1.0, 2.0, 6.0)] + [("equal", "x", 7.0, 7.0)] * 5
+    df = spark.createDataFrame(data, "k string, j string, v double, w double")
+    ordered = []
+
+    def watched(rows, *args):
+        ordered.append(rows)
+        return exact_median(rows, *args)
+
+    monkeypatch.setattr(aggregates, "exact_median", watched)
+    found = aggregates.exact_medians(df, ["k", "j"], ["v", "w"])
+    best = found.groupBy("k", "j").agg(F.max("v").alias("v"), F.max("w").alias("w"))
+    assert {r[0] for r in ordered[0].select("k").distinct().collect()} == {"hot", None, "same"}
+
+    def middle(k, c):
+        values = [r[c] for r in data if r[0] == k and r[c] is not None]
+        return statistics.median(values) if values else None
+
+    assert rows(best) == sorted(((k, j, middle(k, 2), middle(k, 3)) for k, j in (("hot", None), (None, None), ("same", "x"))), key=repr)
+
+
 def test_content_digests_see_what_sums_do_not(spark):
     rows = [("a", 1, "x", None), ("a", 2, "y", ""), ("b", 3, None, "z")]
     schema = "k string, n int, s string, t string"
