@@ -532,15 +532,13 @@ UNION ALL SELECT 'marts tie', 0
 UNION ALL SELECT 'no loss past horizon', count(*) FROM claims_monthly WHERE loss_year_month > (SELECT strftime(max(date_of_loss), '%Y-%m') FROM claims)
 UNION ALL SELECT 'no policy month past horizon', count(*) FROM in_force WHERE month_end > (SELECT max(as_of_date) FROM policies)""")
 def assertions_insurance(t: Testbed) -> DataFrame:
-    # Each mart feeds several assertions, so it is written once and read back.
-    monthly = materialise(insurance.claims_monthly(t.claims, t.population, t.prices, t.counties, t.params), "monthly")
+    # Each mart feeds several assertions, so the columns that they read are written once and read back.
+    monthly = materialise(insurance.claims_monthly(t.claims, t.population, t.prices, t.counties, t.params).select(
+        "county_fips", "loss_year_month", "county_population", "population_vintage_window", "claim_count", "paid_total"), "monthly")
     counties = materialise(t.counties, "counties")
     in_force = insurance.policies_in_force(t.policies, counties, t.params)
     bridge = materialise(insurance.claim_declarations(
         t.claims, t.declarations, insurance.disasters(t.declarations, t.params), t.params).select("disaster_number", "incident_type"), "bridge")
-    referenced = conformed.county_universe(
-        t.raw("claims"), t.raw("policies"), t.raw("declarations"), t.raw("medicare"), t.raw("lending"),
-        t.raw("crosswalk"), t.population_65)
     detail = insurance.claims_detail(t.claims, t.prices, counties, t.params)
     mine = t.claims.where(F.col("state_code") == t.params.focus_state)
     return must.count_failures({
@@ -548,7 +546,7 @@ def assertions_insurance(t: Testbed) -> DataFrame:
         "anchor events found": must.unfound_events(bridge, [0, 1, 3]),
         "only floods attribute": must.nonflood_attributions(bridge),
         "roster complete": must.incomplete_roster(counties, t.params),
-        "county keys resolve": must.unresolved_counties(referenced, counties),
+        "county keys resolve": must.unresolved_counties(t.referenced, counties),
         "marts tie": must.untied([
             ("claim_count", must.total(monthly, "claim_count"), must.row_total(t.claims)),
             ("paid_total", must.total(monthly, "paid_total", 2), must.total(t.claims, "total_amount_paid", 2)),
@@ -576,10 +574,15 @@ UNION ALL SELECT 'denials within decisions', count(*) FROM lending_annual WHERE
 UNION ALL SELECT 'rates within 0-100', 0""")
 def assertions_fintech(t: Testbed) -> DataFrame:
     allocation = materialise(t.allocation, "allocation")
-    geo = materialise(lending.complaints_by_county(allocation, t.population, t.counties, t.params), "geo")
-    company = materialise(lending.complaints_by_company(t.complaints, t.params), "company")
-    daily = materialise(lending.complaints_daily(t.complaints, t.params), "daily")
-    annual = materialise(lending.lending_annual(t.lending, t.institutions, t.counties, t.params), "annual")
+    # Of each mart the columns that the assertions read.
+    geo = materialise(lending.complaints_by_county(allocation, t.population, t.counties, t.params).select(
+        "county_fips", "year_month", "county_population", "population_vintage_window",
+        "allocated_complaints", "allocated_timely", "allocated_pending"), "geo")
+    parts = ("period_id", "complaint_count", "closed_complaints", "pending_complaints", "timely_count", "relief_count", "timely_rate_pct", "relief_rate_pct")
+    company = materialise(lending.complaints_by_company(t.complaints, t.params).select(*parts), "company")
+    daily = materialise(lending.complaints_daily(t.complaints, t.params).select(*parts), "daily")
+    annual = materialise(lending.lending_annual(t.lending, t.institutions, t.counties, t.params).select(
+        "activity_year", "period_id", "application_count", *lending.ACTION_GROUPS, "denial_rate_pct"), "annual")
     placed = t.complaints.where(F.col("state_code").isNotNull())
     rates = union_all([
         must.rates_out_of_range(company, ["timely_rate_pct", "relief_rate_pct"]).select("period_id"),

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.reshape import union_distinct
 from plumbline.params import Params
 from plumbline.plans import conformed, intermediate, staging
 from plumbline.session import materialise
@@ -157,9 +158,15 @@ class Testbed:
         return intermediate.allocate_complaints(self.complaints, self.crosswalk, self.weights)
 
     @cached_property
-    def counties(self) -> DataFrame:
-        referenced = conformed.county_universe(
+    def referenced(self) -> list[tuple[str, DataFrame]]:
+        """The counties that each source names, from one scan of the sources whoever asks for them."""
+        universe = conformed.county_universe(
             self.raw("claims"), self.raw("policies"), self.raw("declarations"), self.raw("medicare"),
             self.raw("lending"), self.raw("crosswalk"), self.population_65)
+        written = materialise(union_distinct([df.select(F.lit(name).alias("_source"), "*") for name, df in universe]), "referenced-counties")
+        return [(name, written.where(F.col("_source") == name).drop("_source")) for name, _ in universe]
+
+    @cached_property
+    def counties(self) -> DataFrame:
         # A few thousand rows looked up by every county mart: written once, then broadcast by size.
-        return materialise(conformed.county_dimension(self.population, referenced, self.params), "counties")
+        return materialise(conformed.county_dimension(self.population, self.referenced, self.params), "counties")

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plumbline.plans.build import build_all
+from plumbline.plans.conformed import county_universe
 from plumbline.testbed.check_queries import _SOURCES
 from plumbline.testbed.compare import difference, duckdb_over
 from plumbline.testbed.frames import Testbed
@@ -55,3 +56,12 @@ def test_build_without_some_sources(spark):
     assert set(built) == {
         "conformed.dim_date", "conformed.dim_period", "conformed.dim_state", "mart_ins.dim_ins_disaster_declaration",
         "mart_hlt.fct_hlt_cdc_indicators", "mart_hlt.fct_hlt_cdc_mi_vs_national", "meta.meta_dictionary"}
+
+
+def test_county_references_are_scanned_once(spark):
+    t = Testbed(spark, FOLDER)
+    raw = [t.raw(n) for n in ("claims", "policies", "declarations", "medicare", "lending", "crosswalk")]
+    for (name, df), (written_name, written) in zip(county_universe(*raw, t.population_65), t.referenced, strict=True):
+        assert name == written_name and written.columns == df.columns
+        assert set(df.distinct().collect()) == set(written.collect())
+        assert written.inputFiles() and all("/referenced-counties-" in f for f in written.inputFiles())
