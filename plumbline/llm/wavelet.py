@@ -15,10 +15,12 @@ result. Only id and text are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 BLOCK = 1_000_000
 STEP = 512
 #: Words of one generation of the memo.
-MEMO = 300_000
+MEMO = 400_000
 
 SHARD = ("shard int, block int, n_tokens long, doc_ids array<long>, sizes array<int>, width int, "
          "zeros array<int>, planes array<binary>, ones array<binary>")
@@ -48,16 +50,22 @@ class WaveletMatrix:
     @staticmethod
     def build(ids: np.ndarray, width: int) -> WaveletMatrix:
         x = ids.astype(np.uint16 if width <= 16 else np.uint32)
+        other, steps = np.empty_like(x), -(-len(x) // STEP)
         zeros, planes, ones = [], [], []
         for bit in range(width - 1, -1, -1):
-            high = ((x >> bit) & 1).astype(bool)
+            high = (x & x.dtype.type(1 << bit)).astype(bool)
             packed = np.packbits(high, bitorder="little")
-            per_step = np.add.reduceat(high, np.arange(0, max(1, len(x)), STEP), dtype=np.int32) if len(x) else np.zeros(0, np.int32)
+            words = np.zeros(steps * STEP // 64, np.uint64)
+            words.view(np.uint8)[:len(packed)] = packed
+            per_step = np.bitwise_count(words).reshape(steps, STEP // 64).sum(1, dtype=np.int32)
             planes.append(packed.tobytes())
             ones.append(np.concatenate([[0], np.cumsum(per_step)]).astype(np.int32).tobytes())
-            low = x[~high]
-            zeros.append(len(low))
-            x = np.concatenate([low, x[high]])
+            # Places are taken, since a choice by random bits costs a wrong guess per bit.
+            above, below = np.flatnonzero(high), np.flatnonzero(~high)
+            zeros.append(len(below))
+            np.take(x, below, out=other[:len(below)], mode="clip")
+            np.take(x, above, out=other[len(below):], mode="clip")
+            x, other = other, x
         return WaveletMatrix(len(ids), zeros, planes, ones)
 
     def _bits(self, plane: int) -> np.ndarray:
@@ -77,8 +85,8 @@ class WaveletMatrix:
         for plane in range(self.width - 1, -1, -1):
             high = self._bits(plane)
             up = np.empty_like(x)
-            up[~high] = x[:self.zeros[plane]]
-            up[high] = x[self.zeros[plane]:] | x.dtype.type(1 << (self.width - 1 - plane))
+            up[np.flatnonzero(~high)] = x[:self.zeros[plane]]
+            up[np.flatnonzero(high)] = x[self.zeros[plane]:] | x.dtype.type(1 << (self.width - 1 - plane))
             x = up
         return x
 
@@ -128,19 +136,21 @@ class WordEncoder:
     """A tokenizer that drops white space, remembering what each word encodes to.
 
     Such a tokenizer cuts at white space before anything else, so a text's ids are those of
-    its words. Unknown words go through the library's own steps together: normalizer,
-    pre-tokenizer, model. Many differ only in case or in signs behind them; where the
-    tokenizer lowers letters and parts them from signs (tried once, at the start), words of
-    Latin letters are looked up by their letters and their signs. Texts with characters on
+    its words. Where it lowers letters and then cuts as ``_CUT`` does (tried once, at the start),
+    texts of Latin letters are lowered before words are looked up, unknown words of Latin letters
+    are cut here, and only pieces not met before go through the model. Other unknown words go through the
+    library's own steps together: normalizer, pre-tokenizer, model. Texts with characters on
     which Python and the library disagree about white space are encoded whole. Two generations
     of words are kept, so frequent ones stay.
     """
 
     _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-    _SIGNS = ".,;:!?"
-    #: Letters below this have one code point each, and so have their lower case forms, but for
-    #: U+0130, which lowers to a letter and a combining sign that the tokenizer cuts apart.
-    _LATIN = "\u0250"
+    #: What is not cut here: all but ASCII and Latin letters below U+0250, which have one code point each, and so have
+    #: their lower case forms, but for U+0130, which lowers to a letter and a combining sign that the tokenizer cuts
+    #: apart; and what may name a special token.
+    _STRANGE = re.compile("[^!-~À-ÖØ-öø-įı-ɏ]|<\\|")
+    #: Contractions, letters, a digit, other signs, of lowered words.
+    _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^!-`{-~]+|[0-9]|[!-/:-@\[-`{-~]+")
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
@@ -148,15 +158,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo, self.young, self.old, self.pieces = memo, {}, {}, {}
         normal, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.by_letters = normal("AbÉ.") == "abé." and [span for _, span in cut("ab.,! é?")] == [(0, 2), (2, 5), (6, 7), (7, 8)]
+        signs = "".join(map(chr, range(33, 127)))
+        letters = "".join(c for c in map(chr, range(0xC0, 0x250)) if not self._STRANGE.search(c))
+        #: The pre-tokenizer's spelling of each character.
+        self.spelling = {ord(c): cut(c)[0][0] for c in set((signs + letters).lower())}
+        probe = ["Ab", "cD's", "don''T", "we'Re", "I'VE", "'m'll'd", "x'y", "12a3", "é!?é", "a.b,", *signs, signs, letters]
+        self.cuts = [x for x, _ in cut(normal(" ".join(probe)))] == [
+            x.translate(self.spelling) for word in probe for x in self._CUT.findall(word.lower())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [None if any(c in t for c in self._ODD) else t.split() for t in texts]
-        missing = {w for words in split if words for w in words}.difference(self.young)
+        split = [None if any(c in t for c in self._ODD) else self._lowered(t).split() for t in texts]
+        flat = [w for words in split if words for w in words]
+        found = list(map(self.young.get, flat))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        missing = {flat[i] for i in holes}
         if len(self.young) + len(missing) > self.memo:
             self.old, self.young = self.young, {}
-            missing = {w for words in split if words for w in words}
+            missing = set(flat)
         unknown = []
         for word in missing:
             ids = self.old.get(word)
@@ -166,39 +185,41 @@ class WordEncoder:
                 self.young[word] = ids
         if len(self.pieces) > 2 * self.memo:
             self.pieces = {}
-        self._learn_all(unknown)
-        known, out = self.young, []
+        for at in range(0, len(unknown), 4096):
+            self._learn_all(unknown[at:at + 4096])
+        for i in holes:
+            found[i] = self.young[flat[i]]
+        at, out = 0, []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.frombuffer(b"".join([known[w] for w in words]), np.uint32))
+                out.append(np.frombuffer(b"".join(found[at:at + len(words)]), np.uint32))
+                at += len(words)
         return out
 
+    def _lowered(self, text: str) -> str:
+        """The text in lower case, if that is surely what the tokenizer makes of it; fewer different words are left."""
+        if not self.cuts or "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
     def _learn_all(self, words: list[str]) -> None:
-        pending, rest, known, young, latin, signs = [], [], self.pieces, self.young, self._LATIN, self._SIGNS
-        for word in words if self.by_letters else ():
-            letters = word.rstrip(signs)
-            low = letters.lower()
-            if letters.isalpha() and max(letters) < latin and len(low) == len(letters):
-                ids = known.get(low)
-                tail = word[len(letters):]
-                if ids is None or (tail and tail not in known):
-                    pending.append((word, low, tail))
-                else:
-                    young[word] = ids + known[tail] if tail else ids
-            else:
-                rest.append(word)
-        rest = rest if self.by_letters else words
-        for at in range(0, len(rest), 4096):
-            self._learn(rest[at:at + 4096])
-        new = list({p for _, *parts in pending for p in parts if p and p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for piece, (cut, _) in zip(part, self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(part)), strict=True):
-                known[piece] = self._model(cut)
-        for word, low, tail in pending:
-            young[word] = known[low] + known[tail] if tail else known[low]
+        rest = [w for w in words if not self.cuts or self._STRANGE.search(w)]
+        strange, known = set(rest), self.pieces
+        plain = [w for w in words if w not in strange] if strange else words
+        cut = [self._CUT.findall(w.lower()) for w in plain]
+        for piece in set(chain.from_iterable(cut)).difference(known):
+            known[piece] = self._model(piece.translate(self.spelling))
+        for word, parts in zip(plain, cut, strict=True):
+            self.young[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
+        if rest:
+            self._learn(rest)
 
     def _model(self, cut: str) -> bytes:
         return array("I", [x.id for x in self.tokenizer.model.tokenize(cut)]).tobytes()
@@ -271,21 +292,24 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
      .write.option("compression", "zstd").parquet(folder))
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), ids (the same bytes)."""
+def read_documents(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), and if wanted ids (the same bytes).
+
+    All ids are decoded in any case; ids that nobody wants need not leave the Python worker.
+    """
     shards = spark.read.parquet(folder)
-    schema = "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long, ids binary"
+    schema = "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, block, n, doc_ids, sizes, zeros, planes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids = WaveletMatrix(n, zeros, planes, []).decode().astype("<u4").tobytes()
+                ids = memoryview(WaveletMatrix(n, zeros, planes, []).decode().astype("<u4")).cast("B")
                 ends = np.cumsum(sizes)
                 own = [ids[4 * (b - a):4 * b] for a, b in zip(sizes, ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(own), pa.int32()), pa.array([block] * len(own), pa.int32()), pa.array(doc_ids, pa.int64()),
-                     pa.array(ends - np.array(sizes)), pa.array(sizes, pa.int64()),
-                     pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
+                     pa.array(ends - np.array(sizes)), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                     *([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else [])],
                     names=[c.split()[0] for c in schema.split(", ")])
 
     docs = shards.select("shard", "block", "n_tokens", "doc_ids", "sizes", "zeros", "planes").mapInArrow(run, schema)
@@ -298,7 +322,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         "offset", F.coalesce(F.sum("n_tokens").over(earlier_blocks), F.lit(0))).join(by_shard, "shard").select(
         "shard", "block", (F.col("before") + F.col("offset")).alias("offset"))
     return docs.join(offsets, ["shard", "block"]).select(
-        "doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+        "doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:

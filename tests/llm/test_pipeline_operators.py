@@ -76,6 +76,26 @@ def test_words_that_grow_when_lowered():
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_one_lower_case_are_learnt_once():
+    from tokenizers import Tokenizer
+
+    own, library = wavelet.WordEncoder(BPE), Tokenizer.from_file(BPE)
+    modelled = []
+    own._model = lambda cut, model=own._model: modelled.append(cut) or model(cut)
+    texts = ["Word wORD, word. WORD's don''t 12a3 ***x", "Œuvre cœur ÉTÉ Été", "word <|ENDOFTEXT|> Word <|endoftext|> WORD"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert modelled.count("word") == 1 and len(set(modelled)) == len(modelled)
+
+
+def test_ids_need_not_leave_the_worker(spark, odd):
+    at = shared_folder(spark, "wavelet-narrow")
+    wavelet.write_shards(odd, at, BPE, end_id=2)
+    whole, narrow = wavelet.read_documents(spark, at), wavelet.read_documents(spark, at, with_ids=False)
+    assert narrow.columns == whole.drop("ids").columns
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, whole.drop("ids").collect()))
+
+
 def test_token_shards_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
