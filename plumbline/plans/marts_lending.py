@@ -160,8 +160,8 @@ def _usual_labels(trait: str) -> list[str]:
 
 
 def lending_annual(lending: DataFrame, institutions: DataFrame, counties: DataFrame,
-                   params: Params = DEFAULT) -> DataFrame:
-    """Year x county x lender x twelve loan and applicant traits.
+                   params: Params = DEFAULT, medians: bool = True) -> DataFrame:
+    """Year x county x lender x twelve loan and applicant traits; without the two ``medians`` if nobody reads them.
 
     The register is aggregated before anything is joined, so a lender or county holding a
     third of it is one key in the joins. Nearly every application is a group of its own, so what
@@ -174,14 +174,18 @@ def lending_annual(lending: DataFrame, institutions: DataFrame, counties: DataFr
     usual = {t: _usual_labels(t) for t in LENDING_TRAITS}
     keys = ["activity_year", "county_fips", "has_no_reported_county", "lei", "_traits"]
     measures = {"median_originated_amount": F.col("loan_amount"), "median_applicant_income": F.col("income")}
-    # The register is wide and read by the cells and by the medians: the columns they need are written once.
-    traits = materialise(lending.withColumn("applicant_income_bracket", income_bracket(
+    traits = lending.withColumn("applicant_income_bracket", income_bracket(
         F.col("income"), F.col("ffiec_msa_md_median_family_income"))).withColumn("_traits", packed(usual)).select(
         *keys, "action_taken", "loan_amount", "income", "is_partially_exempt",
-        F.col("denial_reason_2_label").isNotNull().alias("_has_second")), "register-traits")
-    measured = traits.where(originated).select(*keys, *[v.alias(m) for m, v in measures.items()])
-    medians = exact_medians(measured, keys, list(measures))
-    rows = traits.withColumn("_application", F.lit(1)).unionByName(medians, allowMissingColumns=True)
+        F.col("denial_reason_2_label").isNotNull().alias("_has_second"))
+    if medians:
+        # The register is wide and read by the cells and by the medians: the columns they need are written once.
+        traits = materialise(traits, "register-traits")
+        measured = traits.where(originated).select(*keys, *[v.alias(m) for m, v in measures.items()])
+        rows = traits.withColumn("_application", F.lit(1)).unionByName(
+            exact_medians(measured, keys, list(measures)), allowMissingColumns=True)
+    else:
+        rows, measures = traits.withColumn("_application", F.lit(1)), {}
     stitched = rows.groupBy(*keys).agg(
         F.count("_application").alias("application_count"),
         *[tally(action.isin(*codes)).alias(name) for name, codes in ACTION_GROUPS.items()],
@@ -203,7 +207,7 @@ def lending_annual(lending: DataFrame, institutions: DataFrame, counties: DataFr
         "county_fips", "county_name", F.coalesce("_focus", F.lit(False)).alias("is_michigan"),
         "has_no_reported_county", "lei", "institution_name", *LENDING_TRAITS,
         "application_count", *ACTION_GROUPS, "originated_amount", "application_amount",
-        "median_originated_amount", "median_applicant_income", "partially_exempt_count",
+        *measures, "partially_exempt_count",
         "has_secondary_denial_reason",
         percent(F.col("denied_count"), F.col("decided_applications")).alias("denial_rate_pct"),
         is_small(F.col("application_count"), params.small_cell).alias("is_small_cell"))

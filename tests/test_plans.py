@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.operators.aggregates import exact_median
+from plumbline.plans import marts_lending as lending
 from plumbline.plans.marts_insurance import claims_detail
 from plumbline.plans.staging import stage_claims
 from plumbline.sources.readers import read_partitioned
@@ -57,3 +58,12 @@ def test_a_hot_group_is_counted_before_it_is_ordered(spark):
     assert found["hot"] == 7.0
     exchanges = [line for line in plan(exact_median(df, ["k"], "v", "m")).splitlines() if "Exchange hashpartitioning" in line]
     assert any("_v" in line or "_groupingexpression" in line for line in exchanges)
+
+
+def test_unread_medians_are_not_computed(spark):
+    t = Testbed(spark, FOLDER)
+    whole = lending.lending_annual(t.lending, t.institutions, t.counties, t.params)
+    counts = lending.lending_annual(t.lending, t.institutions, t.counties, t.params, medians=False)
+    assert counts.columns == whole.drop("median_originated_amount", "median_applicant_income").columns
+    assert sorted(map(str, counts.collect())) == sorted(map(str, whole.select(*counts.columns).collect()))
+    assert "median_originated_amount" in plan(whole) and "median_originated_amount" not in plan(counts)
