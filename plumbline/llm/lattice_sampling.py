@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import give_back_memory
+
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts that are walked together, and share the units they have in common; a longer text is walked alone.
@@ -453,6 +455,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float =
                     [pa.array(c, t) for c, t in zip(zip(*flat, strict=True), (
                         pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()), strict=True)],
                     names=[c.split()[0] for c in SCHEMA.split(", ")])
+        give_back_memory()
 
     return rows.mapInArrow(run, SCHEMA)
 

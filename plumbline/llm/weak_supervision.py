@@ -199,8 +199,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     row by row, whatever ids repeat or are missing, and no text is shuffled.
     """
     rules = default_rules()
-    stats = materialise(features(docs), "quality-counts")
-    model = fit(stats, rules)
+    model = fit(features(docs), rules)  # its only reader, so the counts need not be written
     counted = StructType.fromDDL(FEATURES)
     target = to_arrow_schema(counted)
 
@@ -208,11 +207,13 @@ def keep_good(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = zip(*map(text_features, part.column(1).to_pylist()), strict=True)
+                found = zip(*map(text_features, part.column(0).field(at_text).cast(pa.string()).to_pylist()), strict=True)
                 columns = [pa.array(c, f.type) for c, f in zip(found, target, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["_row", *target.names])
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    # The row goes to the worker with its text once.
+    at_text = docs.columns.index("text")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     beside = whole.mapInArrow(count, StructType([whole.schema["_row"], *counted.fields]))
     kept = score(beside, rules, model).where(~_base_failed() & (F.col("quality") >= 0.5))
     return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
