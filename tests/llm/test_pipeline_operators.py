@@ -764,3 +764,39 @@ def test_stages_delete_what_the_one_before_left(spark, frame, tmp_path):
     before = list(corpus_pipeline._left)
     corpus_pipeline.STAGES[3][1](spark, docs, "")
     assert before and not any(os.path.exists(f.removeprefix("file:")) for f in before)
+
+
+def test_few_other_texts_move_with_the_wanted(spark):
+    """The bit map of ids loses no wanted row, repeated ones included, and keeps few others."""
+    docs = spark.range(20_000).selectExpr("id * 7 - 5000 AS doc_id", "cast(id AS string) AS text").unionByName(
+        spark.createDataFrame([(-5000, "0"), (None, "x")], "doc_id long, text string"))
+    wanted = spark.range(0, 20_000, 20).selectExpr("id * 7 - 5000 AS doc_id")
+    got = minhash.likely(docs, wanted)
+    assert got.columns == docs.columns
+    assert got.join(wanted, "doc_id").count() == 1001 and got.count() < 1001 + 19_000 * 0.03
+    assert minhash.likely(docs, wanted.limit(0)).count() == 0
+
+
+def test_plausible_pairs_have_every_link(spark):
+    sets = {k: minhash.shingle_set(t, 2, {}) for k, t in _near_rows() if t and t.strip()}
+    rows = spark.createDataFrame([(k, s.view(np.int64).tolist(), minhash.parity(s).tolist()) for k, s in sets.items()],
+                                 "doc_id long, shingles array<long>, parity array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    linked = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    found = {(r.a, r.b) for r in minhash.plausible(spark.createDataFrame(pairs, "a long, b long"), rows, 80).collect()}
+    assert linked <= found and len(found) < len(pairs) / 8
+
+
+def test_possible_pairs_lie_between_components(spark):
+    """Every link between two components is found, whatever the classes of one of them share."""
+    sets = {k: minhash.shingle_set(t, 2, {}) for k, t in _near_rows() if t and t.strip()}
+    rows = spark.createDataFrame([(k, s.view(np.int64).tolist(), minhash.parity(s).tolist()) for k, s in sets.items()],
+                                 "doc_id long, shingles array<long>, parity array<long>")
+    linked = {(a, b) for a in sets for b in sets if a < b
+              and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    for component in (lambda k: k % 2, lambda k: k // 3, lambda k: min([a for a, b in linked if b == k], default=k)):
+        classes = spark.createDataFrame([(k, component(k), minhash.packed(minhash.minima(s)).tolist()) for k, s in sets.items()],
+                                        "doc_id long, component long, signature array<long>")
+        found = {(r.a, r.b) for r in minhash.possible_pairs(classes, rows, 80).collect()}
+        assert {(a, b) for a, b in linked if component(a) != component(b)} <= found
+        assert all(component(a) != component(b) for a, b in found)
