@@ -156,6 +156,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.memo, self.young, self.old, self.pieces = memo, {}, {}, {}
         normal, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         signs = "".join(map(chr, range(33, 127)))
@@ -210,19 +211,24 @@ class WordEncoder:
         return text.lower()
 
     def _learn_all(self, words: list[str]) -> None:
-        rest = [w for w in words if not self.cuts or self._STRANGE.search(w)]
-        strange, known = set(rest), self.pieces
-        plain = [w for w in words if w not in strange] if strange else words
-        cut = [self._CUT.findall(w.lower()) for w in plain]
-        for piece in set(chain.from_iterable(cut)).difference(known):
-            known[piece] = self._model(piece.translate(self.spelling))
-        for word, parts in zip(plain, cut, strict=True):
-            self.young[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
+        strange, known, young = self._STRANGE.search, self.pieces, self.young
+        # A letter between the words neither makes nor hides a strange one.
+        rest = words if not self.cuts else [w for w in words if strange(w)] if strange("a".join(words)) else []
+        odd = set(rest)
+        for word in words:
+            if word in odd:
+                continue
+            lowered = word.lower()
+            parts = (lowered,) if lowered.isalpha() else self._CUT.findall(lowered)
+            for piece in parts:
+                if piece not in known:
+                    known[piece] = self._model(piece.translate(self.spelling))
+            young[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
         if rest:
             self._learn(rest)
 
     def _model(self, cut: str) -> bytes:
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(cut)]).tobytes()
+        return array("I", [x.id for x in self.tokenize(cut)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if "<|" not in w]

@@ -800,3 +800,22 @@ def test_possible_pairs_lie_between_components(spark):
         found = {(r.a, r.b) for r in minhash.possible_pairs(classes, rows, 80).collect()}
         assert {(a, b) for a, b in linked if component(a) != component(b)} <= found
         assert all(component(a) != component(b) for a, b in found)
+
+
+def test_words_of_letters_are_not_cut_again():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def findall(self, text):
+            self.calls += 1
+            return self.pattern.findall(text)
+
+    own, library = wavelet.WordEncoder(BPE), Tokenizer.from_file(BPE)
+    own._CUT = Counted(own._CUT)
+    texts = ["alpha BETA Œuvre été x9 don't", "gamma DELTA ſ ŉ ǅ ª º × ÷", "日本 alpha zeta <|endoftext|> q"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own._CUT.calls == 2
