@@ -10,7 +10,7 @@ content, and each task indexes what can match:
 2. Segments are counted per number (combined before the shuffle). A number seen once has no
    match. If all segments of a number are equal, all their bytes are repeated. Only numbers
    with different segments go on, one copy of each distinct segment.
-3. Tasks take whole numbers, a few megabytes of segments at a time, build the run-length
+3. Tasks take whole numbers, half a megabyte of segments at a time, build the run-length
    BWT with sampled run ends, and read matching statistics off it in text order. A number
    with more than ``MAX_SEGMENTS`` distinct segments would not fit; its windows are counted by a
    128-bit digest instead, which spreads over the cluster and is as exact.
@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD
+from plumbline.llm.common import WORD, give_back_memory
 from plumbline.session import materialise
 
 KMER = 96
 #: Distinct segments of one number that one index takes.
 MAX_SEGMENTS = 4096
-#: Bytes of segments after which a task closes an index and begins the next.
-INDEX_BYTES = 2_000_000
+#: Bytes of segments after which a task closes an index and begins the next. Building one takes about a hundred times as much.
+INDEX_BYTES = 500_000
 #: Windows looked at at once; longer texts are taken in such pieces.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -113,15 +113,17 @@ def _suffix_order(text: np.ndarray) -> np.ndarray:
         separator[met] = number[shift:shift + n][met]
         live &= symbol != 0
     key = key << 27 | separator
+    del padded, live, separator, number
     depth = 4
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         fresh = np.concatenate([[0], (ordered[1:] != ordered[:-1]).cumsum()])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
         if fresh[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = fresh
+        del key, order, ordered, fresh
         follow = np.zeros(n, np.int64)
         follow[:max(0, n - depth)] = rank[depth:] + 1
         key = rank * (n + 1) + follow
@@ -269,6 +271,7 @@ def _places(keyed: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)],
                         names=["doc_id", "text_key", "first", "size", "number", "content"])
+        give_back_memory()
 
     return keyed.mapInArrow(run, schema)
 
@@ -311,6 +314,8 @@ def _marks(fetched: DataFrame, length: int) -> DataFrame:
                 seen = row[0]
         if held:
             yield close(held)
+        held.clear()
+        give_back_memory()
 
     dealt = (fetched.where("not large").select("number", "content", "n", "data")
              .repartition("number").sortWithinPartitions("number", "content"))
@@ -389,6 +394,7 @@ def _cut(keyed: DataFrame, length: int, carried: DataFrame | None = None) -> Dat
                     zip(*out, strict=True), (pa.int64(), pa.int64(), longs, longs, pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[4:]],
                                                  names=["doc_id", "n_bytes", "starts", "ends", "kept", "_row"][:5 + len(part.columns) - 4])
+        give_back_memory()
 
     return rows.mapInArrow(run, schema)
 

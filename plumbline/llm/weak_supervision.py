@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import map_rows
+from plumbline.llm.common import give_back_memory, map_rows
 from plumbline.session import materialise
 
 # Frequent function words of the four languages.
@@ -210,6 +210,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 found = zip(*map(text_features, part.column(0).field(at_text).cast(pa.string()).to_pylist()), strict=True)
                 columns = [pa.array(c, f.type) for c, f in zip(found, target, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["_row", *target.names])
+        give_back_memory()
 
     # The row goes to the worker with its text once.
     at_text = docs.columns.index("text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -578,6 +579,18 @@ def test_index_on_random_strings(seed):
         assert index.count(pattern) == sum(s.startswith(pattern, i) for s in strings for i in range(len(s)))
 
 
+def test_an_index_of_a_task_stays_small():
+    rng, size = random.Random(5), run_length_index.INDEX_BYTES // 250
+    strings = [words(rng.randrange(size // 2), 45).encode()[:250] for _ in range(size)]
+    tracemalloc.start()
+    found = run_length_index.repeated_starts(strings, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen = Counter(s[i:i + 200] for s in strings for i in range(len(s) - 199))
+    assert [x.tolist() for x in found] == [[i for i in range(len(s) - 199) if seen[s[i:i + 200]] > 1] for s in strings]
+    assert peak < 60e6  # 203 MB with two megabytes
+
+
 def _plain_cut(texts, length=200):
     seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
