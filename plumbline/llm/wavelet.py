@@ -20,15 +20,18 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1_000_000
 STEP = 512
+#: Bytes of text that are encoded at once; a word is looked up once in them.
+SLICE = 8_000_000
 #: Words of one generation of the memo.
 MEMO = 400_000
 
@@ -149,6 +152,9 @@ class WordEncoder:
     #: their lower case forms, but for U+0130, which lowers to a letter and a combining sign that the tokenizer cuts
     #: apart; and what may name a special token.
     _STRANGE = re.compile("[^!-~À-ÖØ-öø-įı-ɏ]|<\\|")
+    #: A sign that ends a word. No piece holds a letter or digit before a sign, so the sign may as well stand alone,
+    #: and a word is the same word with a comma behind it.
+    _END = r"([0-9a-zß-öø-ÿ])([!,.:;?])[ \n]"
     #: Contractions, letters, a digit, other signs, of lowered words.
     _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^!-`{-~]+|[0-9]|[!-/:-@\[-`{-~]+")
 
@@ -168,36 +174,45 @@ class WordEncoder:
             x.translate(self.spelling) for word in probe for x in self._CUT.findall(word.lower())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [None if any(c in t for c in self._ODD) else self._lowered(t).split() for t in texts]
-        flat = [w for words in split if words for w in words]
-        found = list(map(self.young.get, flat))
+        """The ids of each text. Arrow tells the different words, so each is looked up once a call."""
+        whole = {i: t for i, t in enumerate(texts) if any(c in t for c in self._ODD)}
+        plain = ["" if i in whole else self._lowered(t) for i, t in enumerate(texts)]
+        # White space beyond ASCII is cut here; an empty word, as Arrow finds at either end, has no ids.
+        rows = pa.array([t if t.isascii() else " ".join(t.split()) for t in plain], pa.string())
+        if self.cuts:
+            rows = pc.replace_substring_regex(rows, self._END, r"\1 \2 ")
+        split = pc.ascii_split_whitespace(rows)
+        coded = split.flatten().dictionary_encode()
+        found = pa.array(self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        _, places, data = found.take(coded.indices).buffers()
+        ids = np.frombuffer(data or b"", np.uint32)
+        cuts = np.frombuffer(places, np.int64)[split.offsets.to_numpy()] >> 2
+        out = [ids[x:y] for x, y in pairwise(cuts.tolist())]
+        for i, text in whole.items():
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self.young.get, words))
         holes = [i for i, ids in enumerate(found) if ids is None]
-        missing = {flat[i] for i in holes}
-        if len(self.young) + len(missing) > self.memo:
+        if len(self.young) + len(holes) > self.memo:
             self.old, self.young = self.young, {}
-            missing = set(flat)
+            holes = list(range(len(words)))
         unknown = []
-        for word in missing:
-            ids = self.old.get(word)
+        for i in holes:
+            ids = self.old.get(words[i])
             if ids is None:
-                unknown.append(word)
+                unknown.append(words[i])
             else:
-                self.young[word] = ids
+                self.young[words[i]] = ids
         if len(self.pieces) > 2 * self.memo:
             self.pieces = {}
         for at in range(0, len(unknown), 4096):
             self._learn_all(unknown[at:at + 4096])
         for i in holes:
-            found[i] = self.young[flat[i]]
-        at, out = 0, []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(found[at:at + len(words)]), np.uint32))
-                at += len(words)
-        return out
+            found[i] = self.young[words[i]]
+        return found
 
     def _lowered(self, text: str) -> str:
         """The text in lower case, if that is surely what the tokenizer makes of it; fewer different words are left."""
@@ -258,6 +273,12 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _cuts(texts: pa.Array) -> list[int]:
+    """Where a batch is cut: after about ``SLICE`` bytes of text, or behind one longer text."""
+    passed = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // SLICE
+    return [0, *(np.flatnonzero(np.diff(passed)) + 1).tolist(), len(texts)]
+
+
 def _block(shard: int, block: int, doc_ids: list, parts: list[np.ndarray], width: int) -> pa.RecordBatch:
     ids = np.concatenate(parts)
     if len(ids) and int(ids.max()) >> width:
@@ -282,8 +303,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
         encoder, end = _encoder(tokenizer), np.array([end_id], np.uint32)
         shard, block, held, doc_ids, parts = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at, end_at in pairwise(_cuts(batch.column(1))):
+                part = batch.slice(at, end_at - at)
                 for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     doc_ids.append(key)
                     parts.append(np.concatenate([ids, end]))

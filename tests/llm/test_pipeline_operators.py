@@ -89,6 +89,27 @@ def test_words_of_one_lower_case_are_learnt_once():
     assert modelled.count("word") == 1 and len(set(modelled)) == len(modelled)
 
 
+def test_a_sign_behind_a_word_makes_no_new_word():
+    from tokenizers import Tokenizer
+
+    own, library = wavelet.WordEncoder(BPE), Tokenizer.from_file(BPE)
+    texts = ["alpha, beta. alpha; été: beta\nalpha! x", "  alpha.\nbeta? 9. été, ", "", "\x1c a, b",
+             "a., b '. c don't. 's, d). e'll, ÷. f ×, µ. ª, 日. ΑΣ. q, <|endoftext|>. g É́. h\u0301. i\u0301, j,\tk"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert {"alpha", "beta", "été", "9", "."} <= own.young.keys()
+    assert not {"alpha,", "alpha.", "alpha;", "alpha!", "beta.", "beta?", "été:", "9."} & own.young.keys()
+    assert [len(x) for x in own.encode([" ", "", "\n\n"])] == [0, 0, 0] and own.encode([]) == []
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(wavelet, "SLICE", 10)
+    assert wavelet._cuts(pa.array(["aaaa", "bbbb", "cc", "", "d" * 50, "e"])) == [0, 2, 4, 6]
+    assert wavelet._cuts(pa.array(["a"])) == [0, 1]
+
+
 def test_ids_need_not_leave_the_worker(spark, odd):
     at = shared_folder(spark, "wavelet-narrow")
     wavelet.write_shards(odd, at, BPE, end_id=2)
