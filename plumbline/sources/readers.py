@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import ctypes
+import ctypes.util
+import hashlib
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import SETTINGS
+from plumbline.session import SETTINGS, Scratch, delete_folders, materialise, put_on_workers_path
 from plumbline.sources.seeds import text_schema
 from plumbline.sources.versions import published_folder
 
@@ -139,10 +145,103 @@ def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+#: Bytes of a file that one task may hold as one value, and about as many that one step of a chained digest takes.
+WHOLE = 512 << 20
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and sha256 of each landed file."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """Name, size and sha256 of each landed file.
+
+    A SHA-256 is one chain over the bytes. A file above ``WHOLE`` bytes is digested in steps, each by a
+    task that reads only its own part and hands the state of the chain on (``chained_sha256``).
+    """
+    files = spark.read.format("binaryFile").load(path)
+    name, size = F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes")
+    if sha256_states() is None:
+        return files.select(name, size, F.sha2("content", 256).alias("sha256"))
+    chained, others = [], []
+    for file, length in files.where(F.col("length") > WHOLE).select("path", "length").collect():
+        literal = re.sub(r"([][{}*?\\])", r"\\\1", file)
+        digest = chained_sha256(spark, literal, length)
+        chained += [] if digest is None else [F.lit(file), F.lit(digest)]
+        others += [literal] if digest is None else []
+    # Spark's reader takes no content of files that a condition on ``length`` leaves out.
+    parts = [files.where(F.col("length") <= WHOLE), *([spark.read.format("binaryFile").load(others)] if others else [])]
+    found = [part.select(name, size, F.sha2("content", 256).alias("sha256")) for part in parts]
+    if chained:
+        digest = F.create_map(*chained)[F.col("path")]
+        found.append(files.where(F.col("length") > WHOLE).where(digest.isNotNull()).select(name, size, digest.alias("sha256")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def chained_sha256(spark: SparkSession, file: str, size: int) -> str | None:
+    """The digest of one file, read as lines by as many tasks as it has blocks; None where these are not all its bytes.
+
+    That is so for a file whose name says that it is compressed, and for one that begins with a byte order mark.
+    """
+    text = spark.read.text(file, lineSep="\n").select(
+        F.expr("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+        F.col("value").cast("binary").alias("line"))
+    with Scratch(spark) as scratch:
+        lines = materialise(text.withColumn("step", F.expr(f"cast(block div {WHOLE} as int)")), "file-lines")
+    put_on_workers_path(spark)
+    state, n = None, 0
+    try:
+        for step in range(-(-size // WHOLE)):
+            own = lines.where(F.col("step") == step).select("block", "place", "line")
+            rows = own.coalesce(1).sortWithinPartitions("block", "place").select("line").mapInArrow(
+                _sha256_step(state), "state binary, n long").collect()
+            for row in rows:
+                state, n = bytes(row.state), n + row.n
+    finally:
+        delete_folders(spark, scratch.folders)
+    if state is None or n not in (size, size + 1):
+        return None
+    # Every line was taken with a line feed behind it but the last, which may have none.
+    return sha256_states()(state, b"\n" if n == size else b"", True).hex()
+
+
+def _sha256_step(state: bytes | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        update, now, n = sha256_states(), state, 0
+        for batch in batches:
+            if batch.num_rows:
+                data = b"\n".join([*([] if now is None else [b""]), *batch.column(0).to_pylist()])
+                now, n = update(now, data, False), n + len(data) + (now is None)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.binary()), pa.array([n], pa.int64())], names=["state", "n"])
+
+    return run
+
+
+def sha256_states() -> Callable[[bytes | None, bytes, bool], bytes] | None:
+    """``update(state, data, end)``: the next state of a SHA-256, or at its end the digest. None without OpenSSL's library.
+
+    hashlib does not give out its state; OpenSSL's SHA256_CTX is one plain struct of 112 bytes.
+    """
+    name = ctypes.util.find_library("crypto")
+    try:
+        library = ctypes.CDLL(name) if name else None
+        functions = library and (library.SHA256_Init, library.SHA256_Update, library.SHA256_Final)
+    except (OSError, AttributeError):
+        return None
+    if not functions:
+        return None
+    init, add, final = functions
+    add.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+    init.argtypes, final.argtypes = [ctypes.c_void_p], [ctypes.c_char_p, ctypes.c_void_p]
+
+    def update(state: bytes | None, data: bytes, end: bool) -> bytes:
+        context = ctypes.create_string_buffer(state or b"", 112)
+        if state is None:
+            init(context)
+        add(context, data, len(data))
+        if not end:
+            return context.raw
+        digest = ctypes.create_string_buffer(32)
+        final(digest, context)
+        return digest.raw
+
+    if update(update(None, b"a", False), b"bc", True) != hashlib.sha256(b"abc").digest():
+        return None
+    return update

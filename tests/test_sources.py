@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import threading
@@ -269,6 +270,25 @@ def test_file_inventory_hashes_content(spark, tmp_path):
     assert row.sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 
 
+@pytest.mark.parametrize("end", [b"", b"\n", b"\n\n", b"\r\n"])
+def test_large_files_are_digested_in_steps(spark, tmp_path, monkeypatch, end):
+    steps = []
+    monkeypatch.setattr(readers, "WHOLE", 100_000)
+    monkeypatch.setattr(readers, "_sha256_step", lambda state, make=readers._sha256_step: steps.append(state) or make(state))
+    rng = random.Random(len(end))
+    data = {"a.bin": rng.randbytes(450_000) + end, "b.bin": b"\n" * 3 + rng.randbytes(99_000) + end,
+            "c.bin": b"\xef\xbb\xbf" + rng.randbytes(120_000) + end, "d.bin": b"\0" * 250_000 + end}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        found = {r.file_name: (r.bytes, r.sha256) for r in readers.file_inventory(spark, str(tmp_path / "*.bin")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in data.items()}
+    assert len([x for x in steps if x is not None]) >= 4  # the state was handed on
+
+
 def test_seeds_stay_text(spark, tmp_path):
     states = fixed_table(spark, fixed.STATES)
     assert states.count() == 56 and {f.dataType.simpleString() for f in states.schema} == {"string"}
